@@ -22,11 +22,13 @@ WINDOW_BASE = 0xC2B2AE3D27D4EB4F
 REPEATED = np.uint32(1 << 31)
 
 _CLASS = pa.schema([("_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64())])
-_ROUTED = pa.schema([("bucket", pa.int32()), ("_id", pa.int64()), ("blob", pa.binary())])
+_ROUTED = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("blob", pa.binary())])
+_PLACES = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 _HITS = pa.schema([("_id", pa.int64()), ("blob", pa.binary())])
 _DONE = pa.schema([("_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+_PLACE = np.dtype([("id", "<i8"), ("pos", "<u4")])
 _ANCHOR = np.dtype([("key", "<u8"), ("id", "<i8"), ("pos", "<u4")])
-ROUTED, HITS = "bucket int, _id long, blob binary", "_id long, blob binary"
+ROUTED, PLACES, HITS = "bucket int, known boolean, blob binary", "bucket int, blob binary", "_id long, blob binary"
 
 
 def word_class(words: list[bytes]) -> tuple[int, int]:
@@ -52,23 +54,24 @@ def anchors(w: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h, at + np.arange(len(at))
 
 
-def _by_id(ids: np.ndarray, pos: np.ndarray):
-    """One row per id with its positions."""
-    if len(ids):
-        for i, blob in scattered(ids, pos.astype("<u4")):
-            yield i, blob
+def _by_id(rec: np.ndarray, n_buckets: int):
+    """The places of records, packed by buckets of their ids."""
+    if len(rec):
+        place = np.empty(len(rec), _PLACE)
+        place["id"], place["pos"] = rec["id"], rec["pos"] & ~REPEATED
+        yield from scattered((fmix(rec["id"].view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64), place)
 
 
 def _route(rec: np.ndarray, n_buckets: int):
-    """Of equal keys, the earliest goes to the key's bucket; the others are known to repeat and go by their id."""
+    """Of equal keys, the earliest goes to the key's bucket; the others are known to repeat and go on by their id."""
     rec = rec[np.lexsort((rec["pos"] & ~REPEATED, rec["id"], rec["key"]))]
     first = np.concatenate(([True], rec["key"][1:] != rec["key"][:-1]))
     alone = np.concatenate((first[1:], [True]))
     rest = rec[~first]
     sent = rec[first]
     sent["pos"] |= np.where(alone[first], np.uint32(0), REPEATED)
-    rows = [(b, None, x) for b, x in scattered((sent["key"] >> np.uint64(40)).astype(np.int64) % n_buckets, sent)]
-    rows += [(i % n_buckets, i, x) for i, x in _by_id(rest["id"], rest["pos"] & ~REPEATED)]
+    rows = [(b, False, x) for b, x in scattered((sent["key"] >> np.uint64(40)).astype(np.int64) % n_buckets, sent)]
+    rows += [(b, True, x) for b, x in _by_id(rest, n_buckets)]
     for i in range(0, len(rows), 2048):
         yield record_batch(_ROUTED, *zip(*rows[i : i + 2048], strict=True))
 
@@ -102,7 +105,7 @@ def _emit(width: int, n_buckets: int, whole: bool):
                 if (i, c) in seen or (not whole and x and c[0] in x):
                     continue
                 seen.add((i, c))
-                hits = np.concatenate([np.frombuffer(y, "<u4") for y in x]) if whole else None
+                hits = np.frombuffer(x, "<u4") if whole else None
                 held.append(records(hashes.of(words), i, hits))
                 size += len(held[-1])
                 if size > FLUSH_RECORDS:
@@ -114,18 +117,17 @@ def _emit(width: int, n_buckets: int, whole: bool):
     return run
 
 
-def _repeats(every: bool):
-    """Positions that repeat, by id. every: all of equal keys; else all but the earliest."""
+def _repeats(every: bool, n_buckets: int):
+    """Places that repeat, packed by buckets of ids. every: all of equal keys; else all but the earliest."""
 
     def run(batches):
-        parts, ids, blobs = [], [], []
+        parts = []
         for batch in batches:
-            for i, x in zip(column(batch, "_id"), column(batch, "blob"), strict=True):
-                if i is None:
-                    parts.append(np.frombuffer(x, _ANCHOR))
-                else:
-                    ids.append(i)
-                    blobs.append(x)
+            known = column(batch, "known")
+            parts += [np.frombuffer(x, _ANCHOR) for k, x in zip(known, column(batch, "blob"), strict=True) if not k]
+            if any(known):
+                part = batch.filter(pa.array(known))
+                yield record_batch(_PLACES, column(part, "bucket"), column(part, "blob"))
         if parts:
             rec = np.concatenate(parts)
             del parts
@@ -142,11 +144,27 @@ def _repeats(every: bool):
                 # a key of one document and start, in rows that repeat, isn't later than itself
                 later[1:] &= ~_all_equal_to_first(rec)[1:] if len(rec) else later[1:]
                 rec = rec[later]
-            for i, x in _by_id(rec["id"], rec["pos"] & ~REPEATED):
-                ids.append(i)
-                blobs.append(x)
-        for i in range(0, len(ids), 4096):
-            yield record_batch(_HITS, ids[i : i + 4096], blobs[i : i + 4096])
+            rows = list(_by_id(rec, n_buckets))
+            for i in range(0, len(rows), 2048):
+                yield record_batch(_PLACES, *zip(*rows[i : i + 2048], strict=True))
+
+    return run
+
+
+def _gathered(width: int | None):
+    """One row per id with its places; with a width, with the intervals of words that windows there cover."""
+
+    def run(batches):
+        parts = [np.frombuffer(x, _PLACE) for batch in batches for x in column(batch, "blob")]
+        if not parts:
+            return
+        rec = np.concatenate(parts)
+        del parts
+        rows = []
+        for i, x in scattered(rec["id"], rec["pos"]):
+            rows.append((i, intervals(np.frombuffer(x, "<u4").astype(np.int64), width).astype("<u4").tobytes() if width else x))
+        for i in range(0, len(rows), 4096):
+            yield record_batch(_HITS, *zip(*rows[i : i + 4096], strict=True))
 
     return run
 
@@ -165,15 +183,6 @@ def intervals(starts: np.ndarray, width: int) -> np.ndarray:
     return np.stack((starts[np.concatenate(([0], gap)).astype(int)], starts[np.append(gap, len(starts)) - 1] + width), axis=1)
 
 
-def _merge(width: int):
-    def run(batches):
-        for batch in batches:
-            blobs = [intervals(np.concatenate([np.frombuffer(y, "<u4") for y in x]).astype(np.int64), width).astype("<u4").tobytes() for x in column(batch, "blobs")]
-            yield record_batch(_HITS, column(batch, "_id"), blobs)
-
-    return run
-
-
 def _finish(width: int):
     def run(batches):
         for batch in batches:
@@ -215,11 +224,11 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = attach(docs, skip, "_id")
 
     found = arrow_map(docs, _emit(width, n, False), ROUTED).repartition("bucket")
-    hits = cut(arrow_map(found, _repeats(True), HITS))
-    hits = cut(hits.groupBy("_id").agg(F.collect_list("blob").alias("hits"), F.sum(F.length("blob")).cast("int").alias("size")))
-    near = attach(docs, hits, "_id", "inner", size="size")
+    places = arrow_map(found, _repeats(True, n), PLACES).repartition("bucket")
+    hits = cut(arrow_map(places, _gathered(None), HITS).withColumnRenamed("blob", "hits"))
+    near = attach(docs, hits, "_id", "inner", size=F.length("hits"))
     windows = arrow_map(near, _emit(width, n, True), ROUTED).repartition("bucket")
-    later = arrow_map(windows, _repeats(False), HITS).groupBy("_id").agg(F.collect_list("blob").alias("blobs"))
-    cover = cut(arrow_map(later, _merge(width), HITS))
+    places = arrow_map(windows, _repeats(False, n), PLACES).repartition("bucket")
+    cover = cut(arrow_map(places, _gathered(width), HITS))
     done = arrow_map(attach(docs, cover, "_id", size=F.length("blob")), _finish(width), "_id long, n_words long, n_removed long, kept string")
     return done.select(public_id().alias(id_col), "n_words", "n_removed", "kept")
