@@ -26,6 +26,8 @@ from lodestack.llm.common import FLUSH_RECORDS, NO_ID, WordHash, arrow_map, atta
 from lodestack.llm.components import components
 
 SIZE_BITS = 20
+#: The largest bitmap has 2**16 bits.
+SKETCH_BITS = 16
 SIZE_MASK = (1 << SIZE_BITS) - 1
 #: One set in so many lends its shingles to the statistics of common shingles.
 SAMPLE = 16
@@ -61,6 +63,26 @@ def set_key(s: np.ndarray) -> tuple[int, int, int]:
     return a, b, (((a & ((1 << 63) - 1)) >> SIZE_BITS) << SIZE_BITS) | min(len(s), SIZE_MASK)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Bitmap of the parity of shingles by place; two sets differ in at least as many shingles as their bitmaps in bits.
+
+    It has two to four bits per shingle, a power of two in all, up to a limit; the larger of two folds onto the smaller.
+    """
+    size = 1 << min(max(8, len(s).bit_length() + 1), SKETCH_BITS)
+    at = (s % np.uint64(size)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of shingles in which two sets differ, from their bitmaps."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 class Scheme:
     """Segments and allowances of every size band."""
 
@@ -140,7 +162,7 @@ class Scheme:
         return np.unique(np.concatenate(keys))
 
 
-_SETS = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("cid", pa.int64()), ("sampled", pa.binary())])
+_SETS = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("cid", pa.int64()), ("sampled", pa.binary()), ("bits", pa.binary())])
 _PACKED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 _KEY = np.dtype([("key", "u1", 6), ("cid", "<i8")])
 _MEMBERS = pa.schema([("members", pa.list_(pa.int64()))])
@@ -152,11 +174,11 @@ def _fingerprints(width: int):
     def run(batches):
         hashes = WordHash()
         for batch in batches:
-            out = [[] for _ in range(6)]
+            out = [[] for _ in _SETS]
             for i, t in zip(column(batch, "_id"), texts(batch), strict=True):
                 s = shingle_set(t, hashes, width)
                 a, b, cid = set_key(s)
-                for c, x in zip(out, (i, len(s), a, b, cid, s.tobytes() if b % SAMPLE == 0 else None), strict=True):
+                for c, x in zip(out, (i, len(s), a, b, cid, s.tobytes() if b % SAMPLE == 0 else None, sketch(s)), strict=True):
                     c.append(x)
             yield record_batch(_SETS, *out)
 
@@ -254,6 +276,21 @@ def _bodies(width: int):
     return run
 
 
+def _near(num: int, den: int):
+    """Pairs whose bitmaps leave it open that they are similar."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for ca, cb, n, m, x, y in zip(*(column(batch, c) for c in ("a", "b", "n_a", "n_b", "bits_a", "bits_b")), strict=True):
+                if apart(x, y) <= (den - num) * (n + m) // (den + num):
+                    a.append(ca)
+                    b.append(cb)
+            yield record_batch(_PAIR, a, b)
+
+    return run
+
+
 def _verified(num: int, den: int):
     def run(batches):
         for batch in batches:
@@ -305,7 +342,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if 4 * num < 3 * den:
         raise ValueError("similarities under 0.75 are not indexed")
     spark, docs = df.sparkSession, keyed(df, id_col, text_col)
-    prints = cut(arrow_map(docs, _fingerprints(width), "_id long, n long, h1 long, h2 long, cid long, sampled binary"))
+    prints = cut(arrow_map(docs, _fingerprints(width), "_id long, n long, h1 long, h2 long, cid long, sampled binary, bits binary"))
     sampled = prints.where("sampled is not null and n > 0").dropDuplicates(["h1", "h2"]).select("sampled")
     again = cut(arrow_map(sampled, _exploded, "token long").groupBy("token").count().where("count >= 2"))
     total = prints.where("sampled is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -316,15 +353,18 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = prints.where("n > 0").groupBy("h1", "h2", "cid").agg(F.min("_id").alias("rep"))
     packed = arrow_map(docs, _signatures(width, scheme, buckets(spark)), "bucket int, blob binary")
     groups = cut(arrow_map(packed.repartition("bucket"), _groups, "members array<long>").distinct())
-
     wanted = groups.select(F.explode("members").alias("cid")).distinct()
-    wanted = classes.join(wanted, "cid").groupBy(F.col("rep").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("want"))
-    bodies = arrow_map(attach(docs, cut(wanted), "_id", "inner"), _bodies(width), "h1 long, h2 long, cid long, rep long, body binary")
-    bodies = cut(bodies.dropDuplicates(["h1", "h2"]))
+    seen = cut(prints.join(wanted, "cid").groupBy("h1", "h2", "cid").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Links between representatives among these pairs of short keys."""
+        side = lambda x: seen.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+        near = cut(arrow_map(pairs.join(side("b"), "b").join(side("a"), "a"), _near(num, den), "a long, b long").distinct())
+        asked = seen.join(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
+        asked = cut(asked.groupBy(F.col("rep").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("want")))
+        bodies = arrow_map(attach(docs, asked, "_id", "inner"), _bodies(width), "h1 long, h2 long, cid long, rep long, body binary")
         side = lambda x: bodies.select(F.col("cid").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("body").alias(f"body_{x}"))
-        return cut(arrow_map(pairs.join(side("b"), "b").join(side("a"), "a"), _verified(num, den), "a long, b long"))
+        return cut(arrow_map(near.join(side("b"), "b").join(side("a"), "a"), _verified(num, den), "a long, b long").distinct())
 
     n = lambda c: F.col(c).bitwiseAND(SIZE_MASK)
     fit = (4 * F.least(n("a"), n("b")) >= 3 * F.greatest(n("a"), n("b"))) | (F.greatest(n("a"), n("b")) == SIZE_MASK)
@@ -332,13 +372,13 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     links = verified(star.where(fit).distinct())
 
     if not groups.where(F.size("members") > 2).isEmpty():
-        labels = bodies.join(components(links), bodies.rep == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("comp"))
+        labels = seen.join(components(links), seen.rep == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("comp"))
         labels = labels.groupBy("cid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(-F.col("cid") - 1).alias("comp"))
         members = groups.where(F.size("members") > 2).withColumn("gid", F.xxhash64("members")).select("gid", F.explode("members").alias("cid"))
         split = members.join(labels, "cid").groupBy("gid").agg(F.collect_set(F.struct("cid", "comp")).alias("of"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         more = arrow_map(split.where("lo <> hi").select("of"), _cross, "a long, b long").distinct()
         links = links.unionByName(verified(more))
-    return prints.drop("sampled").join(classes, ["h1", "h2", "cid"], "left"), links
+    return prints.drop("sampled", "bits").join(classes, ["h1", "h2", "cid"], "left"), links
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
