@@ -17,7 +17,7 @@ NO_ID = (1 << 63) - 1
 #: A side of a join is broadcast only if it is measured to be at most this large.
 BROADCAST_BYTES = 48 << 20
 #: Records that a task gathers before it hands them on.
-FLUSH_RECORDS = 2_000_000
+FLUSH_RECORDS = 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ class WordHash(dict):
     """64-bit hash of each word, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
