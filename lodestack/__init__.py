@@ -1,0 +1 @@
+"""Lodestack: supply-chain inventory analytics as Spark DataFrames."""

@@ -1,0 +1,44 @@
+"""Text-mining queries over documents and pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lodestack.operators.text_rules import distinct_findings, redact, scan
+from lodestack.plans.registry import query
+
+
+def files(inv):
+    return inv.table("documents").select(F.col("doc_id").cast("string").alias("path"), F.lit("text").alias("file_type"), F.col("text").alias("content"))
+
+
+SECRET = r"(?i)\b(token|secret|password|api_key)\s*=\s*[\"']([^\"']+)[\"']"
+SECRET_SQL = SECRET.replace("'", "''")
+LINES_SQL = "lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) + 1 AS line_number FROM documents)"
+
+
+@query("txt_line_rules", f"WITH {LINES_SQL} SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line_number AS INTEGER) AS line_number, regexp_extract(line, '{SECRET_SQL}', 2) AS dependency FROM lines WHERE regexp_matches(line, '{SECRET_SQL}')", views=False)
+def secret_lines(inv):
+    return scan(files(inv)).where("rule = 'assign-secret'").select("path", "line_number", "dependency")
+
+
+@query("txt_engine", None)
+def engine(inv):
+    """All rules over all documents."""
+    return distinct_findings(scan(files(inv)))
+
+
+@query("agg_category_table", f"WITH {LINES_SQL} SELECT 'licence' AS category, count(*) AS n FROM lines WHERE regexp_matches(line, 'licensed under (?:the )?([^.\\n]+)') HAVING count(*) > 0 UNION ALL SELECT 'secret', count(*) FROM lines WHERE regexp_matches(line, '{SECRET_SQL}') HAVING count(*) > 0", views=False)
+def categories(inv):
+    return scan(files(inv)).where("category in ('licence', 'secret')").groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("txt_redact", "SELECT doc_id, sha256(regexp_replace(text, '(?i)\\b((?:token|secret|password|api_key)\\s*=\\s*[\"''])[^\"'']+([\"''])', '\\1***\\2', 'g')) AS masked FROM documents", views=False)
+def masked(inv):
+    return inv.table("documents").select("doc_id", F.sha2(redact(F.col("text")), 256).alias("masked"))
+
+
+@query("src_classify_content", "SELECT page_id, CASE WHEN html ILIKE '<!doctype html%' THEN 'html' WHEN html LIKE '<%' THEN 'markup' ELSE 'text' END AS file_type FROM pages", views=False)
+def page_types(inv):
+    html = F.col("html")
+    return inv.table("pages").select("page_id", F.when(F.ilike(html, F.lit("<!doctype html%")), "html").when(html.startswith("<"), "markup").otherwise("text").alias("file_type"))
