@@ -36,6 +36,8 @@ COMMON = 6
 COMMON_LIMIT = 2_000_000
 #: Cost of a chance match, in keys.
 MATCH_COST = 4.0
+#: Groups of up to so many open pairs per member are settled at once, others through pivots first, in turns.
+PAIRS_PER_MEMBER, PIVOTS, TURNS, BLOCK = 24, 12, 4, 4096
 #: Expected shingles per segment, for the largest sets of a band, that the allocation chooses from.
 LOADS = (1.5, 2.0, 2.5, 3.0, 4.0, 6.0)
 
@@ -308,19 +310,62 @@ def _verified(num: int, den: int):
     return run
 
 
-def _cross(batches):
-    """Pairs of members of different components, but for those with the least member, which are verified already."""
-    for batch in batches:
-        a, b = [], []
-        for group in column(batch, "of"):
-            group = sorted((x["cid"], x["comp"]) for x in group)
-            c, comp = (np.array(x, np.int64) for x in zip(*group, strict=True))
-            n = c & SIZE_MASK
-            for i in range(1, len(c) - 1):
-                other = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & _sizes_fit(n[i], n[i + 1 :]))
-                a += [c[i]] * len(other)
-                b += c[other].tolist()
-        yield from (record_batch(_PAIR, a[i : i + 65536], b[i : i + 65536]) for i in range(0, len(a), 65536))
+def _folded(bits: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of at least this many bytes, one per row, folded onto it."""
+    out = np.empty((len(bits), size), np.uint8)
+    for k, x in enumerate(bits):
+        x = np.frombuffer(x, np.uint8)
+        while len(x) > size:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        out[k] = x
+    return out
+
+
+def _cross(num: int, den: int, last: bool, turn: int):
+    """Pairs of members of different components that bitmaps leave open.
+
+    Of a group with many such pairs, all but the last turn take only those with a few pivots, the same ones in every group
+    that holds them, and say that more are left: most members are one component then.
+    """
+
+    def run(batches):
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            a, b, left = [], [], False
+            for group in column(batch, "of"):
+                group.sort(key=lambda x: (len(x["bits"]), x["cid"]))
+                cid, comp = (np.array([x[k] for x in group], np.int64) for k in ("cid", "comp"))
+                size, n = np.array([len(x["bits"]) for x in group]), cid & SIZE_MASK
+                _, each = np.unique(comp, return_counts=True)
+                full = last or (len(cid) ** 2 - int((each**2).sum())) // 2 <= PAIRS_PER_MEMBER * len(cid)
+                order = np.argsort(fmix(cid.view(np.uint64) + np.uint64(turn)))
+                first = range(len(cid)) if full else order[:PIVOTS].tolist()
+                left |= not full
+                folded: dict[int, np.ndarray] = {}
+                for i in first:
+                    if (z := int(size[i])) not in folded:
+                        folded[z] = _folded([x["bits"] if len(x["bits"]) >= z else bytes(z) for x in group], z)
+                    other = (comp != comp[i]) & _sizes_fit(n[i], n)
+                    if full:
+                        other[: i + 1] = False
+                    at = np.flatnonzero(other)
+                    known = at[size[at] >= z]
+                    bound = (den - num) * (n[i] + n[known]) // (den + num)
+                    near = known[(np.bitwise_count(folded[z][known] ^ folded[z][i]).sum(axis=1) <= bound) | (n[known] == SIZE_MASK)]
+                    for j in (*near.tolist(), *at[size[at] < z].tolist()):
+                        pair = (min(int(cid[i]), int(cid[j])), max(int(cid[i]), int(cid[j])))
+                        if pair not in seen:
+                            seen.add(pair)
+                            a.append(pair[0])
+                            b.append(pair[1])
+                if len(seen) > 1 << 20:
+                    seen.clear()
+            if left:
+                a.append(-1)
+                b.append(-1)
+            yield from (record_batch(_PAIR, a[i : i + 65536], b[i : i + 65536]) for i in range(0, len(a), 65536))
+
+    return run
 
 
 def _sizes_fit(n, m):
@@ -371,13 +416,23 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     star = groups.select(F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b"))
     links = verified(star.where(fit).distinct())
 
-    if not groups.where(F.size("members") > 2).isEmpty():
-        labels = seen.join(components(links), seen.rep == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("comp"))
-        labels = labels.groupBy("cid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(-F.col("cid") - 1).alias("comp"))
-        members = groups.where(F.size("members") > 2).withColumn("gid", F.xxhash64("members")).select("gid", F.explode("members").alias("cid"))
-        split = members.join(labels, "cid").groupBy("gid").agg(F.collect_set(F.struct("cid", "comp")).alias("of"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        more = arrow_map(split.where("lo <> hi").select("of"), _cross, "a long, b long").distinct()
-        links = links.unionByName(verified(more))
+    big = groups.where(F.size("members") > 2)
+    if not big.isEmpty():
+        # very large groups as pairs of blocks, so that no task holds one whole
+        blocks = F.expr(f"transform(sequence(0, cast(ceil(size(members) / {BLOCK}) as int) - 1), i -> slice(members, i * {BLOCK} + 1, {BLOCK}))")
+        big = big.withColumn("blocks", blocks).withColumn("x", F.explode(F.expr("sequence(0, size(blocks) - 1)"))).withColumn("y", F.explode(F.expr("sequence(if(size(blocks) > 1, x + 1, x), greatest(x, size(blocks) - 1))"))).where("y < size(blocks)")
+        big = big.withColumn("both", F.when(F.col("x") == F.col("y"), F.col("blocks")[F.col("x")]).otherwise(F.concat(F.col("blocks")[F.col("x")], F.col("blocks")[F.col("y")])))
+        members = cut(big.select(F.xxhash64("members", "x", "y").alias("gid"), F.explode("both").alias("cid")))
+        for turn in range(TURNS):
+            last = turn == TURNS - 1
+            labels = seen.join(components(links), seen.rep == F.col("node"), "left").select("cid", "n", "bits", F.coalesce("component", "rep").alias("comp"))
+            labels = labels.groupBy("cid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(-F.col("cid") - 1).alias("comp"), F.max_by("bits", F.length("bits")).alias("bits"), F.count(F.lit(1)).alias("k"))
+            labels = labels.select("cid", "comp", F.when(F.col("k") == 1, F.col("bits")).otherwise(F.lit(b"")).alias("bits"))
+            split = members.join(labels, "cid").groupBy("gid").agg(F.collect_set(F.struct("cid", "comp", "bits")).alias("of"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            more = cut(arrow_map(split.where("lo <> hi").select("of"), _cross(num, den, last, turn), "a long, b long").distinct())
+            links = cut(links.unionByName(verified(more.where("a >= 0"))))
+            if more.where("a < 0").isEmpty():
+                break
     return prints.drop("sampled", "bits").join(classes, ["h1", "h2", "cid"], "left"), links
 
 
