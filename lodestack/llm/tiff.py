@@ -76,7 +76,7 @@ def lzw_encode(data: bytes) -> bytes:
             continue
         put(code(word))
         table[more] = 258 + len(table)
-        if len(table) + 258 >= (1 << width) - 1 and width < 12:
+        if len(table) + 258 >= 1 << width and width < 12:
             width += 1
         if len(table) + 258 >= 4094:
             put(256)
@@ -84,7 +84,7 @@ def lzw_encode(data: bytes) -> bytes:
         word = bytes((b,))
     if word:
         put(code(word))
-        if 258 + len(table) + 1 >= (1 << width) - 1 and width < 12:
+        if 258 + len(table) >= (1 << width) - 1 and width < 12:
             width += 1
     put(257)
     if bits:
