@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import gc
 import json
 import re
 from itertools import chain
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import arrow_map, column, keyed, public_id, record_batch, texts
 
 #: Words whose ids a worker remembers (up to twice as many), and the longest of them.
-CACHE, CHUNK = 250_000, 48
+CACHE, CHUNK = 200_000, 48
 #: Letters that every Unicode version knows, then ASCII marks without apostrophe: two matches of the pattern at most.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -54,6 +55,30 @@ def tokenizer_json(ranks: dict[bytes, int], pattern: str) -> str:
     return json.dumps({"version": "1.0", "added_tokens": [], "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, level]}, "post_processor": None, "decoder": level, "model": model})
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Tokens and ids of a .tiktoken file."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
+@functools.cache
+def byte_table(path: str) -> list[bytes]:
+    """The bytes of every id; the characters of a .json vocabulary are turned back into bytes."""
+    if path.endswith(".tiktoken"):
+        of = {i: t for t, i in read_ranks(path).items()}
+    else:
+        with open(path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        back = {c: b for b, c in enumerate(byte_chars())}
+        of = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in vocab.items()}
+    return [of.get(i, b"") for i in range(max(of) + 1)]
+
+
+def decode(path: str, ids: np.ndarray) -> bytes:
+    """The bytes of the ids. They may end inside a character; then they are the front of it."""
+    return b"".join(map(byte_table(path).__getitem__, ids.tolist()))
+
+
 class ByteBPE:
     """Encoder and decoder of one vocabulary file (.json of tokenizers, or .tiktoken ranks with a pattern)."""
 
@@ -61,21 +86,15 @@ class ByteBPE:
         from tokenizers import Tokenizer, pre_tokenizers
 
         if path.endswith(".tiktoken"):
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.tokenizer = Tokenizer.from_str(tokenizer_json(ranks, pattern))
+            self.tokenizer = Tokenizer.from_str(tokenizer_json(read_ranks(path), pattern))
         else:
             self.tokenizer = Tokenizer.from_file(path)
             self.tokenizer.encode_special_tokens = True
-        back = {c: b for b, c in enumerate(byte_chars())}
-        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.table = [b""] * (max(vocab.values()) + 1)
-        for token, i in vocab.items():
-            self.table[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
+        self.path, self.table = path, byte_table(path)
         self.lengths = np.array([len(x) for x in self.table], np.int64)
-        self.words: dict[str, list[int]] = {}  # ids of " " + word
-        self.older: dict[str, list[int]] = {}
-        self.tails: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}  # ids of " " + word
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.tails: dict[str, tuple[int, ...]] = {}
         self.mapped = {b: c for b, c in enumerate(byte_chars())}
         self.bare = Tokenizer.from_str(self.tokenizer.to_str())
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -85,7 +104,17 @@ class ByteBPE:
         return self.encode_all([text])[0]
 
     def encode_all(self, batch: list[str]) -> list[np.ndarray]:
-        """Token ids. A space before a non-space always starts a match of the pattern, so words are encoded once."""
+        """Token ids. A space before a non-space always starts a match of the pattern, so words are encoded once.
+
+        Millions of small tuples are made and none is part of a cycle, so the cycle collector rests meanwhile.
+        """
+        gc.disable()
+        try:
+            return self._encode_all(batch)
+        finally:
+            gc.enable()
+
+    def _encode_all(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE:
             self.words, self.older = {}, self.words
         chunked, heads, whole = [], [], []
@@ -103,7 +132,7 @@ class ByteBPE:
         heads, whole = iter(self._fast(heads)), iter(self._fast(whole))
         return [np.array(next(whole).ids if c is None else next(heads).ids + list(chain.from_iterable(map(get, c))), np.uint32) for c in chunked]
 
-    def _learn(self, new: set[str]) -> dict[str, list[int]]:
+    def _learn(self, new: set[str]) -> dict[str, tuple[int, ...]]:
         """Ids of new words go to self.words, those of long words are returned."""
         words, older = self.words, self.older
         split, cores, others = [], set(), []
@@ -126,10 +155,10 @@ class ByteBPE:
         cores = list(cores)
         words.update(zip(cores, self._plain(cores), strict=True))
         if tails := [*{t for _, _, t in split if t not in self.tails}]:
-            self.tails = (self.tails if len(self.tails) < CACHE else {t: self.tails[t] for _, _, t in split if t in self.tails}) | dict(zip(tails, (e.ids for e in self._fast(tails)), strict=True))
+            self.tails = (self.tails if len(self.tails) < CACHE else {t: self.tails[t] for _, _, t in split if t in self.tails}) | dict(zip(tails, (tuple(e.ids) for e in self._fast(tails)), strict=True))
         for w, core, tail in split:
             words[w] = words[core] + self.tails[tail]
-        ids = dict(zip(others, (e.ids for e in self._fast([" " + w for w in others])), strict=True))
+        ids = dict(zip(others, (tuple(e.ids) for e in self._fast([" " + w for w in others])), strict=True))
         words.update({w: x for w, x in ids.items() if len(w) <= CHUNK})
         return {w: x for w, x in ids.items() if len(w) > CHUNK}
 
@@ -142,14 +171,14 @@ class ByteBPE:
             ids = e.ids
             last = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) + 1 for w in part])) + 1).tolist()
             for lo, hi in zip([0, *last], last, strict=False):
-                yield ids[lo:hi]
+                yield tuple(ids[lo:hi])
 
     def _fast(self, batch: list[str]):
         return self.tokenizer.encode_batch_fast(batch, add_special_tokens=False) if batch else []
 
     def decode(self, ids: np.ndarray) -> bytes:
-        """The bytes of the ids. They may end inside a character; then they are the front of it."""
-        return b"".join(map(self.table.__getitem__, ids.tolist()))
+        """The bytes of the ids."""
+        return decode(self.path, ids)
 
     def decode_text(self, ids: np.ndarray) -> str:
         """Text of the ids; bytes that are no whole character become U+FFFD."""
@@ -200,14 +229,13 @@ def _encode(path: str, pattern: str | None, offsets: bool):
     return run
 
 
-def _decode(path: str, pattern: str | None):
+def _decode(path: str):
     def run(batches):
-        bpe = loaded(path, pattern)
         for batch in batches:
             ids = column(batch, "ids")
             for lo, hi in slices(ids):
                 part = batch.slice(lo, hi - lo)
-                out = [bpe.decode(np.frombuffer(x, "<u4")) for x in ids[lo:hi]]
+                out = [decode(path, np.frombuffer(x, "<u4")) for x in ids[lo:hi]]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], schema=_DECODED)
 
     return run
@@ -222,12 +250,12 @@ def bpe_encode(df: DataFrame, path: str, pattern: str | None = None, id_col: str
     return arrow_map(keyed(df, id_col, text_col), _encode(path, pattern, offsets), "_id long, n_tokens long, ids binary, offsets binary")
 
 
-def bpe_decode(encoded: DataFrame, path: str, pattern: str | None = None) -> DataFrame:
+def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """The rows of bpe_encode with their decoded bytes."""
-    return arrow_map(encoded.select("_id", "n_tokens", "ids", "offsets"), _decode(path, pattern), "_id long, n_tokens long, ids binary, offsets binary, decoded binary")
+    return arrow_map(encoded.select("_id", "n_tokens", "ids", "offsets"), _decode(path), "_id long, n_tokens long, ids binary, offsets binary, decoded binary")
 
 
 def bpe_round_trip(df: DataFrame, path: str, pattern: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document."""
-    done = bpe_decode(bpe_encode(df, path, pattern, id_col, text_col), path, pattern)
+    done = bpe_decode(bpe_encode(df, path, pattern, id_col, text_col), path)
     return done.select(public_id().alias(id_col), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
