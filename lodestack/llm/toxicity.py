@@ -21,7 +21,7 @@ from lodestack.llm.common import arrow_map, attach, column, cut, keyed, public_i
 
 GRADES = 4
 #: Most labelled rows that the fit reads, and most words of the vocabulary.
-SAMPLE_ROWS, VOCABULARY = 20_000, 512
+SAMPLE_ROWS, VOCABULARY = 4_000, 512
 #: A word is a candidate if so many labelled texts have it and its log-odds are this many deviations from zero.
 MIN_TEXTS, MIN_Z = 3, 3.0
 #: A text counts as toxic if its expected severity is so far above that of a text without known words.
