@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import arrow_map, column, keyed, public_id, record_batch, texts
 
 #: Words whose ids a worker remembers (up to twice as many), and the longest of them.
-CACHE, CHUNK = 200_000, 48
+CACHE, CHUNK = 120_000, 48
 #: Letters that every Unicode version knows, then ASCII marks without apostrophe: two matches of the pattern at most.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 

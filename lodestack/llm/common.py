@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 NO_ID = (1 << 63) - 1
 #: A side of a join is broadcast only if it is measured to be at most this large.
 BROADCAST_BYTES = 48 << 20
+#: Bytes of an Arrow batch; one longer row is a batch of its own.
+BATCH_BYTES = "8388608b"
 #: Records that a task gathers before it hands them on.
 FLUSH_RECORDS = 500_000
 
@@ -63,6 +65,8 @@ def attach(left: DataFrame, side: DataFrame, key: str, how: str = "left", size=0
 
 
 def arrow_map(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow over batches of a few MB, so that a worker's memory is bounded however long the texts are."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(make, schema)
 
 
