@@ -1,4 +1,4 @@
 """Named query plans; importing this package fills the registry."""
 
-from lodestack.plans import analytics, text  # noqa: F401
+from lodestack.plans import analytics, decoding, relations, text  # noqa: F401
 from lodestack.plans.registry import ORACLES, QUERIES  # noqa: F401
