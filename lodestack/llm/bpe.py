@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import arrow_map, column, keyed, public_id, record_batch, texts
 
 #: Words whose ids a worker remembers (up to twice as many), and the longest of them.
-CACHE, CHUNK = 120_000, 48
+CACHE, CHUNK = 160_000, 48
 #: Letters that every Unicode version knows, then ASCII marks without apostrophe: two matches of the pattern at most.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -92,9 +92,9 @@ class ByteBPE:
             self.tokenizer.encode_special_tokens = True
         self.path, self.table = path, byte_table(path)
         self.lengths = np.array([len(x) for x in self.table], np.int64)
-        self.words: dict[str, tuple[int, ...]] = {}  # ids of " " + word
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.tails: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}  # ids of " " + word, 4 bytes each
+        self.older: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.mapped = {b: c for b, c in enumerate(byte_chars())}
         self.bare = Tokenizer.from_str(self.tokenizer.to_str())
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -106,7 +106,7 @@ class ByteBPE:
     def encode_all(self, batch: list[str]) -> list[np.ndarray]:
         """Token ids. A space before a non-space always starts a match of the pattern, so words are encoded once.
 
-        Millions of small tuples are made and none is part of a cycle, so the cycle collector rests meanwhile.
+        Millions of small objects are made and none is part of a cycle, so the cycle collector rests meanwhile.
         """
         gc.disable()
         try:
@@ -129,10 +129,10 @@ class ByteBPE:
         new = set(chain.from_iterable(x for x in chunked if x)).difference(self.words)
         long = self._learn(new)
         get = self.words.__getitem__ if not long else lambda x: long[x] if x in long else self.words[x]
-        heads, whole = iter(self._fast(heads)), iter(self._fast(whole))
-        return [np.array(next(whole).ids if c is None else next(heads).ids + list(chain.from_iterable(map(get, c))), np.uint32) for c in chunked]
+        heads, whole = self._fast(heads), self._fast(whole)
+        return [np.frombuffer(next(whole) if c is None else next(heads) + b"".join(map(get, c)), np.uint32) for c in chunked]
 
-    def _learn(self, new: set[str]) -> dict[str, tuple[int, ...]]:
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of new words go to self.words, those of long words are returned."""
         words, older = self.words, self.older
         split, cores, others = [], set(), []
@@ -155,10 +155,10 @@ class ByteBPE:
         cores = list(cores)
         words.update(zip(cores, self._plain(cores), strict=True))
         if tails := [*{t for _, _, t in split if t not in self.tails}]:
-            self.tails = (self.tails if len(self.tails) < CACHE else {t: self.tails[t] for _, _, t in split if t in self.tails}) | dict(zip(tails, (tuple(e.ids) for e in self._fast(tails)), strict=True))
+            self.tails = (self.tails if len(self.tails) < CACHE else {t: self.tails[t] for _, _, t in split if t in self.tails}) | dict(zip(tails, self._fast(tails), strict=True))
         for w, core, tail in split:
             words[w] = words[core] + self.tails[tail]
-        ids = dict(zip(others, (tuple(e.ids) for e in self._fast([" " + w for w in others])), strict=True))
+        ids = dict(zip(others, self._fast([" " + w for w in others]), strict=True))
         words.update({w: x for w, x in ids.items() if len(w) <= CHUNK})
         return {w: x for w, x in ids.items() if len(w) > CHUNK}
 
@@ -168,13 +168,15 @@ class ByteBPE:
             part = [w if w.isascii() else w.encode().decode("latin-1").translate(self.mapped) for w in words[i : i + together]]
             space = self.mapped[32]
             (e,) = self.bare.encode_batch_fast(["\n".join([space + w for w in part])], add_special_tokens=False)
-            ids = e.ids
-            last = (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) + 1 for w in part])) + 1).tolist()
+            ids = np.array(e.ids, np.uint32)
+            last = (4 * (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) + 1 for w in part])) + 1)).tolist()
+            packed = ids.tobytes()
             for lo, hi in zip([0, *last], last, strict=False):
-                yield tuple(ids[lo:hi])
+                yield packed[lo:hi]
 
     def _fast(self, batch: list[str]):
-        return self.tokenizer.encode_batch_fast(batch, add_special_tokens=False) if batch else []
+        done = self.tokenizer.encode_batch_fast(batch, add_special_tokens=False) if batch else []
+        return (np.array(e.ids, np.uint32).tobytes() for e in done)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids."""
