@@ -6,6 +6,7 @@ import base64
 import functools
 import gc
 import json
+import os
 import re
 from itertools import chain
 
@@ -18,6 +19,8 @@ from lodestack.llm.common import arrow_map, column, keyed, public_id, record_bat
 
 #: Words whose ids a worker remembers (up to twice as many), and the longest of them.
 CACHE, CHUNK = 160_000, 48
+#: Bytes of texts or ids that are worked on at once; the words of a slice are all held as objects.
+SLICE = 1 << 20
 #: Letters that every Unicode version knows, then ASCII marks without apostrophe: two matches of the pattern at most.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -198,7 +201,8 @@ class ByteBPE:
 
 @functools.cache
 def loaded(path: str, pattern: str | None = None) -> ByteBPE:
-    """One per worker process."""
+    """One per worker process. Spark gives a worker one core, so the library starts no threads (each would hold an arena)."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return ByteBPE(path, pattern)
 
 
@@ -223,7 +227,7 @@ def _encode(path: str, pattern: str | None, offsets: bool):
         bpe = loaded(path, pattern)
         for batch in batches:
             raw, names = texts(batch), column(batch, "_id")
-            for lo, hi in slices(raw):
+            for lo, hi in slices(raw, SLICE):
                 ids = bpe.encode_all([x.decode("utf-8", "replace") for x in raw[lo:hi]])
                 at = [bpe.offsets(t, x).tobytes() if offsets else None for t, x in zip(raw[lo:hi], ids, strict=True)]
                 yield record_batch(_ENCODED, names[lo:hi], [len(x) for x in ids], [x.astype("<u4").tobytes() for x in ids], at)
@@ -235,7 +239,7 @@ def _decode(path: str):
     def run(batches):
         for batch in batches:
             ids = column(batch, "ids")
-            for lo, hi in slices(ids):
+            for lo, hi in slices(ids, SLICE):
                 part = batch.slice(lo, hi - lo)
                 out = [decode(path, np.frombuffer(x, "<u4")) for x in ids[lo:hi]]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], schema=_DECODED)
