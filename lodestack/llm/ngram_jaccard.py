@@ -4,8 +4,8 @@ The universe of shingles is hashed into segments. The number of segments depends
 two). If two sets are similar, they differ in at most H = (1-t)/(1+t) * (|r|+|s|) shingles; so of segments whose
 allowances (0: the subset must be equal; 1: one shingle may differ, found through one-deletion neighbourhoods) add up to
 more than H, one matches. A set indexes the shortest run of its own non-empty segments that adds up to more than the
-largest H of any partner in the band. Two sets of neighbouring bands meet in the lower band. The allowances of each band
-are those of least cost, where the cost counts keys and expected chance matches. Shingles that many sets hold get
+largest H of any partner that it meets there. Two sets of neighbouring bands meet in the lower band. The allowances of
+each band are those of least cost, where the cost counts keys and expected chance matches. Shingles that many sets hold get
 allowance -1 (a part of the universe that is never looked up). Sets that have too few other segments for that also index
 single shingles, the rarest first, as many as a prefix filter needs; so no link is lost. Every candidate is verified on
 whole shingle sets.
@@ -100,7 +100,7 @@ class Scheme:
         """Segments of a band, and how many of them, from the first, allow one difference: the choice of least cost."""
         if j not in self.bands:
             n, best = (1 << (j + 1)) - 1, None
-            need = self.differ(n, n) + 1
+            need = self.differ(n, n * self.den // self.num) + 1
             for load in LOADS:
                 m = max(1, math.ceil(n / load))
                 filled = 1 - math.exp(-n / m)
@@ -152,8 +152,7 @@ class Scheme:
             common = self.common[at] == s
         rare = s[~common]
         j = n.bit_length() - 1
-        most = self.differ(n, min((1 << (j + 1)) - 1, n * self.den // self.num))
-        keys, enough = self._segments(rare, j, most)
+        keys, enough = self._segments(rare, j, self.differ(n, n * self.den // self.num))
         if j and -(-n * self.num // self.den) <= (1 << j) - 1:
             more, also = self._segments(rare, j - 1, self.differ(n, (1 << j) - 1))
             keys += more

@@ -96,6 +96,15 @@ def test_universe_partition_loses_no_pair():
                     assert ngram_jaccard.apart(ngram_jaccard.sketch(a), ngram_jaccard.sketch(b)) <= len(a) + len(b) - 2 * both
 
 
+@pytest.mark.parametrize(("n", "m"), [(6, 8), (12, 16), (15, 20)])
+def test_a_set_meets_the_next_band(n, m):
+    rnd = np.random.default_rng(n)
+    scheme = ngram_jaccard.Scheme(75, 100, np.empty(0, np.uint64), 0.0)
+    for _ in range(3000):
+        b = rnd.integers(0, 1 << 63, m).astype(np.uint64)
+        assert len(np.intersect1d(scheme.keys(np.sort(b[:n])), scheme.keys(np.sort(b))))
+
+
 def test_substring_dedup(docs, texts):
     got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in substring_dedup.dedup_substrings(docs).collect()}
     seen = set()
