@@ -21,6 +21,8 @@ from lodestack.llm.common import arrow_map, column, keyed, public_id, record_bat
 CACHE, CHUNK = 160_000, 48
 #: Bytes of texts or ids that are worked on at once; the words of a slice are all held as objects.
 SLICE = 1 << 20
+#: A space that a match of the pattern may hold inside it, and one that always starts a match.
+_INNER, _STARTS = re.compile(r" (?!\S)"), re.compile(r" (?=\S)")
 #: Letters that every Unicode version knows, then ASCII marks without apostrophe: two matches of the pattern at most.
 _PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -120,20 +122,15 @@ class ByteBPE:
     def _encode_all(self, batch: list[str]) -> list[np.ndarray]:
         if len(self.words) > CACHE:
             self.words, self.older = {}, self.words
-        chunked, heads, whole = [], [], []
+        chunked, heads = [], []
         for text in batch:
-            if "  " in text:
-                chunked.append(None)
-                whole.append(text)
-            else:
-                head, *rest = text.split(" ")
-                heads.append(head)
-                chunked.append(rest)
-        new = set(chain.from_iterable(x for x in chunked if x)).difference(self.words)
+            head, *rest = _STARTS.split(text) if _INNER.search(text) else text.split(" ")
+            heads.append(head)
+            chunked.append(rest)
+        new = set(chain.from_iterable(chunked)).difference(self.words)
         long = self._learn(new)
         get = self.words.__getitem__ if not long else lambda x: long[x] if x in long else self.words[x]
-        heads, whole = self._fast(heads), self._fast(whole)
-        return [np.frombuffer(next(whole) if c is None else next(heads) + b"".join(map(get, c)), np.uint32) for c in chunked]
+        return [np.frombuffer(head + b"".join(map(get, c)), np.uint32) for head, c in zip(self._fast(heads), chunked, strict=True)]
 
     def _learn(self, new: set[str]) -> dict[str, bytes]:
         """Ids of new words go to self.words, those of long words are returned."""

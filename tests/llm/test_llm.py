@@ -152,6 +152,23 @@ def test_bpe_equals_tiktoken(docs, texts):
     assert at[0, 0] == 0 and at[-1].tolist() == [3, 4] and mine.decode_text(ids[:-1]).startswith("é日")
 
 
+def test_bpe_equals_tokenizers(texts):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    other, mine = Tokenizer.from_file(path), bpe.ByteBPE(path)
+    other.encode_special_tokens = True
+    assert mine.encode("see \u00a0 \u00a0 here").tolist() == [3826, 11504, 994]
+    rnd = random.Random(8)
+    white = [*"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u180e\u2007\u200a\u200b\u2028\u2029\u202f\u205f\u3000"]
+    some = [*texts.values()]
+    for k in range(6000):
+        parts = ["a", "word", "'s", "1", "!", "é", "日本", " ", " ", " ", "  ", "\u00a0", *rnd.choices(white, k=1 + k % 4)]
+        some.append("".join(rnd.choices(parts, k=rnd.randint(0, 25))))
+    for t, ids in zip(some, mine.encode_all(some), strict=True):
+        assert ids.tolist() == other.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(docs, texts):
     rows = packing.pack_best_fit(docs, queries.vocabulary("byte_bpe_50k.json")).collect()
     bins = collections.defaultdict(list)
