@@ -13,6 +13,7 @@ whole shingle sets.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -448,9 +449,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, one document of each group: the one of the smallest id. Repeated rows of an id stay once."""
-    found = cut(jaccard_components(df.select(id_col, text_col), id_col, text_col))
-    if not found.groupBy(id_col).count().where("count > 1").isEmpty():
-        df = df.dropDuplicates([id_col])
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.coalesce(id_col, F.lit(NO_ID)).alias("_gone")).distinct()
-    return attach(df.withColumn("_gone", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))), gone, "_gone", "left_anti").drop("_gone")
+    """The rows of df, one document of each group: the one of the smallest id.
+
+    Rows of one id (or of none) with different texts are documents of their own; of rows of equal id and text one stays.
+    Null ids are larger than all others; of documents of one id in a group, the one of the smallest print stays.
+    """
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    if df.groupBy(key.alias("_id")).count().where("count > 1").isEmpty():
+        found = jaccard_components(df, id_col, text_col).select(F.coalesce(id_col, F.lit(NO_ID)).alias("_row"), F.coalesce("component_id", F.lit(NO_ID)).alias("_kept"))
+        gone = cut(found.where("_row <> _kept").select("_row"))
+        return attach(df.withColumn("_row", key), gone, "_row", "left_anti").drop("_row")
+    # a print of id and text stands for the id, one that tells apart all that another print does
+    of = lambda seed: F.xxhash64(F.lit(seed), key, F.col(text_col).isNull(), text_col)
+    for seed in itertools.count(1):
+        rows = df.withColumn("_row", F.least(of(seed), F.lit(NO_ID - 1)))
+        named = cut(rows.groupBy("_row", key.alias("_id"), of(0).alias("_other")).agg(F.count(F.lit(1)).alias("k")))
+        if named.groupBy("_row").count().where("count > 1").isEmpty():
+            break
+    found = jaccard_components(rows, "_row", text_col).select("_row", "component_id").distinct()
+    found = cut(found.join(named.select("_row", "_id"), "_row"))
+    first = cut(found.groupBy("component_id").agg(F.min(F.struct("_id", "_row"))["_row"].alias("_kept")))
+    gone = cut(attach(found, first, "component_id", "inner").where("_row <> _kept").select("_row"))
+    again = named.where("k > 1").select("_row")
+    once = attach(rows, again, "_row", "left_anti").unionByName(attach(rows, again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return attach(once, gone, "_row", "left_anti").drop("_row")

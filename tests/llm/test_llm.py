@@ -81,6 +81,18 @@ def test_jaccard_components(docs, texts):
     assert got == {i: (len(s), top(i)) for i, s in sets.items()}
 
 
+def test_keep_one_decides_per_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    near = text(1) + " more"
+    rows = [(1, text(1)), (2, near), (None, text(1) + " end"), (None, text(2)), (None, text(3)), (None, text(3)), (None, text(3) + " tail"), (4, near), (4, text(4)), (4, text(4)), (5, text(5)), (5, text(6)), (3, text(6) + " tail"), (6, None), (6, ""), (7, ""), (None, None), (None, None)]
+    got = ngram_jaccard.keep_one(make(spark, rows))
+    assert got.columns == make(spark, rows).columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in got.collect())
+    assert got.pop((None, text(3)), 0) + got.pop((None, text(3) + " tail"), 0) == 1
+    want = [(1, text(1)), (None, text(2)), (4, text(4)), (5, text(5)), (3, text(6) + " tail"), (6, None), (6, ""), (7, ""), (None, None)]
+    assert got == collections.Counter(want)
+
+
 def test_universe_partition_loses_no_pair():
     rnd = np.random.default_rng(1)
     for recurring, common in ((0.0, 0), (0.6, 60)):
