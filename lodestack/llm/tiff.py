@@ -16,7 +16,7 @@ from lodestack.llm.common import arrow_map, column, keyed, public_id, record_bat
 
 # Fixed values of the TIFF 6.0 specification.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS, STRIP_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279
-PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 284, 317, 322, 323, 324, 325, 339
+PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT, FILL_ORDER = 284, 317, 322, 323, 324, 325, 339, 266
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
 
@@ -178,6 +178,14 @@ def write_tiff(pages: list[np.ndarray], compression: int = DEFLATE, predictor: i
 
 def read_pages(data: bytes):
     """Every page as an array (rows, columns, samples), with its tags. Directories that loop end the walk."""
+    for tags, order, failed in _directories(data):
+        if failed:
+            raise failed
+        yield _page(data, tags, order), tags
+
+
+def _directories(data: bytes):
+    """The tags of every page, the byte order, and the error if they can't be read."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if not order or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise ValueError("no TIFF")
@@ -185,24 +193,45 @@ def read_pages(data: bytes):
     while at and at not in seen:
         seen.add(at)
         (n,) = struct.unpack_from(order + "H", data, at)
-        tags = {}
-        for k in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            if kind in TYPES:
-                form = f"{order}{count}{TYPES[kind]}"
-                here = at + 10 + 12 * k
-                tags[tag] = struct.unpack_from(form, data, here if struct.calcsize(form) <= 4 else struct.unpack_from(order + "I", data, here)[0])
-        yield _page(data, tags, order), tags
+        tags, failed = {}, None
+        try:
+            for k in range(n):
+                tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
+                if kind in TYPES:
+                    form = f"{order}{count}{TYPES[kind]}"
+                    here = at + 10 + 12 * k
+                    tags[tag] = struct.unpack_from(form, data, here if struct.calcsize(form) <= 4 else struct.unpack_from(order + "I", data, here)[0])
+        except struct.error as e:
+            failed = e
+        if not failed:
+            yield tags, order, None
         (at,) = struct.unpack_from(order + "I", data, at + 2 + 12 * n)
+        if failed:
+            yield tags, order, failed
+
+
+def _samples(rows: np.ndarray, bits: int) -> np.ndarray:
+    """Samples of 1, 2 or 4 bits, the highest bits first; every row starts a byte."""
+    shifts = np.arange(8 - bits, -1, -bits, dtype=np.uint8)
+    return ((rows[:, :, None] >> shifts) & np.uint8((1 << bits) - 1)).reshape(len(rows), -1)
+
+
+def _floats(rows: np.ndarray, stride: int, size: int) -> np.ndarray:
+    """Undo predictor 3: differences of bytes, and of each row first the highest bytes of all samples, then the next."""
+    planes = np.cumsum(rows.reshape(len(rows), -1, stride), axis=1, dtype=np.uint8).reshape(len(rows), size, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(f">f{size}")
 
 
 def _page(data: bytes, tags: dict, order: str) -> np.ndarray:
     one = lambda tag, default: tags.get(tag, (default,))[0]
     w, h, s = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1)
     bits, how, predictor = tags.get(BITS, (1,)), one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if len(set(bits)) != 1 or bits[0] not in (8, 16, 32) or predictor not in (1, 2):
+    real, small = one(SAMPLE_FORMAT, 1) == 3, bits[0] < 8
+    if len(set(bits)) != 1 or bits[0] not in ((16, 32) if real else (1, 2, 4, 8, 16, 32)) or predictor not in ((1,) if small else (1, 2, 3) if real else (1, 2)):
         raise ValueError("unsupported samples")
-    kind = np.dtype(f"{order}{'f' if one(SAMPLE_FORMAT, 1) == 3 else 'u'}{bits[0] // 8}")
+    if small and one(FILL_ORDER, 1) != 1:
+        raise ValueError("unsupported fill order")
+    kind = np.dtype(f"{order}{'f' if real else 'u'}{max(bits[0], 8) // 8}")
     planes = s if one(PLANAR, 1) == 2 else 1
     own = s // planes
     if h * w * s * kind.itemsize > MAX_PAGE_BYTES:
@@ -216,8 +245,13 @@ def _page(data: bytes, tags: dict, order: str) -> np.ndarray:
         plane, place = divmod(k, across * down)
         y, x = place // across * bh, place % across * bw
         rows = bh if tiled else min(bh, h - y)
-        raw = _unpack(data[at : at + size], how, rows * bw * own * kind.itemsize)
-        block = np.frombuffer(raw, kind).reshape(rows, bw, own)
+        raw = _unpack(data[at : at + size], how, rows * -(-bw * own * bits[0] // 8))
+        if small:
+            block = _samples(np.frombuffer(raw, np.uint8).reshape(rows, -1), bits[0])[:, : bw * own].reshape(rows, bw, own)
+        elif predictor == 3:
+            block = _floats(np.frombuffer(raw, np.uint8).reshape(rows, -1), own, kind.itemsize).reshape(rows, bw, own)
+        else:
+            block = np.frombuffer(raw, kind).reshape(rows, bw, own)
         if predictor == 2:
             block = np.cumsum(block, axis=1, dtype=kind.newbyteorder("="))
         page[y : y + rows, x : x + bw, plane * own : (plane + 1) * own] = block[: h - y, : w - x]
@@ -257,14 +291,22 @@ def feature(page: np.ndarray) -> str:
 
 
 def _rows(i, media: bytes | None):
-    """One row per page; a row with the error ends the pages of a file that can't be read on."""
+    """One row per page, with the error of one that can't be read; such a row also ends a file whose next page isn't found."""
     k = 0
+    wrong = lambda e: (i, k, None, None, None, None, None, f"{type(e).__name__}: {e}")
     try:
-        for page, _ in read_pages(media or b""):
-            yield i, k, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), feature(page), None
+        for tags, order, failed in _directories(media or b""):
+            try:
+                if failed:
+                    raise failed
+                page = _page(media, tags, order)
+                row = i, k, page.shape[1], page.shape[0], page.shape[2], page.tobytes(), feature(page), None
+            except (ValueError, KeyError, IndexError, ZeroDivisionError, struct.error, zlib.error) as e:
+                row = wrong(e)
+            yield row
             k += 1
-    except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
-        yield i, k, None, None, None, None, None, f"{type(e).__name__}: {e}"
+    except (ValueError, struct.error) as e:
+        yield wrong(e)
 
 
 def _walk(batches):
@@ -284,8 +326,8 @@ def _walk(batches):
 def tiff_pages(df: DataFrame, id_col: str = "_id", media_col: str = "media") -> DataFrame:
     """One row per page of every TIFF: id, page, width, height, samples, pixels (row by row), feature, error.
 
-    A file that can't be read (null and empty ones too) gives its readable pages and one row with the error. Repeated rows
-    give repeated pages. Other columns are ignored.
+    A page that can't be read gives one row with the error, and so does a file (null and empty ones too) whose next page
+    isn't found. Repeated rows give repeated pages. Other columns are ignored.
     """
     return arrow_map(df.select(F.col(id_col).alias("_id"), F.col(media_col).alias("media")), _walk, PAGES)
 

@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -217,6 +218,43 @@ def test_tiff_round_trips():
                         assert all((g.reshape(p.shape) == p).all() for g, p in zip(got, pages, strict=True))
 
 
+def retagged(data, page, **tags):
+    """A little-endian TIFF with other single values of some tags of one page."""
+    out, at = bytearray(data), struct.unpack_from("<I", data, 4)[0]
+    for _ in range(page):
+        at = struct.unpack_from("<I", out, at + 2 + 12 * struct.unpack_from("<H", out, at)[0])[0]
+    for k in range(struct.unpack_from("<H", out, at)[0]):
+        here = at + 2 + 12 * k
+        for name, (kind, value) in tags.items():
+            if struct.unpack_from("<H", out, here)[0] == getattr(tiff, name):
+                struct.pack_into("<HII", out, here + 2, kind, 1, value)
+    return bytes(out)
+
+
+def test_tiff_small_samples_and_floats():
+    rnd = np.random.default_rng(6)
+    for bits in (1, 2, 4):
+        page = rnd.integers(0, 1 << bits, (9, 13)).astype(np.uint8)
+        packed = np.packbits([[int(b) for x in row for b in f"{x:0{bits}b}"] for row in page], axis=1)
+        for how in (tiff.NONE, tiff.DEFLATE, tiff.PACKBITS):
+            ((got, _),) = tiff.read_pages(retagged(tiff.write_tiff([packed], how, rows_per_strip=4), 0, WIDTH=(4, 13), BITS=(3, bits)))
+            assert (got[:, :, 0] == page).all()
+    page = rnd.normal(size=(5, 7)).astype(np.float32)
+    planes = np.concatenate([page.astype(">f4").view(np.uint8).reshape(5, 7, 4)[:, :, k] for k in range(4)], axis=1)
+    coded = tiff.write_tiff([planes], tiff.DEFLATE, 2)
+    coded = retagged(coded, 0, WIDTH=(4, 7), BITS=(3, 32), PREDICTOR=(3, 3), PHOTOMETRIC=(3, 1), PLANAR=(3, 1))
+    tags = next(tiff._directories(coded))[0] | {tiff.SAMPLE_FORMAT: (3,)}
+    assert (tiff._page(coded, tags, "<")[:, :, 0] == page).all()
+
+
+def test_tiff_goes_on_after_a_bad_page():
+    pages = [np.full((2, 3), k, np.uint8) for k in range(4)]
+    for bad in ({"COMPRESSION": (3, 99)}, {"BITS": (3, 7)}, {"STRIP_OFFSETS": (12, 1 << 30)}):
+        rows = list(tiff._rows(1, retagged(tiff.write_tiff(pages), 1, **bad)))
+        assert [r[1] for r in rows] == [0, 1, 2, 3] and [r[7] is None for r in rows] == [True, False, True, True]
+        assert [r[5] for r in rows if r[7] is None] == [pages[k].tobytes() for k in (0, 2, 3)]
+
+
 def test_tiff_digests(spark, docs, texts):
     for r in queries.op4_tiff_media(spark, FOLDER).collect():
         t = texts[r["doc_id"]].encode()
