@@ -20,6 +20,7 @@ class Rule:
     category: str
     severity: str
     file_types: tuple[str, ...] = ("*",)
+    multiple: bool = False  # all matches of a line, else the first
 
 
 #: Evidence of undeclared dependencies, secrets and licences in prose, markup and scripts; own rules.
@@ -30,8 +31,8 @@ RULES = [
     Rule("pip-install", r"\bpip3?\s+install\s+(?:-\S+\s+)*([A-Za-z0-9._-]+)", 1, "package_install", "medium", ("script", "dockerfile", "*")),
     Rule("npm-global", r"\bnpm\s+(?:install|i)\s+-g\s+([@A-Za-z0-9/._-]+)", 1, "package_install", "medium"),
     Rule("image-from", r"(?i)^\s*FROM\s+(\S+:\S+)", 1, "container_image", "medium", ("dockerfile",)),
-    Rule("link-host", r"https?://([A-Za-z0-9.-]+)", 1, "remote_reference", "low", ("html", "*")),
-    Rule("mail-host", r"[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", 1, "remote_reference", "low"),
+    Rule("link-host", r"https?://([A-Za-z0-9.-]+)", 1, "remote_reference", "low", ("html", "*"), multiple=True),
+    Rule("mail-host", r"[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", 1, "remote_reference", "low", multiple=True),
 ]
 
 
@@ -46,7 +47,7 @@ def joined_lines(content):
 
 
 def scan(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
-    """files: (path, file_type, content). One row per line and rule that matches: its first match.
+    """files: (path, file_type, content). One row per line and rule that matches: its first match, or each match (nth, from 0) of a rule with multiple.
 
     Comment lines of # or <!-- are skipped. matched is cut to 500 characters, dependency trimmed and cut to 200. Null
     content gives no rows. Repeated files give repeated rows; `distinct_findings` keeps the first.
@@ -54,18 +55,19 @@ def scan(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
     rules = RULES if rules is None else rules
     lines = files.select("path", "file_type", F.posexplode(F.split(joined_lines(F.col("content")), "\n", -1)).alias("at", "line"))
     lines = lines.where(~F.col("line").rlike(r"^\s*(#(?!!)|<!--)"))
+    texts = lambda r, g: F.regexp_extract_all("line", F.lit(r.pattern), F.lit(g)) if r.multiple else F.array(F.regexp_extract("line", r.pattern, g))
+    found = lambda k, r: lambda whole, part: F.struct(F.lit(k).alias("rule_order"), F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.substring(whole, 1, 500).alias("matched"), F.substring(F.trim(part), 1, 200).alias("dependency"))
     hits = []
     for k, r in enumerate(rules):
         fits = F.lit(True) if "*" in r.file_types else F.col("file_type").isin(*r.file_types)
-        found = F.struct(F.lit(k).alias("rule_order"), F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.substring(F.regexp_extract("line", r.pattern, 0), 1, 500).alias("matched"), F.substring(F.trim(F.regexp_extract("line", r.pattern, r.group)), 1, 200).alias("dependency"))
-        hits.append(F.when(fits & F.col("line").rlike(r.pattern), found))
-    found = lines.select("path", "file_type", (F.col("at") + 1).alias("line_number"), F.explode(F.array_compact(F.array(*hits))).alias("hit"))
+        hits.append(F.when(fits & F.col("line").rlike(r.pattern), F.transform(F.zip_with(texts(r, 0), texts(r, r.group), found(k, r)), lambda x, i: x.withField("nth", i))))
+    found = lines.select("path", "file_type", (F.col("at") + 1).alias("line_number"), F.explode(F.flatten(F.array_compact(F.array(*hits)))).alias("hit"))
     return found.select("path", "file_type", "line_number", "hit.*")
 
 
 def distinct_findings(found: DataFrame) -> DataFrame:
     """One finding of each (path, line, rule, dependency)."""
-    return found.groupBy("path", "line_number", "rule", "dependency").agg(F.min_by(F.struct("category", "severity", "matched"), "rule_order").alias("f")).select("path", "line_number", "rule", "dependency", "f.*")
+    return found.groupBy("path", "line_number", "rule", "dependency").agg(F.min_by(F.struct("category", "severity", "matched"), F.struct("rule_order", "nth")).alias("f")).select("path", "line_number", "rule", "dependency", "f.*")
 
 
 def redact(text):

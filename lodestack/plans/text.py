@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
-from lodestack.operators.text_rules import distinct_findings, redact, scan
+from lodestack.operators.text_rules import RULES, distinct_findings, redact, register_rule, scan
 from lodestack.plans.registry import query
 
 
@@ -24,8 +26,9 @@ def secret_lines(inv):
 
 @query("txt_engine", None)
 def engine(inv):
-    """All rules over all documents."""
-    return distinct_findings(scan(files(inv)))
+    """All rules over all documents, with every secret of a line."""
+    secret = next(r for r in RULES if r.id == "assign-secret")
+    return distinct_findings(scan(files(inv), register_rule(replace(secret, multiple=True))))
 
 
 @query("agg_category_table", f"WITH {LINES_SQL} SELECT 'licence' AS category, count(*) AS n FROM lines WHERE regexp_matches(line, 'licensed under (?:the )?([^.\\n]+)') HAVING count(*) > 0 UNION ALL SELECT 'secret', count(*) FROM lines WHERE regexp_matches(line, '{SECRET_SQL}') HAVING count(*) > 0", views=False)
