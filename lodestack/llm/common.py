@@ -96,6 +96,36 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: ASCII white space, and for each number of bytes the mask of a little-endian word that keeps so many.
+_WHITE = np.isin(np.arange(256), [32, *range(9, 14)])
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG_WORD = 64
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some texts (words are split at ASCII white space), and where each text's begin.
+
+    The words of text k are hashes[edges[k] : edges[k + 1]]. Words are read eight bytes at a time, all texts together.
+    """
+    joined = b"\n".join((b"", *raw, b"")) + bytes(8)
+    data = np.frombuffer(joined, np.uint8, len(joined) - 8)
+    white = _WHITE[data]
+    turns = np.flatnonzero(white[1:] != white[:-1]) + 1
+    starts, length = turns[::2], turns[1::2] - turns[::2]
+    eight = np.ndarray(len(joined) - 7, "<u8", joined, strides=(1,))
+    h = fmix((eight[starts] & _KEEP[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    more, k = np.flatnonzero((length > 8) & (length <= _LONG_WORD)), 8
+    while len(more):
+        h[more] = fmix(h[more] * np.uint64(0xC2B2AE3D27D4EB4F) + (eight[starts[more] + k] & _KEEP[np.minimum(length[more] - k, 8)]))
+        k += 8
+        more = more[length[more] > k]
+    for i in np.flatnonzero(length > _LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : starts[i] + length[i]])
+    ends = np.cumsum([len(x) + 1 for x in raw], dtype=np.int64)
+    return h, np.concatenate(([0], np.searchsorted(starts, ends)))
+
+
 def fmix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(33))

@@ -2,13 +2,16 @@
 
 The universe of shingles is hashed into segments. The number of segments depends on the size band of a set (a power of
 two). If two sets are similar, they differ in at most H = (1-t)/(1+t) * (|r|+|s|) shingles; so of segments whose
-allowances (0: the subset must be equal; 1: one shingle may differ, found through one-deletion neighbourhoods) add up to
-more than H, one matches. A set indexes the shortest run of its own non-empty segments that adds up to more than the
-largest H of any partner that it meets there. Two sets of neighbouring bands meet in the lower band. The allowances of
-each band are those of least cost, where the cost counts keys and expected chance matches. Shingles that many sets hold get
-allowance -1 (a part of the universe that is never looked up). Sets that have too few other segments for that also index
-single shingles, the rarest first, as many as a prefix filter needs; so no link is lost. Every candidate is verified on
-whole shingle sets.
+allowances add up to more than H, one matches. Allowance 0 asks for equal subsets; allowance 1 for subsets that differ in
+one shingle at most, found through one-deletion neighbourhoods; shingles that many sets hold get allowance -1: they are
+left out of the segments. A set indexes the shortest run of its own non-empty segments that adds up to more than the
+largest H of any partner that it meets there. Two sets of neighbouring bands meet in the lower band.
+
+Allowances are dealt by cost, in tiers: a set first takes allowance 0, whose keys are fewest. Only where its rare
+segments do not add up, it also indexes segments of allowance 1, which count twice; and where those do not either, single
+shingles, the rarest first, as many as a prefix filter needs. Of two sets at least one has enough at the tier where they
+meet, so no link is lost. The number of segments of each band and tier is the one of least cost (keys, and expected
+chance matches). Every candidate is verified on whole shingle sets.
 """
 
 from __future__ import annotations
@@ -23,40 +26,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import FLUSH_RECORDS, NO_ID, WordHash, arrow_map, attach, buckets, column, cut, fmix, keyed, public_id, record_batch, scattered, texts
+from lodestack.llm.common import FLUSH_RECORDS, NO_ID, arrow_map, attach, buckets, column, cut, fmix, keyed, public_id, record_batch, scattered, texts, word_hashes
 from lodestack.llm.components import components
 
 SIZE_BITS = 20
 #: The largest bitmap has 2**16 bits.
 SKETCH_BITS = 16
 SIZE_MASK = (1 << SIZE_BITS) - 1
-#: One set in so many lends its shingles to the statistics of common shingles.
+#: One text in so many lends its shingles to the statistics of common shingles.
 SAMPLE = 16
 #: A shingle found in so many sampled sets is common. It steers cost only: any choice gives the same links.
 COMMON = 6
 COMMON_LIMIT = 2_000_000
 #: Cost of a chance match, in keys.
 MATCH_COST = 4.0
-#: Groups of up to so many open pairs per member are settled at once, others through pivots first, in turns.
-PAIRS_PER_MEMBER, PIVOTS, TURNS, BLOCK = 24, 12, 4, 4096
+#: Members of a group that one task compares at once; partners of a member that are tried before the rest are.
+BLOCK, FIRST_TRIES = 4096, 3
 #: Expected shingles per segment, for the largest sets of a band, that the allocation chooses from.
-LOADS = (1.5, 2.0, 2.5, 3.0, 4.0, 6.0)
-
-
-def shingle_set(text: bytes, hashes: WordHash, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of one text."""
-    words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    w = hashes.of(words)
-    n = len(w) - width + 1
+LOADS = (1.0, 1.5, 2.0, 2.5, 3.0, 4.0, 5.0)
+#: Shingles whose keys are made at once, and texts that a task remembers to know copies again.
+TOGETHER, REMEMBERED = 1 << 18, 50_000
+
+
+def shingle_sets(raw: list[bytes], width: int) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each text."""
+    w, edges = word_hashes([x.lower() for x in raw])
+    n = max(0, len(w) - width + 1)
     acc = w[:n].copy()
     for j in range(1, width):
         acc *= np.uint64(0x9E3779B97F4A7C15)
         acc += w[j : n + j]
-    return np.unique(fmix(acc))
+    acc = fmix(acc)
+    out = []
+    for lo, hi in itertools.pairwise(edges.tolist()):
+        if hi - lo >= width:
+            s = np.sort(acc[lo : hi - width + 1])
+            fresh = np.concatenate(([True], s[1:] != s[:-1]))
+            out.append(s if fresh.all() else s[fresh])
+        elif hi > lo:
+            out.append(np.array([xxhash.xxh3_64_intdigest(w[lo:hi].tobytes(), seed=hi - lo)], np.uint64))
+        else:
+            out.append(np.empty(0, np.uint64))
+    return out
 
 
 def set_key(s: np.ndarray) -> tuple[int, int, int]:
@@ -76,168 +87,239 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
+def folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap folded onto so many bytes, eight bytes at a time."""
+    x = np.frombuffer(bits, np.uint64)
+    while len(x) * 8 > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 def apart(x: bytes, y: bytes) -> int:
     """A lower bound of the number of shingles in which two sets differ, from their bitmaps."""
-    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+    size = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum())
 
 
 class Scheme:
-    """Segments and allowances of every size band."""
+    """Numbers of segments by size band and allowance, and the keys of sets under them."""
 
     def __init__(self, num: int, den: int, common: np.ndarray, recurring: float):
-        self.num, self.den, self.common, self.recurring = num, den, common, recurring
-        self.bands: dict[int, tuple[int, int]] = {}
+        self.num, self.den, self.common = num, den, common
+        self.segments = np.array([[self._cheapest(j, one, recurring) for j in range(SIZE_BITS + 12)] for one in (0, 1)], np.int64)
 
-    def differ(self, r: int, s: int) -> int:
+    def differ(self, r, s):
         """The most shingles in which two similar sets of these sizes differ."""
         return (self.den - self.num) * (r + s) // (self.den + self.num)
 
-    def band(self, j: int) -> tuple[int, int]:
-        """Segments of a band, and how many of them, from the first, allow one difference: the choice of least cost."""
-        if j not in self.bands:
-            n, best = (1 << (j + 1)) - 1, None
-            need = self.differ(n, n * self.den // self.num) + 1
-            for load in LOADS:
-                m = max(1, math.ceil(n / load))
-                filled = 1 - math.exp(-n / m)
-                for share in (0.0, 0.5, 1.0):
-                    ones = math.ceil(m * share)
-                    one = math.exp(-n / m) * n / m  # of segments, with a single shingle
-                    weight = filled + share * (filled - one)
-                    if m * weight < 1.15 * need + 1:
-                        continue
-                    used = need / weight
-                    chance = sum(math.exp(-n / m) * (n / m) ** k / math.factorial(k) * self.recurring**k for k in range(1, 12))
-                    keys = used * (filled + share * n / m)
-                    cost = keys + MATCH_COST * used * chance * (1 + share * n / m)
-                    if best is None or cost < best[0]:
-                        best = cost, m, ones
-            self.bands[j] = (best[1], best[2]) if best else (max(1, n), 0)
-        return self.bands[j]
-
-    def _segments(self, s: np.ndarray, j: int, most: int) -> tuple[list[np.ndarray], bool]:
-        """Keys of a set in a band; whether they are enough for every partner."""
-        m, ones = self.band(j)
-        if not len(s):
-            return [], False
-        salt = np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        mixed = fmix(s ^ salt)
-        seg = (mixed >> np.uint64(33)) % np.uint64(m)
-        order = np.argsort(seg, kind="stable")
-        seg, mixed = seg[order], mixed[order]
-        first = np.flatnonzero(np.concatenate(([True], seg[1:] != seg[:-1])))
-        count = np.diff(np.append(first, len(seg)))
-        total, which = np.add.reduceat(mixed, first), seg[first]
-        weight = np.cumsum(np.where(which < ones, np.minimum(2, count), 1))
-        used = int(np.searchsorted(weight, most, side="right")) + 1
-        enough = used <= len(weight)
-        used = min(used, len(weight))
-        tag = fmix(which + salt)
-        keys = [fmix(total[:used] ^ tag[:used])]
-        if ones:
-            at = np.repeat(np.arange(len(first)), count)
-            near = (at < used) & (seg < np.uint64(ones)) & (count[at] > 1)
-            keys.append(fmix((total[at] - mixed)[near] ^ tag[at][near]))
-        return keys, enough
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        n = len(s)
-        common = np.zeros(n, bool)
+    def _cheapest(self, j: int, one: int, recurring: float) -> int:
+        """Segments of a band: the choice of least cost among those that nearly all of its sets have enough of."""
+        n, best = (1 << (j + 1)) - 1, (math.inf, (1 << (j + 1)) - 1)
+        need = self.differ(n, n * self.den // self.num) + 1
+        for load in LOADS:
+            m = max(1, math.ceil(n / load))
+            filled, single = 1 - math.exp(-n / m), math.exp(-n / m) * n / m
+            weight = filled + one * (filled - single)
+            if m * weight < 1.15 * need + 1:
+                continue
+            used = need / weight
+            chance = sum(math.exp(-n / m) * (n / m) ** k / math.factorial(k) * recurring**k for k in range(1, 12))
+            cost = used * (filled + one * n / m) + MATCH_COST * used * chance * (1 + one * n / m)
+            best = min(best, (cost, m))
+        return best[1]
+
+    def _tier(self, one: int, flat: np.ndarray, owner: np.ndarray, sets: np.ndarray, j: np.ndarray, most: np.ndarray):
+        """Keys of sets in their bands with one allowance for all segments: (keys, their owners, which sets have enough).
+
+        flat: shingles, owner: the place of their set in sets; j, most: band and largest difference of each set.
+        """
+        m = self.segments[one][j]
+        salt = (2 * j + one + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = fmix(flat ^ salt[owner])
+        base = np.cumsum(m) - m
+        cell = base[owner] + (((mixed >> np.uint64(33)) * m[owner].astype(np.uint64)) >> np.uint64(31)).astype(np.int64)
+        total, cells = np.zeros(int(m.sum()), np.uint64), int(m.sum())
+        np.add.at(total, cell, mixed)
+        count = np.bincount(cell, minlength=cells)
+        weight = np.minimum(count, 1 + one)
+        upto = np.concatenate(([0], np.cumsum(weight)))
+        of = np.repeat(np.arange(len(sets)), m)
+        used = (count > 0) & (upto[:-1] - upto[base][of] <= most[of])
+        tag = fmix((np.arange(cells) - base[of]).astype(np.uint64) + salt[of])
+        keys, owners = [fmix(total ^ tag)[used]], [sets[of[used]]]
+        if one:
+            near = used[cell] & (count[cell] > 1)
+            at = cell[near]
+            keys.append(fmix((total[at] - mixed[near]) ^ tag[at]))
+            owners.append(sets[owner[near]])
+        return keys, owners, upto[base + m] - upto[base] > most
+
+    def keys(self, flat: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of non-empty sets: (keys, the place of their set, the last tier of each set: 0, 1, or 2 for single shingles).
+
+        flat: the sorted shingles of all sets, one set after the other; n: their numbers.
+        """
+        common = np.zeros(len(flat), bool)
         if len(self.common):
-            at = np.minimum(np.searchsorted(self.common, s), len(self.common) - 1)
-            common = self.common[at] == s
-        rare = s[~common]
-        j = n.bit_length() - 1
-        keys, enough = self._segments(rare, j, self.differ(n, n * self.den // self.num))
-        if j and -(-n * self.num // self.den) <= (1 << j) - 1:
-            more, also = self._segments(rare, j - 1, self.differ(n, (1 << j) - 1))
-            keys += more
-            enough &= also
-        if not enough:
-            prefix = n - -(-n * self.num // self.den) + 1
-            keys.append(fmix(np.concatenate((rare, s[common]))[:prefix] + np.uint64(0xD6E8FEB86659FD93)))
-        return np.unique(np.concatenate(keys))
-
-
-_SETS = pa.schema([("_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("cid", pa.int64()), ("sampled", pa.binary()), ("bits", pa.binary())])
-_PACKED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+            at = np.minimum(np.searchsorted(self.common, flat), len(self.common) - 1)
+            common = self.common[at] == flat
+        owner = np.repeat(np.arange(len(n)), n)
+        rare, mine = flat[~common], owner[~common]
+        band = np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+        least = -(-n * self.num // self.den)
+        lower = (band > 0) & (least <= (1 << band) - 1)
+        ways = [(np.ones(len(n), bool), band, self.differ(n, n * self.den // self.num)), (lower, band - 1, self.differ(n, (1 << band) - 1))]
+        left, tier = np.ones(len(n), bool), np.zeros(len(n), np.int64)
+        keys, owners = [], []
+        for one in (0, 1):
+            enough = np.ones(len(n), bool)
+            for who, j, most in ways:
+                sets = np.flatnonzero(who & left)
+                if len(sets):
+                    place = np.full(len(n), -1)
+                    place[sets] = np.arange(len(sets))
+                    its = place[mine] >= 0
+                    k, o, ok = self._tier(one, rare[its], place[mine[its]], sets, j[sets], most[sets])
+                    keys += k
+                    owners += o
+                    enough[sets] &= ok
+            left &= ~enough
+            tier[left] = one + 1
+        edges = np.cumsum(n) - n
+        for i in np.flatnonzero(left).tolist():
+            own = slice(edges[i], edges[i] + n[i])
+            first = np.concatenate((flat[own][~common[own]], flat[own][common[own]]))[: n[i] - least[i] + 1]
+            keys.append(fmix(first + np.uint64(0xD6E8FEB86659FD93)))
+            owners.append(np.full(len(first), i))
+        return np.concatenate(keys), np.concatenate(owners), tier
+
+
+_INDEXED = pa.schema([("bucket", pa.int32()), ("blob", pa.binary()), ("_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("cid", pa.int64()), ("bits", pa.binary())])
+_FOUND = pa.schema([*[_INDEXED.field(k) for k in range(2, 8)], ("a", pa.int64()), ("b", pa.int64()), ("gid", pa.int64()), ("part", pa.int32()), ("members", pa.list_(pa.int64()))])
 _KEY = np.dtype([("key", "u1", 6), ("cid", "<i8")])
-_MEMBERS = pa.schema([("members", pa.list_(pa.int64()))])
 _BODY = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("cid", pa.int64()), ("rep", pa.int64()), ("body", pa.binary())])
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_NO_PRINT, INDEXED = [None] * 6, "bucket int, blob binary, _id long, n long, h1 long, h2 long, cid long, bits binary"
+FOUND = "_id long, n long, h1 long, h2 long, cid long, bits binary, a long, b long, gid long, part int, members array<long>"
+
 
+def _slices(raw: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    lo, size = 0, 0
+    for i, x in enumerate(raw):
+        size += len(x)
+        if size > limit:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(raw):
+        yield lo, len(raw)
+
+
+def _sampled(width: int):
+    """Shingle sets of texts, one row for each different set of a task's texts up to a number."""
 
-def _fingerprints(width: int):
     def run(batches):
-        hashes = WordHash()
+        seen: set[tuple[int, int, int]] = set()
         for batch in batches:
-            out = [[] for _ in _SETS]
-            for i, t in zip(column(batch, "_id"), texts(batch), strict=True):
-                s = shingle_set(t, hashes, width)
-                a, b, cid = set_key(s)
-                for c, x in zip(out, (i, len(s), a, b, cid, s.tobytes() if b % SAMPLE == 0 else None, sketch(s)), strict=True):
-                    c.append(x)
-            yield record_batch(_SETS, *out)
+            out, raw = [], list(dict.fromkeys(texts(batch)))
+            for lo, hi in _slices(raw):
+                for s in shingle_sets(raw[lo:hi], width):
+                    if len(s) and (k := set_key(s)) not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
+                        seen.add(k)
+                        out.append((k[0], k[1], s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["h1", "h2", "s"])
 
     return run
 
 
-def _exploded(batches):
-    for batch in batches:
-        got = [np.frombuffer(x, np.int64) for x in column(batch, "sampled")]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else np.empty(0, np.int64))], names=["token"])
-
+def _index(width: int, common, num: int, den: int, recurring: float, n_buckets: int):
+    """A row with the print of every document, and packed keys of the different sets of a task."""
 
-def _signatures(width: int, scheme: Scheme, n_buckets: int):
-    def flush(keys, cids) -> Iterator[pa.RecordBatch]:
-        if keys:
-            k = np.concatenate(keys)
+    def flush(scheme, sets, cids) -> Iterator[pa.RecordBatch]:
+        if sets:
+            k, owner, _ = scheme.keys(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))
             rec = np.empty(len(k), _KEY)
             rec["key"] = k.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-            rec["cid"] = np.repeat(np.array(cids, np.int64), [len(x) for x in keys])
-            rows = list(scattered(((k >> np.uint64(48)) * np.uint64(n_buckets) >> np.uint64(16)).astype(np.int32), rec))
+            rec["cid"] = np.array(cids, np.int64)[owner]
+            bucket = ((k >> np.uint64(48)) * np.uint64(n_buckets) >> np.uint64(16)).astype(np.int32)
+            yield bucket, rec
+
+    def sent(held) -> Iterator[pa.RecordBatch]:
+        if held:
+            rows = list(scattered(np.concatenate([b for b, _ in held]), np.concatenate([r for _, r in held])))
             for i in range(0, len(rows), 512):
-                yield record_batch(_PACKED, *zip(*rows[i : i + 512], strict=True))
+                part = rows[i : i + 512]
+                yield record_batch(_INDEXED, *zip(*part, strict=True), *([x] * len(part) for x in _NO_PRINT))
 
     def run(batches):
-        hashes, seen, keys, cids, held = WordHash(), set(), [], [], 0
+        scheme = Scheme(num, den, common.value, recurring)
+        seen: set[tuple[int, int]] = set()
+        known: dict[bytes, tuple] = {}
+        sets, cids, size, held, records = [], [], 0, [], 0
         for batch in batches:
-            for t in texts(batch):
-                s = shingle_set(t, hashes, width)
-                if len(s):
-                    a, b, cid = set_key(s)
-                    if (a, b) not in seen:
+            names, raw = column(batch, "_id"), texts(batch)
+            for lo, hi in _slices(raw):
+                prints = [xxhash.xxh3_128_digest(x) for x in raw[lo:hi]]
+                new = {p: x for p, x in zip(prints, raw[lo:hi], strict=True) if p not in known}
+                if len(known) > REMEMBERED:
+                    known = {p: known[p] for p in prints if p in known}
+                fresh = dict(zip(new, shingle_sets(list(new.values()), width), strict=True))
+                bits = {p: sketch(s) for p, s in fresh.items()}
+                known |= {p: (len(s), *set_key(s), bits[p] if len(bits[p]) <= 256 else None) for p, s in fresh.items()}
+                out = []
+                for i, p, x in zip(names[lo:hi], prints, raw[lo:hi], strict=True):
+                    n, a, b, cid, sk = known[p]
+                    sk = sk or bits.get(p) or sketch(shingle_sets([x], width)[0])
+                    out.append(((i ^ int.from_bytes(p)) % n_buckets, None, i, n, a, b, cid, sk))
+                yield record_batch(_INDEXED, *zip(*out, strict=True))
+                for p, s in fresh.items():
+                    n, a, b, cid, _ = known[p]
+                    if n and (a, b) not in seen:
+                        if len(seen) >= REMEMBERED:
+                            seen.clear()
                         seen.add((a, b))
-                        keys.append(scheme.keys(s))
+                        sets.append(s)
                         cids.append(cid)
-                        held += len(keys[-1])
-                        if held > FLUSH_RECORDS:
-                            yield from flush(keys, cids)
-                            keys, cids, held = [], [], 0
-        yield from flush(keys, cids)
+                        size += n
+                        if size >= TOGETHER:
+                            held += flush(scheme, sets, cids)
+                            records += len(held[-1][0])
+                            sets, cids, size = [], [], 0
+                            if records > FLUSH_RECORDS:
+                                yield from sent(held)
+                                held, records = [], 0
+        yield from sent([*held, *flush(scheme, sets, cids)])
 
     return run
 
 
+def _fits(n, m):
+    """Whether sets of these sizes may be similar; sizes that the short key cannot hold may."""
+    return (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) | (np.maximum(n, m) == SIZE_MASK)
+
+
 def _groups(batches):
-    """Sets that share a key, for each key of two sets or more; equal groups once."""
+    """Prints pass through. Of the sets that share a key: pairs of the first with each other one, and for three or more the
+    members in blocks, equal groups once."""
     parts = []
     for batch in batches:
-        for b, x in zip(column(batch, "bucket"), column(batch, "blob"), strict=True):
-            rec = np.frombuffer(x, _KEY)
-            key = np.zeros((len(rec), 8), np.uint8)
-            key[:, :6] = rec["key"]
-            parts.append((key.view("<u8")[:, 0] | np.uint64(b) << np.uint64(48), rec["cid"]))
+        if batch.num_rows:
+            blob = batch.column(1)
+            mine = batch.filter(blob.is_null())
+            none = pa.nulls(mine.num_rows)
+            yield pa.RecordBatch.from_arrays([*mine.columns[2:], *(none.cast(f.type) for f in list(_FOUND)[6:])], schema=_FOUND)
+            for b, x in zip(column(batch, "bucket"), blob.to_pylist(), strict=True):
+                if x is not None:
+                    rec = np.frombuffer(x, _KEY)
+                    key = np.zeros((len(rec), 8), np.uint8)
+                    key[:, :6] = rec["key"]
+                    parts.append((key.view("<u8")[:, 0] | np.uint64(b) << np.uint64(48), rec["cid"]))
     if not parts:
         return
     k, c = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, c = k[order], c[order]
     same = k[1:] == k[:-1]
     many = np.concatenate(([False], same)) | np.concatenate((same, [False]))
@@ -246,34 +328,44 @@ def _groups(batches):
     k, c = k[order], c[order]
     fresh = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1]))) if len(k) else np.zeros(0, bool)
     k, c = k[fresh], c[fresh]
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, int)
+    if not len(k):
+        return
+    lead = np.concatenate(([True], k[1:] != k[:-1]))
+    first = np.flatnonzero(lead)
     count = np.diff(np.append(first, len(k)))
-    two = first[count == 2]
-    out = [list(x) for x in {*zip(c[two].tolist(), c[two + 1].tolist(), strict=True)}]
-    seen = set()
-    for lo, n in zip(first[count > 2], count[count > 2], strict=True):
+    a, b = np.repeat(c[first], count), c
+    open_ = ~lead & _fits(a & SIZE_MASK, b & SIZE_MASK)
+    pairs = np.unique(np.stack((a[open_], b[open_]), axis=1), axis=0)
+    for i in range(0, len(pairs), 1 << 16):
+        part = pairs[i : i + (1 << 16)]
+        yield record_batch(_FOUND, *([None] * len(part) for _ in range(6)), part[:, 0], part[:, 1], *([None] * len(part) for _ in range(3)))
+    seen, out = set(), []
+    for lo, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
         m = c[lo : lo + n]
-        if (h := xxhash.xxh3_128_digest(m.tobytes())) not in seen:
-            seen.add(h)
-            out.append(m.tolist())
-    for i in range(0, len(out), 4096):
-        yield record_batch(_MEMBERS, out[i : i + 4096])
+        gid = int.from_bytes(xxhash.xxh3_64_digest(m.tobytes()), "little", signed=True)
+        if gid not in seen:
+            seen.add(gid)
+            out += [(gid, i // BLOCK, m[i : i + BLOCK]) for i in range(0, n, BLOCK)]
+            if len(out) >= 4096:
+                yield record_batch(_FOUND, *([None] * len(out) for _ in range(8)), *zip(*out, strict=True))
+                out = []
+    if out:
+        yield record_batch(_FOUND, *([None] * len(out) for _ in range(8)), *zip(*out, strict=True))
 
 
 def _bodies(width: int):
     """Shingle sets of the wanted documents; want: the set hashes asked for of the id."""
 
     def run(batches):
-        hashes = WordHash()
         for batch in batches:
-            out = [[] for _ in range(5)]
-            for i, t, want in zip(column(batch, "_id"), texts(batch), column(batch, "want"), strict=True):
-                s = shingle_set(t, hashes, width)
-                a, b, cid = set_key(s)
-                if any(w["h1"] == a and w["h2"] == b for w in want):
-                    for c, x in zip(out, (a, b, cid, i, s.tobytes()), strict=True):
-                        c.append(x)
-            yield record_batch(_BODY, *out)
+            names, raw, wants = column(batch, "_id"), texts(batch), column(batch, "want")
+            for lo, hi in _slices(raw):
+                out = []
+                for i, s, want in zip(names[lo:hi], shingle_sets(raw[lo:hi], width), wants[lo:hi], strict=True):
+                    a, b, cid = set_key(s)
+                    if any(w["h1"] == a and w["h2"] == b for w in want):
+                        out.append((a, b, cid, i, s.tobytes()))
+                yield record_batch(_BODY, *zip(*out, strict=True)) if out else record_batch(_BODY, *[[]] * 5)
 
     return run
 
@@ -300,7 +392,7 @@ def _verified(num: int, den: int):
             for ra, rb, x, y in zip(*(column(batch, c) for c in ("rep_a", "rep_b", "body_a", "body_b")), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = np.concatenate((x, y))
-                both.sort()
+                both.sort(kind="stable")
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 if den * shared >= num * (len(x) + len(y) - shared):
                     a.append(ra)
@@ -310,66 +402,62 @@ def _verified(num: int, den: int):
     return run
 
 
-def _folded(bits: list[bytes], size: int) -> np.ndarray:
-    """Bitmaps of at least this many bytes, one per row, folded onto it."""
-    out = np.empty((len(bits), size), np.uint8)
-    for k, x in enumerate(bits):
-        x = np.frombuffer(x, np.uint8)
-        while len(x) > size:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        out[k] = x
-    return out
-
-
-def _cross(num: int, den: int, last: bool, turn: int):
-    """Pairs of members of different components that bitmaps leave open.
+def _cross(num: int, den: int, last: bool):
+    """Pairs of an outsider of a group with members of other components that bitmaps leave open.
 
-    Of a group with many such pairs, all but the last turn take only those with a few pivots, the same ones in every group
-    that holds them, and say that more are left: most members are one component then.
+    All but the last turn give the nearest few of each outsider, and a row (-1, -1) if there are more: those pairs mostly
+    join the outsider to the component that holds most of the group.
     """
 
     def run(batches):
-        seen: set[tuple[int, int]] = set()
+        left = False
         for batch in batches:
-            a, b, left = [], [], False
+            found: set[tuple[int, int]] = set()
             for group in column(batch, "of"):
-                group.sort(key=lambda x: (len(x["bits"]), x["cid"]))
+                group.sort(key=lambda x: len(x["bits"]))
                 cid, comp = (np.array([x[k] for x in group], np.int64) for k in ("cid", "comp"))
-                size, n = np.array([len(x["bits"]) for x in group]), cid & SIZE_MASK
-                _, each = np.unique(comp, return_counts=True)
-                full = last or (len(cid) ** 2 - int((each**2).sum())) // 2 <= PAIRS_PER_MEMBER * len(cid)
-                order = np.argsort(fmix(cid.view(np.uint64) + np.uint64(turn)))
-                first = range(len(cid)) if full else order[:PIVOTS].tolist()
-                left |= not full
-                folded: dict[int, np.ndarray] = {}
-                for i in first:
-                    if (z := int(size[i])) not in folded:
-                        folded[z] = _folded([x["bits"] if len(x["bits"]) >= z else bytes(z) for x in group], z)
-                    other = (comp != comp[i]) & _sizes_fit(n[i], n)
-                    if full:
-                        other[: i + 1] = False
+                out, n, size = np.array([x["out"] for x in group]), cid & SIZE_MASK, np.array([len(x["bits"]) for x in group])
+                tables: dict[int, np.ndarray] = {}
+                for i in np.flatnonzero(out).tolist():
+                    other = (comp != comp[i]) & _fits(n[i], n) & ~(out & (cid < cid[i]))
                     at = np.flatnonzero(other)
-                    known = at[size[at] >= z]
-                    bound = (den - num) * (n[i] + n[known]) // (den + num)
-                    near = known[(np.bitwise_count(folded[z][known] ^ folded[z][i]).sum(axis=1) <= bound) | (n[known] == SIZE_MASK)]
-                    for j in (*near.tolist(), *at[size[at] < z].tolist()):
-                        pair = (min(int(cid[i]), int(cid[j])), max(int(cid[i]), int(cid[j])))
-                        if pair not in seen:
-                            seen.add(pair)
-                            a.append(pair[0])
-                            b.append(pair[1])
-                if len(seen) > 1 << 20:
-                    seen.clear()
-            if left:
-                a.append(-1)
-                b.append(-1)
-            yield from (record_batch(_PAIR, a[i : i + 65536], b[i : i + 65536]) for i in range(0, len(a), 65536))
+                    bound = (den - num) * (n[i] + n[at]) // (den + num)
+                    bits = np.empty(len(at), np.int64)
+                    for z in np.unique(np.minimum(size[at], size[i])).tolist():
+                        if z not in tables:
+                            tables[z] = np.stack([folded(x["bits"], z) if len(x["bits"]) >= z else np.zeros(z // 8, np.uint64) for x in group]) if z else np.zeros((len(group), 0), np.uint64)
+                        here = np.minimum(size[at], size[i]) == z
+                        bits[here] = np.bitwise_count(tables[z][at[here]] ^ tables[z][i]).sum(axis=1)
+                    near = np.flatnonzero((bits <= bound) | (n[at] == SIZE_MASK) | (n[i] == SIZE_MASK))
+                    if not last and len(near) > FIRST_TRIES:
+                        left = True
+                        near = near[np.argsort(bits[near] - bound[near], kind="stable")[:FIRST_TRIES]]
+                    found.update((min(int(cid[i]), x), max(int(cid[i]), x)) for x in cid[at[near]].tolist())
+            pairs = sorted(found)
+            yield from (record_batch(_PAIR, *zip(*pairs[i : i + 65536], strict=True)) for i in range(0, len(pairs), 65536))
+        if left:
+            yield record_batch(_PAIR, [-1], [-1])
 
     return run
 
 
-def _sizes_fit(n, m):
-    return (4 * np.minimum(n, m) >= 3 * np.maximum(n, m)) | (np.maximum(n, m) == SIZE_MASK)
+def _units(mixed: DataFrame) -> DataFrame:
+    """Rows (gid, x, y) -> of: the members of a group that one task compares, at most twice BLOCK on the mean.
+
+    mixed: (gid, cid, comp, out, n_group, n_out). A large group is cut into blocks of members and blocks of outsiders (by hashes
+    of the member); each pair of blocks is a unit, so a member goes into as many units as there are blocks of outsiders.
+    """
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
+    here = lambda n, seed: F.pmod(F.xxhash64("cid", F.lit(seed)), blocks(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    one = mixed.where(f"n_group <= {BLOCK}").select("gid", F.lit(0).alias("x"), F.lit(0).alias("y"), "cid", "comp", "bits", "out")
+    big = mixed.where(f"n_group > {BLOCK}")
+    members = big.where("not out").select("gid", here("n_group", 1).alias("x"), every("n_out").alias("y"), "cid", "comp", "bits", F.lit(False).alias("out"))
+    # an outsider is compared as such in every unit of its block, and with the other outsiders where it is a member
+    outside = big.where("out").select("gid", every("n_group").alias("x"), here("n_out", 2).alias("y"), "cid", "comp", "bits", F.lit(True).alias("out"))
+    also = big.where("out and n_out > 1").withColumn("own", here("n_out", 2)).withColumn("y", every("n_out")).where("y <> own")
+    also = also.select("gid", here("n_group", 1).alias("x"), "y", "cid", "comp", "bits", F.lit(False).alias("out"))
+    return one.unionByName(members).unionByName(outside).unionByName(also).groupBy("gid", "x", "y").agg(F.collect_list(F.struct("cid", "comp", "bits", "out")).alias("of"))
 
 
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -382,24 +470,31 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A null or empty text, or one without words, has an empty set and no links. Text of fewer words than width is one
     shingle. Null ids count as one id larger than all others. Repeated rows and ties are members of one class. Other
-    columns are ignored. num/den must be 3/4 or more.
+    columns are ignored. No documents give no rows. num/den must be 3/4 or more.
     """
     if 4 * num < 3 * den:
         raise ValueError("similarities under 0.75 are not indexed")
     spark, docs = df.sparkSession, keyed(df, id_col, text_col)
-    prints = cut(arrow_map(docs, _fingerprints(width), "_id long, n long, h1 long, h2 long, cid long, sampled binary, bits binary"))
-    sampled = prints.where("sampled is not null and n > 0").dropDuplicates(["h1", "h2"]).select("sampled")
-    again = cut(arrow_map(sampled, _exploded, "token long").groupBy("token").count().where("count >= 2"))
-    total = prints.where("sampled is not null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    lent = docs.where(F.pmod(F.xxhash64("_text"), F.lit(SAMPLE)) == 0)
+    lent = arrow_map(lent, _sampled(width), "h1 long, h2 long, s array<long>").dropDuplicates(["h1", "h2"])
+    again = cut(lent.select(F.explode("s").alias("token")).groupBy("token").count())
+    total, twice = again.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum((F.col("count") > 1).cast("long")), F.lit(0))).first()
     common = again.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "token").limit(COMMON_LIMIT).toPandas()["token"].to_numpy(np.int64)
-    recurring = min(0.9, SAMPLE**0.5 * again.count() / max(1, total))
-    scheme = Scheme(num, den, np.sort(common.view(np.uint64)), recurring)
-
-    classes = prints.where("n > 0").groupBy("h1", "h2", "cid").agg(F.min("_id").alias("rep"))
-    packed = arrow_map(docs, _signatures(width, scheme, buckets(spark)), "bucket int, blob binary")
-    groups = cut(arrow_map(packed.repartition("bucket"), _groups, "members array<long>").distinct())
-    wanted = groups.select(F.explode("members").alias("cid")).distinct()
-    seen = cut(prints.join(wanted, "cid").groupBy("h1", "h2", "cid").agg(F.min("_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+    recurring = min(0.9, SAMPLE**0.5 * twice / max(1, total))
+    common = spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
+
+    indexed = arrow_map(docs, _index(width, common, num, den, recurring, buckets(spark)), INDEXED)
+    found = cut(arrow_map(indexed.repartition("bucket"), _groups, FOUND))
+    prints = found.where("h1 is not null").select("_id", "n", "h1", "h2", "cid", "bits")
+    classes = prints.where("n > 0").groupBy("h1", "h2", "cid", "n").agg(F.min("_id").alias("rep"))
+    pairs = found.where("a is not null").select("a", "b").distinct()
+    groups = found.where("gid is not null").select("gid", "part", "members").distinct()
+    members = groups.select("gid", F.explode("members").alias("cid"))
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(members.select("cid")).distinct()
+    seen = cut(classes.join(wanted, "cid"))
+    own = prints.select(F.col("_id").alias("rep"), "h1", "h2", "bits")
+    seen = attach(own, seen, ["rep", "h1", "h2"], "inner").groupBy("h1", "h2", "cid", "n", "rep").agg(F.first("bits").alias("bits"))
+    seen = cut(seen)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Links between representatives among these pairs of short keys."""
@@ -407,33 +502,29 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         near = cut(arrow_map(pairs.join(side("b"), "b").join(side("a"), "a"), _near(num, den), "a long, b long").distinct())
         asked = seen.join(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
         asked = cut(asked.groupBy(F.col("rep").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("want")))
-        bodies = arrow_map(attach(docs, asked, "_id", "inner"), _bodies(width), "h1 long, h2 long, cid long, rep long, body binary")
+        bodies = arrow_map(attach(docs, asked, "_id", "inner", F.size("want") * 16), _bodies(width), "h1 long, h2 long, cid long, rep long, body binary")
         side = lambda x: bodies.select(F.col("cid").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("body").alias(f"body_{x}"))
         return cut(arrow_map(near.join(side("b"), "b").join(side("a"), "a"), _verified(num, den), "a long, b long").distinct())
 
-    n = lambda c: F.col(c).bitwiseAND(SIZE_MASK)
-    fit = (4 * F.least(n("a"), n("b")) >= 3 * F.greatest(n("a"), n("b"))) | (F.greatest(n("a"), n("b")) == SIZE_MASK)
-    star = groups.select(F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b"))
-    links = verified(star.where(fit).distinct())
-
-    big = groups.where(F.size("members") > 2)
-    if not big.isEmpty():
-        # very large groups as pairs of blocks, so that no task holds one whole
-        blocks = F.expr(f"transform(sequence(0, cast(ceil(size(members) / {BLOCK}) as int) - 1), i -> slice(members, i * {BLOCK} + 1, {BLOCK}))")
-        big = big.withColumn("blocks", blocks).withColumn("x", F.explode(F.expr("sequence(0, size(blocks) - 1)"))).withColumn("y", F.explode(F.expr("sequence(if(size(blocks) > 1, x + 1, x), greatest(x, size(blocks) - 1))"))).where("y < size(blocks)")
-        big = big.withColumn("both", F.when(F.col("x") == F.col("y"), F.col("blocks")[F.col("x")]).otherwise(F.concat(F.col("blocks")[F.col("x")], F.col("blocks")[F.col("y")])))
-        members = cut(big.select(F.xxhash64("members", "x", "y").alias("gid"), F.explode("both").alias("cid")))
-        for turn in range(TURNS):
-            last = turn == TURNS - 1
-            labels = seen.join(components(links), seen.rep == F.col("node"), "left").select("cid", "n", "bits", F.coalesce("component", "rep").alias("comp"))
-            labels = labels.groupBy("cid").agg(F.when(F.min("comp") == F.max("comp"), F.min("comp")).otherwise(-F.col("cid") - 1).alias("comp"), F.max_by("bits", F.length("bits")).alias("bits"), F.count(F.lit(1)).alias("k"))
-            labels = labels.select("cid", "comp", F.when(F.col("k") == 1, F.col("bits")).otherwise(F.lit(b"")).alias("bits"))
-            split = members.join(labels, "cid").groupBy("gid").agg(F.collect_set(F.struct("cid", "comp", "bits")).alias("of"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            more = cut(arrow_map(split.where("lo <> hi").select("of"), _cross(num, den, last, turn), "a long, b long").distinct())
-            links = cut(links.unionByName(verified(more.where("a >= 0"))))
-            if more.where("a < 0").isEmpty():
-                break
-    return prints.drop("sampled", "bits").join(classes, ["h1", "h2", "cid"], "left"), links
+    links = verified(pairs)
+    for last in (False, True):
+        # numbers alone tell which groups hold several components; only those are compared
+        labels = seen.select("cid", "rep", "n").join(components(links), seen.rep == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("comp"))
+        labels = labels.groupBy("cid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        labels = cut(labels.select("cid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.col("cid") - 1).alias("comp")))
+        told = cut(attach(members, labels, "cid", "inner"))
+        each = cut(told.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("k")))
+        mixed = each.groupBy("gid").agg(F.max_by("comp", "k").alias("main"), F.max("k").alias("most"), F.sum("k").alias("n_group"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        mixed = cut(mixed.select("gid", "main", "n_group", (F.col("n_group") - F.col("most")).alias("n_out")))
+        if mixed.isEmpty():
+            break
+        told = attach(told, mixed, "gid", "inner").withColumn("out", F.col("comp") != F.col("main"))
+        bits = seen.groupBy("cid").agg(F.first("bits").alias("bits"), F.count(F.lit(1)).alias("k")).select("cid", F.when(F.col("k") == 1, F.col("bits")).otherwise(F.lit(b"")).alias("bits"))
+        more = cut(arrow_map(_units(told.join(bits, "cid")).select("of"), _cross(num, den, last), "a long, b long").distinct())
+        links = cut(links.unionByName(verified(more.where("a >= 0"))))
+        if more.where("a < 0").isEmpty():
+            break
+    return prints.drop("bits").join(classes.drop("n"), ["h1", "h2", "cid"], "left"), links
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> DataFrame:

@@ -67,19 +67,8 @@ def test_jaccard_components(docs, texts):
     for i, t in texts.items():
         w = words(re.sub("[A-Z]", lambda m: m[0].lower(), t))
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
-    least = {i: i for i in sets}
-
-    def top(x):
-        while least[x] != x:
-            x = least[x]
-        return x
-
-    for i in sets:
-        for j in sets:
-            if j < i and sets[i] and 100 * (n := len(sets[i] & sets[j])) >= 75 * (len(sets[i]) + len(sets[j]) - n):
-                a, b = top(i), top(j)
-                least[max(a, b)] = min(a, b)
-    assert got == {i: (len(s), top(i)) for i, s in sets.items()}
+    top = components_of(sets)
+    assert got == {i: (len(s), top[i]) for i, s in sets.items()}
 
 
 def test_keep_one_decides_per_row(spark):
@@ -94,19 +83,28 @@ def test_keep_one_decides_per_row(spark):
     assert got == collections.Counter(want)
 
 
+def keys_of(scheme, *sets):
+    """Keys and tier of each set."""
+    k, owner, tier = scheme.keys(np.concatenate(sets), np.array([len(s) for s in sets]))
+    return [k[owner == i] for i in range(len(sets))], tier.tolist()
+
+
 def test_universe_partition_loses_no_pair():
-    rnd = np.random.default_rng(1)
-    for recurring, common in ((0.0, 0), (0.6, 60)):
-        for n in (1, 3, 5, 9, 17, 40, 130):
+    rnd, tiers = np.random.default_rng(1), collections.Counter()
+    for recurring, common in ((0.0, 0), (0.3, 30), (0.6, 55), (0.6, 75), (0.9, 95)):
+        for n in (1, 3, 5, 9, 17, 40, 130, 700):
             for _ in range(40):
                 a = np.unique(rnd.integers(0, 1 << 63, n).astype(np.uint64))
                 keep = a[rnd.random(len(a)) < 0.9]
                 b = np.unique(np.concatenate((keep, rnd.integers(0, 1 << 63, max(0, n // 12)).astype(np.uint64))))
-                scheme = ngram_jaccard.Scheme(75, 100, np.sort(a[: len(a) * common // 100]), recurring)
+                scheme = ngram_jaccard.Scheme(75, 100, np.sort(rnd.permutation(a)[: len(a) * common // 100]), recurring)
                 both = len(np.intersect1d(a, b))
                 if len(b) and 100 * both >= 75 * (len(a) + len(b) - both):
-                    assert len(np.intersect1d(scheme.keys(a), scheme.keys(b)))
+                    (ka, kb), tier = keys_of(scheme, a, b)
+                    tiers[max(tier)] += 1
+                    assert len(np.intersect1d(ka, kb))
                     assert ngram_jaccard.apart(ngram_jaccard.sketch(a), ngram_jaccard.sketch(b)) <= len(a) + len(b) - 2 * both
+    assert min(tiers[0], tiers[1], tiers[2]) > 50
 
 
 @pytest.mark.parametrize(("n", "m"), [(6, 8), (12, 16), (15, 20)])
@@ -115,7 +113,56 @@ def test_a_set_meets_the_next_band(n, m):
     scheme = ngram_jaccard.Scheme(75, 100, np.empty(0, np.uint64), 0.0)
     for _ in range(3000):
         b = rnd.integers(0, 1 << 63, m).astype(np.uint64)
-        assert len(np.intersect1d(scheme.keys(np.sort(b[:n])), scheme.keys(np.sort(b))))
+        (ka, kb), _ = keys_of(scheme, np.sort(b[:n]), np.sort(b))
+        assert len(np.intersect1d(ka, kb))
+
+
+def components_of(sets):
+    """The smallest id that links of similarity 0.75 reach, by comparing all sets."""
+    least, held = {i: i for i in sets}, collections.defaultdict(list)
+
+    def top(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i in sorted(sets):
+        for j, n in collections.Counter(j for x in sets[i] for j in held[x]).items():
+            if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = top(i), top(j)
+                least[max(a, b)] = min(a, b)
+        for x in sets[i]:
+            held[x].append(i)
+    return {i: top(i) for i in sets}
+
+
+def test_large_groups_of_near_copies(spark, monkeypatch):
+    """Thousands of near copies of three texts that share a passage, with outsiders; blocks smaller than the groups."""
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", 256)
+    rnd = random.Random(4)
+    passage = [f"p{k}" for k in range(60)]
+    rows = []
+    for i in range(2500):
+        w = [*passage, *(f"b{i % 3}x{k}" for k in range(80))]
+        for _ in range(rnd.choice((0, 1, 2, 3, 5, 9, 30))):
+            w[rnd.randrange(len(w))] = f"r{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(make(spark, rows)).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    assert got == components_of(sets)
+
+
+def test_one_deletion_neighbourhoods_are_used(docs):
+    """On the test documents some sets take allowance 1, and the neighbourhoods are among their keys."""
+    raw = [t.encode() for (t,) in docs.select("text").where("text is not null").distinct().collect()]
+    sets = [s for s in ngram_jaccard.shingle_sets(raw, 5) if len(s)]
+    token, k = np.unique(np.concatenate(sets), return_counts=True)
+    scheme = ngram_jaccard.Scheme(75, 100, token[k >= 3], 0.1)
+    keys, tier = keys_of(scheme, *sets)
+    assert 1 in tier
+    i = tier.index(1)
+    full = ngram_jaccard.Scheme(75, 100, np.empty(0, np.uint64), 0.1)
+    assert len(keys[i]) > len(keys_of(full, sets[i])[0][0])
 
 
 def test_substring_dedup(docs, texts):
