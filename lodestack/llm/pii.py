@@ -13,25 +13,30 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import arrow_map, column, keyed, public_id, record_batch, texts
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Most tokens of a span, and most windows that training reads.
-MAX_TOKENS, SAMPLE_WINDOWS, SAMPLE_DOCS = 16, 240, 4000
+#: Most tokens of a span.
+MAX_TOKENS = 16
+#: Bounds of what training reads: about so many documents, most windows in all, of one text and of one shape, and the most
+#: characters of a window.
+SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOWS_PER_TEXT, WINDOWS_PER_SHAPE, WINDOW_CHARS = 40_000, 240, 8, 8, 200
 #: Log-odds by which a span must beat its tokens' being no data.
 MARGIN = 1.0
 
 # The patterns of the four base kinds.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# An address is found from its @ outwards, and an ip only where a run of digits begins, so long runs are read once.
+EMAIL_LOCAL, EMAIL_HOST = re.compile(r"[A-Za-z0-9._%+-]+"), re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _DIGIT = re.compile(r"[0-9]")
-_WINDOW = re.compile(r"[^\s]*[0-9@][^\s]*(?: [^\s]*[0-9@][^\s]*)*")
+_MARKED = re.compile(r"[0-9@]\S*")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|.", re.S)
 _SECRET = re.compile(r"(?i)\b(?:token|secret|api_?key|password)\s*[=:]\s*[\"']?([0-9A-Za-z_-]{24,})")
 _NAMED = re.compile(r"(?i)(?:token|secret|key|password)\s*[=:]\s*[\"']?$")
@@ -47,13 +52,45 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _number(s: str) -> bool:
+    return s.isascii() and s.isdigit()
+
+
+def _emails(text: str) -> list[tuple[int, int, str]]:
+    found, free, at = [], 0, text.find("@")
+    while at >= 0:
+        local = EMAIL_LOCAL.match(text[free:at][::-1])
+        host = EMAIL_HOST.match(text, at + 1) if local else None
+        if host:
+            found.append((at - local.end(), host.end(), "email"))
+        free = host.end() if host else at + 1
+        at = text.find("@", free)
+    return found
+
+
+def windows(text: str) -> list[tuple[int, int]]:
+    """Runs of words with a digit or an @, each one space from the next. Linear in the text."""
+    found, last = [], 0
+    for m in _MARKED.finditer(text):
+        lo, hi = m.span()
+        before = text[last:lo]
+        if before and not before[-1].isspace():
+            lo -= len(before.rsplit(None, 1)[-1])
+        if found and lo == last + 1 and text[last] == " ":
+            found[-1] = found[-1][0], hi
+        else:
+            found.append((lo, hi))
+        last = hi
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans of the base kinds, by start and then kind."""
     found = []
     if "@" in text:
-        found += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text)]
+        found += _emails(text)
     if _DIGIT.search(text):
-        found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(x.lstrip("0")) < 4 and int(x) <= 255 for x in m.group().split("."))]
+        found += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(x) < 4 and int(x or "0") <= 255 for x in (p.lstrip("0") for p in m.group().split(".")))]
         for m in CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -71,16 +108,16 @@ def features(text: str, lo: int, hi: int) -> np.ndarray:
     s = text[lo:hi]
     digits = "".join(_DIGIT.findall(s))
     n, before, after = len(digits), text[lo - 1 : lo], text[hi : hi + 1]
-    parts = s.split(".")
+    parts, bare = s.split("."), s.replace(" ", "").replace("-", "")
     at = s.count("@")
     f = (
         1,
         at == 1 and 0 < s.index("@") and "." in s[s.index("@") :] and s[-1] != ".",
         at > 0,
-        len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts),
+        len(parts) == 4 and all(len(p) < 4 and _number(p) and int(p) < 256 for p in parts),
         "." in s,
-        12 <= n <= 19 and s.replace(" ", "").replace("-", "").isdigit(),
-        12 <= n <= 19 and s.replace(" ", "").replace("-", "").isdigit() and luhn(digits),
+        12 <= n <= 19 and bare.isdigit(),
+        12 <= n <= 19 and bare.isdigit() and luhn(digits),
         9 <= n <= 15,
         s[0] == "+",
         s[0] == "+" and 9 <= n <= 15,
@@ -96,8 +133,8 @@ def features(text: str, lo: int, hi: int) -> np.ndarray:
         after.isalnum() or after in ("@", "_"),
         before in (".", "(", ")") and n > 0,
         after in (".", "-") and text[hi + 1 : hi + 2].isalnum(),
-        before == " " and text[lo - 2 : lo - 1].isdigit(),
-        after == " " and text[hi + 1 : hi + 2].isdigit(),
+        before == " " and _number(text[lo - 2 : lo - 1]),
+        after == " " and _number(text[hi + 1 : hi + 2]),
     )
     return np.array(f, np.float64)
 
@@ -187,14 +224,24 @@ def decode(text: str, lo: int, hi: int, w: np.ndarray) -> list[tuple[int, int, s
 def all_spans(text: str, w: np.ndarray | None, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Base spans, and those of the field that touch none of them."""
     spans = list(base)
-    if w is not None and (_DIGIT.search(text) or "@" in text):
-        for m in _WINDOW.finditer(text):
-            k = [b for b in base if b[0] < m.end() and b[1] > m.start()]
-            spans += [s for s in decode(text, m.start(), m.end(), w) if all(s[1] <= b[0] or s[0] >= b[1] for b in k)]
+    if w is not None:
+        taken: list[list[int]] = []  # the union of base spans, in order
+        for lo, hi, _ in base:
+            if taken and lo < taken[-1][1]:
+                taken[-1][1] = max(hi, taken[-1][1])
+            else:
+                taken.append([lo, hi])
+        k = 0
+        for lo, hi in windows(text):
+            for s in decode(text, lo, hi, w):
+                while k < len(taken) and taken[k][1] <= s[0]:
+                    k += 1
+                if k == len(taken) or s[1] <= taken[k][0]:
+                    spans.append(s)
     return sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-_SAMPLE = pa.schema([("_id", pa.int64()), ("around", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("spans", pa.string())])
+_SAMPLE = pa.schema([("around", pa.string()), ("lo", pa.int32()), ("hi", pa.int32()), ("spans", pa.string())])
 _FOUND = pa.schema([("_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("n_added", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string()), ("redacted", pa.string())])
 
 
@@ -202,30 +249,34 @@ def _windows(batches):
     """Windows of texts with their labels and surroundings."""
     for batch in batches:
         out = []
-        for i, raw in zip(column(batch, "_id"), texts(batch), strict=True):
+        for raw in texts(batch):
             text = raw.decode("utf-8", "replace")
-            if not _DIGIT.search(text) and "@" not in text:
-                continue
-            gold = [*base_spans(text), *((m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text))]
-            for m in list(_WINDOW.finditer(text))[:8]:
-                if m.end() - m.start() < 200:
-                    a = max(0, m.start() - 20)
-                    mine = [(x - a, y - a, k) for x, y, k in gold if m.start() <= x and y <= m.end()]
-                    out.append((i, text[a : m.end() + 4], m.start() - a, m.end() - a, ";".join(f"{x},{y},{k}" for x, y, k in mine)))
-        yield record_batch(_SAMPLE, *zip(*out, strict=True)) if out else record_batch(_SAMPLE, *[[]] * 5)
+            some = sorted((w for w in windows(text) if w[1] - w[0] < WINDOW_CHARS), key=lambda w: xxhash.xxh3_64_intdigest(text[w[0] : w[1]]))[:WINDOWS_PER_TEXT]
+            gold = [*base_spans(text), *((m.start(1), m.end(1), "secret") for m in _SECRET.finditer(text))] if some else []
+            for lo, hi in some:
+                a = max(0, lo - 20)
+                mine = [(x - a, y - a, k) for x, y, k in gold if lo <= x and y <= hi]
+                out.append((text[a : hi + 4], lo - a, hi - a, ";".join(f"{x},{y},{k}" for x, y, k in mine)))
+        yield record_batch(_SAMPLE, *zip(*out, strict=True)) if out else record_batch(_SAMPLE, *[[]] * 4)
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> np.ndarray | None:
-    """Weights fitted on at most sample_windows windows of at most sample_docs documents; None if there are none."""
-    some = docs.where(F.col("_text").rlike("[0-9@]")).select("_id", "_text", F.xxhash64("_id").alias("order")).orderBy("order", "_id").limit(sample_docs).drop("order")
-    rows = arrow_map(some, _windows, "_id long, around string, lo int, hi int, spans string")
-    rows = rows.orderBy(F.xxhash64("_id", "around", "lo"), "around", "lo").limit(sample_windows * 20).collect()
+    """Weights fitted on at most sample_windows windows of about sample_docs documents, chosen by hashes of id and text.
+
+    docs: (_id, _text). Of a text at most WINDOWS_PER_TEXT windows are read, of windows of one shape (letters and digits
+    alike) at most WINDOWS_PER_SHAPE, and none of WINDOW_CHARS characters or more. None if no window has a labelled span.
+    These bounds concern training alone; spans are sought in whole texts.
+    """
+    share = (1 << 30) * sample_docs // max(1, docs.count())
+    some = docs.where(F.pmod(F.xxhash64("_id", "_text"), F.lit(1 << 30)) < share)
+    rows = arrow_map(some, _windows, "around string, lo int, hi int, spans string").distinct()
+    rows = rows.orderBy(F.xxhash64("around", "lo"), "around", "lo").limit(sample_windows * 20).collect()
     kept, shapes = [], {}
     for r in rows:
         gold = [(int(a), int(b), k) for a, b, k in (x.split(",") for x in r["spans"].split(";") if x)]
         shape = re.sub("[a-z]+", "a", re.sub("[0-9]", "9", r["around"][r["lo"] : r["hi"]])), tuple(k for _, _, k in gold)
         shapes[shape] = shapes.get(shape, 0) + 1
-        if shapes[shape] <= 8 and len(kept) < sample_windows:
+        if shapes[shape] <= WINDOWS_PER_SHAPE and len(kept) < sample_windows:
             kept.append((r["around"], r["lo"], r["hi"], gold))
     return train(kept) if any(g for *_, g in kept) else None
 
@@ -287,7 +338,11 @@ def _redacted(at: int, length_at: int | None, w: np.ndarray | None):
 
 
 def redact_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The rows of df with personal data replaced by <KIND>; length_col is brought up to date. Null texts stay null."""
+    """The rows of df with personal data replaced by <KIND>; length_col is brought up to date where a text changed.
+
+    Null texts stay null, empty ones empty. Repeated rows stay and are treated alike, null ids too; other columns pass
+    through. An empty table gives an empty one.
+    """
     w = fit(keyed(df, id_col, text_col))
     length = df.columns.index(length_col) if length_col in df.columns else None
     return arrow_map(df, _redacted(df.columns.index(text_col), length, w), df.schema)
