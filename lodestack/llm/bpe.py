@@ -94,13 +94,15 @@ class ByteBPE:
             self.tokenizer = Tokenizer.from_str(tokenizer_json(read_ranks(path), pattern))
         else:
             self.tokenizer = Tokenizer.from_file(path)
-            self.tokenizer.encode_special_tokens = True
         self.path, self.table = path, byte_table(path)
         self.lengths = np.array([len(x) for x in self.table], np.int64)
         self.words: dict[str, bytes] = {}  # ids of " " + word, 4 bytes each
         self.older: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.mapped = {b: c for b, c in enumerate(byte_chars())}
+        #: Added tokens, which the library finds anywhere in a text before it splits.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         self.bare = Tokenizer.from_str(self.tokenizer.to_str())
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
@@ -124,6 +126,10 @@ class ByteBPE:
             self.words, self.older = {}, self.words
         chunked, heads = [], []
         for text in batch:
+            if self.added and self.added.search(text):
+                heads.append(text)
+                chunked.append(())
+                continue
             head, *rest = _STARTS.split(text) if _INNER.search(text) else text.split(" ")
             heads.append(head)
             chunked.append(rest)
@@ -254,7 +260,11 @@ def bpe_encode(df: DataFrame, path: str, pattern: str | None = None, id_col: str
 
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The rows of bpe_encode with their decoded bytes."""
+    """The rows of bpe_encode with their decoded bytes.
+
+    No ids decode to no bytes; ids that end inside a character decode to the front of it. Repeated rows and null ids stay;
+    columns other than bpe_encode's are ignored. No rows give no rows.
+    """
     return arrow_map(encoded.select("_id", "n_tokens", "ids", "offsets"), _decode(path), "_id long, n_tokens long, ids binary, offsets binary, decoded binary")
 
 
