@@ -19,7 +19,7 @@ from lodestack.llm.bpe import loaded, slices
 from lodestack.llm.common import arrow_map, column, cut, keyed, public_id, record_batch, texts
 
 #: Pieces of one length that are ranked together in one task.
-RANKED_TOGETHER = 200_000
+RANKED_TOGETHER = 1_000
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -130,8 +130,9 @@ def pack_best_fit(df: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     Other columns are ignored. No documents give no rows.
     """
     pieces = cut(arrow_map(keyed(df, id_col, text_col), _pieces(path, end, capacity), "_id long, piece int, start long, length long, ids_crc32 long"))
-    n = pieces.count()
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("_id", "start"), F.lit(1 + n // RANKED_TOGETHER)))
+    # salts by length: at most capacity numbers, so the side is small
+    salts = pieces.groupBy("length").agg((F.lit(1) + F.floor(F.count(F.lit(1)) / RANKED_TOGETHER)).alias("salts"))
+    salted = pieces.join(F.broadcast(cut(salts)), "length").withColumn("salt", F.pmod(F.xxhash64("_id", "start", "ids_crc32"), "salts")).drop("salts")
     by_salt = cut(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
     counts = {int(r["length"]): int(r["n"]) for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
