@@ -1,10 +1,11 @@
 """Sharding by a k-d tree over metadata, with DataFrame functions alone.
 
 A node that is to hold k shards is split in the share of floor(k/2) to k at the weighted median (by bytes) of its widest
-dimension. Widths are measured in the units of the whole table. Cuts fall between single rows: every dimension is
-extended by hashes of the text and of the id, so ties have an order and equal texts lie side by side. A median is found
-by histograms that are refined around the cut, so no row moves before its shard is known, and the driver holds a few
-numbers per node. In the end whole rows are handed from shards above the mean to those below.
+dimension. Widths are measured in the units of the whole table. Equal texts are one item, which no cut parts; only a group
+of more bytes than a fixed part of a shard is dealt into several items by hashes of the id, for it could not be levelled.
+Every dimension is extended by hashes of the text and of the id, so ties have an order. A median is found by histograms
+that are refined around the cut, so no item moves before its shard is known, and the driver holds a few numbers per
+node. In the end whole items are handed from shards above the mean to those below.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from lodestack.llm.common import NO_ID, attach, cut, public_id
 #: Bits of a dimension's value and of the hash that orders ties.
 VALUE_BITS, TIE_BITS = 22, 40
 BINS = 4096
+#: A group of equal texts is parted if it has more than this part of a shard's bytes.
+GROUP_PART = 16
 #: Rows of one shard that are numbered together.
 NUMBERED_TOGETHER = 250_000
 
@@ -30,14 +33,28 @@ def _measured(docs: DataFrame, dims: dict) -> DataFrame:
     """Sizes and dimensions as non-negative longs: the value in the upper bits, the order of ties below."""
     text = F.coalesce("_text", F.lit(""))
     tie = F.shiftleft(F.shiftrightunsigned(F.xxhash64("_text"), 64 - TIE_BITS // 2), TIE_BITS // 2) + F.shiftrightunsigned(F.xxhash64("_id", F.lit(1)), 64 - TIE_BITS // 2)
-    rows = docs.select("_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), tie.alias("tie"), *(e.cast("double").alias(d) for d, e in dims.items()))
+    prints = F.xxhash64("_text").alias("t1"), F.xxhash64(F.lit(1), F.col("_text").isNull(), "_text").alias("t2")
+    rows = docs.select("_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), tie.alias("tie"), *prints, *(e.cast("double").alias(d) for d, e in dims.items()))
     return cut(rows)
 
 
+def _items(rows: DataFrame, shards: int, dims: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows with the item (t1, t2, part) of each, and the items: rows of equal texts, large groups in several parts."""
+    size, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
+    size, n = (max(1, x // (shards * GROUP_PART)) for x in (size, n))
+    # at most twice shards * GROUP_PART groups are so large
+    large = rows.groupBy("t1", "t2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("k")).where(f"k > 1 and (bytes > {size} or k > {n} + 1)")
+    large = cut(large.select("t1", "t2", F.ceil(F.greatest(F.col("bytes") / size, F.col("k") / n)).alias("parts")))
+    rows = rows.join(F.broadcast(large), ["t1", "t2"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("_id", F.lit(2)), "parts"), F.lit(0))).drop("parts")
+    items = rows.groupBy("t1", "t2", "part").agg(F.sum("size").alias("size"), F.min("_id").alias("_id"), F.min("tie").alias("tie"), *(F.min(d).alias(d) for d in dims))
+    return rows.select("_id", "size", "crc", "tie", "t1", "t2", "part"), items
+
+
 def kd_shards(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", dims: dict | None = None) -> DataFrame:
     """One row per document: id, size, text_crc32, shard, slot.
 
-    size is the UTF-8 length of the text (null: none) plus 8; shards hold near equal sums of it. slot numbers the rows of
+    size is the UTF-8 length of the text (null: none) plus 8; shards hold near equal sums of it. Equal texts share a shard,
+    unless they have more than 1/GROUP_PART of a shard's bytes. slot numbers the rows of
     a shard from 0 without gaps. dims: named numeric expressions over the columns of df; by default length, id, source
     and language. Nulls in a dimension sort first. Repeated rows are rows of their own. A shard may stay empty if there
     are fewer rows than shards. Columns of df matter only as far as dims name them.
@@ -48,19 +65,21 @@ def kd_shards(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col:
         dims |= {c: code(c) for c in ("source", "lang") if c in df.columns and c not in (id_col, text_col)}
     own = {f"_d{k}": e for k, e in enumerate(dims.values())}
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).alias("_text"), *(e.alias(d) for d, e in own.items()))
-    rows = _measured(docs, {d: F.col(d) for d in own})
+    every, rows = _items(_measured(docs, {d: F.col(d) for d in own}), shards, list(own))
+    rows = cut(rows)
     ends = rows.agg(*(f(d).alias(f"{n}{d}") for d in own for n, f in (("lo", F.min), ("hi", F.max)))).first()
     scale = {d: (ends[f"lo{d}"] or 0.0, max((ends[f"hi{d}"] or 0.0) - (ends[f"lo{d}"] or 0.0), 1e-9)) for d in own}
     value = lambda d: F.floor((F.coalesce(F.col(d), F.lit(scale[d][0])) - scale[d][0]) / scale[d][1] * ((1 << VALUE_BITS) - 1)).cast("long")
-    rows = rows.select("_id", "size", "crc", "tie", *(F.shiftleft(value(d), TIE_BITS).bitwiseOR(F.col("tie")).alias(d) for d in own))
+    rows = rows.select("_id", "size", "tie", "t1", "t2", "part", *(F.shiftleft(value(d), TIE_BITS).bitwiseOR(F.col("tie")).alias(d) for d in own))
 
     open_nodes = [[*range(shards)]] if shards > 1 else []
     rows = rows.withColumn("node", F.lit(0 if shards > 1 else -1))
     while open_nodes:
         rows, open_nodes = _split(rows, open_nodes, list(own))
-    placed = rows.select("_id", "size", "crc", "tie", (-F.col("node") - 1).alias("shard"))
-    placed = _levelled(placed, shards)
-    count = rows.count()
+    placed = rows.select("_id", "size", "tie", "t1", "t2", "part", (-F.col("node") - 1).alias("shard"))
+    placed = _levelled(placed, shards).select("t1", "t2", "part", "shard")
+    placed = every.join(placed, ["t1", "t2", "part"])
+    count = every.count()
     salted = placed.withColumn("salt", F.pmod(F.xxhash64("_id", "tie"), F.lit(1 + count // (shards * NUMBERED_TOGETHER))))
     salted = cut(salted)
     counts = salted.groupBy("shard", "salt").agg(F.count(F.lit(1)).alias("n"))
@@ -108,7 +127,7 @@ def _split(rows: DataFrame, nodes: list[list[int]], dims: list[str]) -> tuple[Da
 
 
 def _levelled(placed: DataFrame, shards: int) -> DataFrame:
-    """Hand small rows of shards above the mean to shards below it, so that sums differ by less than such a row."""
+    """Hand small items of shards above the mean to shards below it, so that sums differ by less than such an item."""
     sums = {r["shard"]: r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
     mean = sum(sums.values()) / shards
     over = {s: b - mean for s, b in sums.items() if b > mean}
