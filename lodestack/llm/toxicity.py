@@ -8,7 +8,6 @@ toxic texts, others 0. The output is the expected severity, the sum of P(grade >
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,49 +66,69 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int = GRADES, rounds: int
     return p[:d], p[d] + np.concatenate(([0], np.cumsum(np.exp(p[d + 1 :]))))
 
 
-_BAG = pa.schema([("toxic", pa.int32()), ("m0", pa.int64()), ("m1", pa.int64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32()))])
 _SCORE = pa.schema([("_id", pa.int64()), ("severity", pa.float64())])
+_BAG = pa.schema([("toxic", pa.int32()), ("m0", pa.int64()), ("m1", pa.int64()), ("_text", pa.string())])
+_WORDS = pa.schema([("toxic", pa.int32()), ("word", pa.binary())])
+_ROW = pa.schema([("toxic", pa.int32()), ("found", pa.list_(pa.int32())), ("share", pa.float64())])
 
 
-def _bags(batches):
-    """Word counts, and two min-hashes of the word triples, which near copies share."""
+def _prints(batches):
+    """Two min-hashes of the word triples of labelled texts, which near copies share."""
     for batch in batches:
         words = [words_of(t) for t in texts(batch)]
-        bags = [Counter(w) for w in words]
         triples = [{b" ".join(w[k : k + 3]) for k in range(max(1, len(w) - 2))} for w in words]
         least = [[min(xxhash.xxh3_64_intdigest(t, seed=s) for t in x) >> 1 for x in triples] for s in (0, 1)]
-        yield record_batch(_BAG, column(batch, "toxic"), *least, [list(b) for b in bags], [list(b.values()) for b in bags])
+        yield record_batch(_BAG, column(batch, "toxic"), *least, column(batch, "_text"))
+
+
+def _words(batches):
+    for batch in batches:
+        found = [(y, w) for y, t in zip(column(batch, "toxic"), texts(batch), strict=True) for w in set(words_of(t))]
+        yield record_batch(_WORDS, *zip(*found, strict=True)) if found else record_batch(_WORDS, [], [])
+
+
+def _features(words: list[bytes]):
+    """Which of the words a text has, and their share of all its words."""
+    at = {w: k for k, w in enumerate(words)}
+
+    def run(batches):
+        for batch in batches:
+            bags = [words_of(t) for t in texts(batch)]
+            yield record_batch(_ROW, column(batch, "toxic"), [sorted({at[w] for w in b if w in at}) for b in bags], [sum(w in at for w in b) / max(1, len(b)) for b in bags])
+
+    return run
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Fit on at most sample_rows labelled texts, one of near copies; without toxic or other texts nothing is toxic."""
+    """Fit on at most sample_rows labelled texts, one of near copies; without toxic or other texts nothing is toxic.
+
+    Words are counted and chosen by Spark; the driver gets at most VOCABULARY words, and of each text only which of them it
+    has. Null labels, ids and texts are left out; of several labels of an id the largest holds. Empty tables give a
+    model without words. Other columns are ignored.
+    """
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("_id is not null and toxic is not null")
     marks = cut(marks.groupBy("_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(sample_rows))
     some = attach(keyed(df, id_col, text_col), marks, "_id", "inner").where("_text is not null").groupBy("_text").agg(F.max("toxic").alias("toxic"))
-    bags = arrow_map(some, _bags, "toxic int, m0 long, m1 long, words array<binary>, counts array<int>")
+    some = arrow_map(some, _prints, "toxic int, m0 long, m1 long, _text string")
     for m in ("m0", "m1"):  # one text of a family of near copies
-        bags = bags.groupBy(m).agg(F.min_by(F.struct(*bags.columns), F.struct("toxic", "m0", "m1")).alias("x")).select("x.*")
-    rows = bags.collect()
-    bags = sorted(((int(r["toxic"]), dict(zip(map(bytes, r["words"]), r["counts"], strict=True))) for r in rows), key=lambda b: (b[0], sorted(b[1].items())[:50]))
-    bad, n = sum(t for t, _ in bags), len(bags)
+        some = some.groupBy(m).agg(F.min_by(F.struct(*some.columns), F.struct("toxic", "m0", "m1", "_text")).alias("x")).select("x.*")
+    some = cut(some.select("toxic", "_text"))
+    n, bad = some.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not 0 < bad < n:
         return Model({}, [50.0] * (GRADES - 1))
-    have = [Counter(w for t, b in bags if t == k for w in b) for k in (0, 1)]
-    z = {}
-    for w in have[1].keys() | have[0].keys():
-        a, b = have[1][w], have[0][w]
-        if a + b >= MIN_TEXTS:
-            odds = np.log((a + 0.5) / (bad - a + 0.5)) - np.log((b + 0.5) / (n - bad - b + 0.5))
-            z[w] = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (bad - a + 0.5) + 1 / (n - bad - b + 0.5))
-    words = sorted((w for w in z if z[w] >= MIN_Z), key=lambda w: (-z[w], w))[:VOCABULARY]
+    have = arrow_map(some, _words, "toxic int, word binary").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(f"a + b >= {MIN_TEXTS}")
+    odds = F.expr(f"ln((a + 0.5) / ({bad} - a + 0.5)) - ln((b + 0.5) / ({n - bad} - b + 0.5))")
+    z = odds / F.expr(f"sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / ({bad} - a + 0.5) + 1 / ({n - bad} - b + 0.5))")
+    words = [bytes(r["word"]) for r in have.withColumn("z", F.round(z, 9)).where(f"z >= {MIN_Z}").orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()]
     if not words:
         return Model({}, [50.0] * (GRADES - 1))
-    top = set(words)
-    share = np.array([sum(c for w, c in b.items() if w in top) / max(1, sum(b.values())) for _, b in bags])
-    toxic = np.array([t for t, _ in bags], bool)
+    rows = sorted((r["toxic"], r["share"], r["found"]) for r in arrow_map(some, _features(words), "toxic int, found array<int>, share double").collect())
+    toxic, share = np.array([r[0] for r in rows], bool), np.array([r[1] for r in rows])
     cuts = np.quantile(share[toxic & (share > 0)], (1 / 3, 2 / 3)) if (toxic & (share > 0)).any() else (0.0, 0.0)
     grade = np.where(toxic, 1 + (share > cuts[0]).astype(int) + (share > cuts[1]), 0)
-    x = np.array([[w in b for w in words] for _, b in bags], np.float64)
+    x = np.zeros((len(rows), len(words)))
+    for k, r in enumerate(rows):
+        x[k, r[2]] = 1
     w, thresholds = fit_ordinal(x, grade)
     return Model(dict(zip(words, w.tolist(), strict=True)), thresholds.tolist())
 
