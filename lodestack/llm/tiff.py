@@ -108,6 +108,8 @@ def lzw_decode(data: bytes, size: int) -> bytes:
         if code == 256:
             table, width, last = list(base), 9, b""
             continue
+        if code > len(table) or code == len(table) and not last:
+            raise ValueError("LZW code outside the table")
         word = table[code] if code < len(table) else last + last[:1]
         out.append(word)
         made += len(word)
@@ -327,13 +329,18 @@ def tiff_pages(df: DataFrame, id_col: str = "_id", media_col: str = "media") ->
     """One row per page of every TIFF: id, page, width, height, samples, pixels (row by row), feature, error.
 
     A page that can't be read gives one row with the error, and so does a file (null and empty ones too) whose next page
-    isn't found. Repeated rows give repeated pages. Other columns are ignored.
+    isn't found. A page of more than MAX_PAGE_BYTES (2 GiB, what a cell of a row can hold) unpacked is such an error; samples are
+    whole numbers of 1 to 32 bits or floats of 16 or 32. Repeated rows give repeated pages. Other columns are ignored.
     """
     return arrow_map(df.select(F.col(id_col).alias("_id"), F.col(media_col).alias("media")), _walk, PAGES)
 
 
 def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 64, compression: int = DEFLATE, predictor: int = 2, rows_per_strip: int = 1024) -> DataFrame:
-    """(_id, n_bytes, media): the UTF-8 of every text, padded by zero bytes to full rows (one at least), as a TIFF page."""
+    """(_id, n_bytes, media): the UTF-8 of every text, padded by zero bytes to full rows (one at least), as a TIFF page.
+
+    A null or empty text is one row of zero bytes, with n_bytes 0. Texts up to MAX_PAGE_BYTES fit. Repeated rows give equal
+    media, null ids stay (as NO_ID until media_digests), other columns are ignored. No rows give no rows.
+    """
     return arrow_map(keyed(df, id_col, text_col), _stored(width, compression, predictor, rows_per_strip), "_id long, n_bytes long, media binary")
 
 
@@ -356,6 +363,9 @@ _DIGEST = pa.schema([("_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_byt
 
 
 def media_digests(stored: DataFrame) -> DataFrame:
-    """Digests of the pages that tiff_pages reads from stored texts; each text and its pages stay in one task."""
+    """Digests of the pages that tiff_pages reads from stored texts; each text and its pages stay in one task.
+
+    One row per row of store_texts, repeated and null ids included; a page that can't be read ends the job with its error.
+    """
     ddl = "_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return arrow_map(stored, _round, ddl).withColumn("_id", public_id())
