@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,10 +38,13 @@ def public_id(name: str = "_id"):
 
 
 def _shared(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, or one of our own where none is set."""
+    """The checkpoint folder of the session. Only a local session may go without: it gets a folder of its own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestack-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestack-"))
     return sc.getCheckpointDir()
 
 

@@ -118,6 +118,10 @@ def _filtered(at: int, length_at: int | None):
 
 
 def clean_documents(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The rows of df that are kept, with their cleaned text (and its length in characters, if df has such a column)."""
+    """The rows of df that are kept, with their cleaned text (and its length in characters, if df has such a column).
+
+    A null or empty text has no words and is rejected. Repeated rows are judged alike, null ids stay, other columns pass
+    through. An empty table gives an empty one.
+    """
     length = df.columns.index(length_col) if length_col in df.columns else None
     return arrow_map(df, _filtered(df.columns.index(text_col), length), df.schema)

@@ -20,6 +20,8 @@ from lodestack.llm.common import FLUSH_RECORDS, WordHash, arrow_map, attach, buc
 ANCHOR_BASE = 0x9E3779B97F4A7C15
 WINDOW_BASE = 0xC2B2AE3D27D4EB4F
 REPEATED = np.uint32(1 << 31)
+#: Rows that a task remembers, to send repeated ones once.
+REMEMBERED = 200_000
 
 _CLASS = pa.schema([("_id", pa.int64()), ("t1", pa.int64()), ("t2", pa.int64())])
 _ROUTED = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("blob", pa.binary())])
@@ -104,6 +106,8 @@ def _emit(width: int, n_buckets: int, whole: bool):
                 c = word_class(words)
                 if (i, c) in seen or (not whole and x and c[0] in x):
                     continue
+                if len(seen) >= REMEMBERED:
+                    seen.clear()
                 seen.add((i, c))
                 hits = np.frombuffer(x, "<u4") if whole else None
                 held.append(records(hashes.of(words), i, hits))
@@ -221,7 +225,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = classes.groupBy("t1", "t2").agg(F.min("_id").alias("first"))
     copies = classes.join(least, ["t1", "t2"]).where(F.col("_id") > F.col("first"))
     skip = cut(copies.groupBy("_id").agg(F.collect_set("t1").alias("skip")))
-    docs = attach(docs, skip, "_id")
+    docs = attach(docs, skip, "_id", size=F.size("skip") * 8)
 
     found = arrow_map(docs, _emit(width, n, False), ROUTED).repartition("bucket")
     places = arrow_map(found, _repeats(True, n), PLACES).repartition("bucket")
