@@ -44,8 +44,35 @@ def test_all_take_odd_rows_and_empty_tables(spark):
     path = queries.vocabulary("byte_bpe_50k.json")
     runs = [lambda d: sharding.kd_shards(d, 3), lambda d: packing.pack_best_fit(d, path), lambda d: tiff.media_digests(tiff.store_texts(d)), ngram_jaccard.jaccard_components, lambda d: bpe.bpe_round_trip(d, path), pii.find_personal_data, quality.quality_lines, line_dedup.dedup_lines, substring_dedup.dedup_substrings, lambda d: toxicity.score_toxicity(d, toxicity.Model({b"bad": 3.0}, [1.0, 2.0, 3.0]))]
     for run in runs:
-        assert run(make(spark, ODD)).count() >= len(ODD)
+        rows = run(make(spark, ODD)).collect()
+        name = "doc_id" if "doc_id" in rows[0].__fields__ else "_id"
+        assert collections.Counter(r[name] for r in rows if "piece" not in r.__fields__ or r["piece"] == 0) == collections.Counter(i for i, _ in ODD)
         assert run(make(spark, [])).count() == 0
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept"]) for r in substring_dedup.dedup_substrings(make(spark, ODD)).collect()}
+    assert got[1] == got[2] == got[5] == (0, 0, "") and got[3] == (1, 0, "one") and got[6][0] == 1 and got[7][:2] == (3000, 2999)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(make(spark, ODD)).collect()}
+    assert got[1] == (0, 1) and got[5] == (0, 5) and got[4] == (3, 4) and got[None] == (3, 4) and got[3] == (1, 3) and got[7] == (1, 7)
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(make(spark, ODD)).collect()}
+    assert got[1] == got[2] == (1, 0) and got[5] == (2, 0) and got[4] == (1, 0) and got[None] == (1, 1)
+    got = {r["doc_id"]: (r["n_words"], r["base_failed"]) for r in quality.quality_lines(make(spark, ODD)).collect()}
+    assert got[1] == got[5] == (0, True) and got[7] == (3000, True)
+
+
+def test_row_keeping_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, repeated rows and ids, and no rows, in the forms that return documents."""
+    good = "\n".join(" ".join(f"word{k}x{j}" for k in range(12)) for j in range(8))
+    odd = [*ODD, (8, good), (8, good), (None, good + " end"), (9, "mail x.y@z.example.com now"), (9, "mail x.y@z.example.com now")]
+    docs, none = make(spark, odd), make(spark, [])
+    for run in (quality.clean_documents, pii.redact_documents, line_dedup.dedup_documents, ngram_jaccard.keep_one):
+        assert run(none).count() == 0 and run(docs).columns == docs.columns
+    pairs = lambda df: collections.Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert pairs(quality.clean_documents(docs)) == {(8, good): 2, (None, good + " end"): 1}
+    got = pairs(pii.redact_documents(docs))
+    assert got == pairs(make(spark, [*odd[:-2], (9, "mail <EMAIL> now"), (9, "mail <EMAIL> now")]))
+    got = line_dedup.dedup_documents(docs)
+    assert got.count() == len(odd) and got.where("doc_id is null and text = ''").count() == 1 and got.where("text is null").count() == 1
+    kept = pairs(ngram_jaccard.keep_one(docs))
+    assert kept[(3, "one")] == 1 and kept[(8, good)] == 1 and (None, good + " end") not in kept and kept[(1, None)] == 1
 
 
 def test_kd_shards(docs, texts):
@@ -61,6 +88,22 @@ def test_kd_shards(docs, texts):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_equal_texts_share_a_shard(spark, docs):
+    rows = [(i, t) for i, (t,) in enumerate(docs.select("text").limit(150).collect())]
+    rows += [(1000 + i, rows[i % 40][1]) for i in range(80)] + [(5000 + i, rows[0][1][:200]) for i in range(200)]
+    got = sharding.kd_shards(make(spark, rows), 4).collect()
+    assert len(got) == len(rows)
+    texts, held = dict(rows), collections.defaultdict(collections.Counter)
+    for r in got:
+        held[texts[r["doc_id"]]][r["shard"]] += 1
+    total = sum(r["size"] for r in got)
+    limit, most = total // (4 * sharding.GROUP_PART), len(rows) // (4 * sharding.GROUP_PART)
+    for t, c in held.items():
+        n = sum(c.values())
+        assert len(c) == 1 or n * (len(t.encode()) + 8) > limit or n > most
+    assert any(len(c) == 1 and sum(c.values()) > 2 for c in held.values())
+
+
 def test_jaccard_components(docs, texts):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(docs).collect()}
     sets = {}
@@ -217,20 +260,35 @@ def test_bpe_equals_tokenizers(texts):
 
     path = queries.vocabulary("byte_bpe_50k.json")
     other, mine = Tokenizer.from_file(path), bpe.ByteBPE(path)
-    other.encode_special_tokens = True
+    assert mine.encode("<|endoftext|>").tolist() == other.encode("<|endoftext|>", add_special_tokens=False).ids
+    marks = [t.content for t in other.get_added_tokens_decoder().values()]
     assert mine.encode("see \u00a0 \u00a0 here").tolist() == [3826, 11504, 994]
     rnd = random.Random(8)
     white = [*"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\u0085\u00a0\u1680\u180e\u2007\u200a\u200b\u2028\u2029\u202f\u205f\u3000"]
     some = [*texts.values()]
     for k in range(6000):
-        parts = ["a", "word", "'s", "1", "!", "é", "日本", " ", " ", " ", "  ", "\u00a0", *rnd.choices(white, k=1 + k % 4)]
+        parts = ["a", "word", "'s", "1", "!", "é", "日本", " ", " ", " ", "  ", "\u00a0", *marks[:3], *rnd.choices(white, k=1 + k % 4)]
         some.append("".join(rnd.choices(parts, k=rnd.randint(0, 25))))
     for t, ids in zip(some, mine.encode_all(some), strict=True):
         assert ids.tolist() == other.encode(t, add_special_tokens=False).ids
 
 
 def test_packing(docs, texts):
-    rows = packing.pack_best_fit(docs, queries.vocabulary("byte_bpe_50k.json")).collect()
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    rows = packing.pack_best_fit(docs, path).collect()
+    library, pieces = Tokenizer.from_file(path), collections.defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for i, t in texts.items():
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want, at = [], 0
+        while at < len(ids):
+            n = (len(ids) - 1) % 1024 + 1 if not at else 1024
+            want.append((len(want), at, n, zlib.crc32(struct.pack(f"<{n}I", *ids[at : at + n]))))
+            at += n
+        assert sorted(pieces[i]) == want
     bins = collections.defaultdict(list)
     for r in rows:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -307,6 +365,10 @@ def test_tiff_digests(spark, docs, texts):
         t = texts[r["doc_id"]].encode()
         t += b"\0" * (-len(t) % 64 if t else 64)
         assert (r["payload_sha256"], r["tail_crc32"], r["payload_bytes"]) == (hashlib.sha256(t).hexdigest(), zlib.crc32(t[-64:]), len(t))
+        media = tiff.write_tiff([np.frombuffer(t, np.uint8).reshape(-1, 64)], tiff.DEFLATE, 2, 1024, level=1)
+        samples = np.frombuffer(t, np.uint8)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert f"mean={samples.mean():.3f};dev={samples.std():.3f};" in r["feature"]
     bad = spark.createDataFrame([(1, b"junk"), (2, None)], "_id long, media binary")
     assert tiff.tiff_pages(bad).where("error is not null").count() == 2
 
@@ -322,12 +384,44 @@ def test_personal_data(docs):
     assert out.columns == docs.columns and out.count() == docs.count()
 
 
+def brute_base_spans(t):
+    """The base kinds by the patterns of the contract as they stand."""
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(len(x.lstrip("0")) < 4 and int(x[-4:]) <= 255 for x in s.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda s: 12 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    }
+    return {k: [m.span() for m in re.finditer(p, t) if ok(m.group())] for k, (p, ok) in rules.items()}
+
+
+def test_personal_data_equals_brute_force(spark, texts):
+    rnd = random.Random(11)
+    parts = ["a", "b.c", "@", "x-y", ".", "..", "1", "22", "255", "256", "0", "00", " ", "  ", "\n", "-", "+", "(", ")", "_", "%", "é", "²", "٣", "\u00a0", "4111 1111 1111 1111", "4111-1111-1111-1111", "+1 (017) 555-7713", "m@n.org", "10.0.0.1", "token=", '"']
+    some = dict(enumerate([*texts.values(), *("".join(rnd.choices(parts, k=rnd.randint(0, 40))) for _ in range(4000)), "call 1.².3.4 now", "0" * 5000 + ".1.2.3", "7" * 20_000 + "@", "字" * 50_000 + "1", "a" * 50_000 + " x@y.zz"]))
+    order = ("email", "ip", "card", "phone")
+    for r in pii.find_personal_data(make(spark, some.items()), redacted=False).collect():
+        t = some[r["doc_id"]]
+        want = brute_base_spans(t)
+        assert tuple(r[f"n_{k}"] for k in order) == tuple(len(want[k]) for k in order)
+        joined = [f"{k}:{a}:{b}" for a, _, b, k in sorted((a, order.index(k), b, k) for k in order for a, b in want[k])]
+        assert r["base_sha256"] == hashlib.sha256(",".join(joined).encode()).hexdigest()
+        spans = [x.split(":") for x in r["spans"].split(",") if x]
+        assert set(joined) <= {":".join(x) for x in spans} and len(spans) == len(joined) + r["n_added"]
+        assert [int(a) for _, a, _ in spans] == sorted(int(a) for _, a, _ in spans) and all(0 <= int(a) < int(b) <= len(t) for _, a, b in spans)
+        assert pii.windows(t) == [m.span() for m in re.finditer(r"\S*[0-9@]\S*(?: \S*[0-9@]\S*)*", t)] if len(t) < 10_000 else True
+
+
 def test_quality(docs, texts):
     for r in quality.quality_lines(docs).collect():
         w = words(texts[r["doc_id"]])
         triples = collections.Counter(zip(w, w[1:], w[2:]))
         covered = {k + d for k in range(len(w) - 2) if triples[tuple(w[k : k + 3])] > 1 for d in range(3)}
         assert (r["n_words"], r["word_chars"], r["n_repeat_words"]) == (len(w), sum(map(len, w)), len(covered))
+        lines = texts[r["doc_id"]].split("\n")
+        assert (r["n_symbols"], r["n_dup_lines"]) == (sum(c in "#*$%&|<>" for c in texts[r["doc_id"]]), sum(bool(words(x)) and x in lines[:k] for k, x in enumerate(lines)))
         assert r["base_failed"] == (len(w) < 50 or 2 * len(covered) > len(w)) and not (r["base_failed"] and r["kept"])
     plain = "Plain words make up this line of prose, again and again with others.\n" + " ".join(f"word{k}" for k in range(80))
     assert quality.judge(plain.encode(), quality.WordHash())[-2]
@@ -353,6 +447,37 @@ def test_toxicity_is_ordinal(spark):
     assert model.thresholds == sorted(model.thresholds)
 
 
+def test_ordinal_fit_is_a_minimum(spark):
+    """The numeric gradient of the penalised likelihood vanishes at the fit."""
+    rnd = np.random.default_rng(3)
+    x = (rnd.random((400, 3)) < 0.4).astype(float)
+    y = np.digitize(x @ [1.5, -0.5, 0.7] + rnd.logistic(size=400), [0.5, 1.5, 2.5])
+    w, t = toxicity.fit_ordinal(x, y, rounds=4000)
+
+    def loss(p):
+        w, t = p[:3], np.concatenate(([-np.inf], p[3:], [np.inf]))
+        upper, lower = (1 / (1 + np.exp(-(t[y + k] - x @ w))) for k in (1, 0))
+        return -np.log(upper - lower).mean() + 0.001 * (w @ w)
+
+    p = np.concatenate((w, t))
+    for k in range(6):
+        d = np.eye(6)[k] * 1e-4
+        assert abs(loss(p + d) - loss(p - d)) / 2e-4 < 2e-3
+    empty = spark.createDataFrame([], "doc_id long, toxic int")
+    for docs in (make(spark, []), make(spark, ODD)):
+        assert toxicity.fit(docs, empty).words == {}
+
+
+def test_tiff_bad_files():
+    page = np.arange(64, dtype=np.uint8).reshape(8, 8)
+    for tags in ({"WIDTH": (4, 0)}, {"ROWS": (4, 0)}):
+        assert len(list(tiff._rows(1, retagged(tiff.write_tiff([page]), 0, **tags)))) == 1
+    tiled = tiff.write_tiff([page], tile=(16, 16))
+    assert "Zero" in next(tiff._rows(1, retagged(tiled, 0, TILE_WIDTH=(4, 0))))[-1]
+    with pytest.raises(ValueError):
+        tiff.lzw_decode(bytes((0b10000000, 0b01111111, 0b11000000)), 10)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
