@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 SEVERITY_RANK = {"critical": 5, "high": 4, "medium": 3, "low": 2, "info": 1, "unknown": 0}
 SEVERITY_ALIAS = {"negligible": "low", "moderate": "medium", "none": "info", "": "info"}
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
+# Names of package ecosystems in advisory feeds (lower case) and in package urls, and the feeds' labels.
+ECOSYSTEMS = {
+    "npm": "npm", "pypi": "pypi", "go": "golang", "golang": "golang", "maven": "maven", "rubygems": "gem", "gem": "gem", "crates.io": "cargo", "cargo": "cargo",
+    "packagist": "composer", "composer": "composer", "nuget": "nuget", "pub": "pub", "hex": "hex", "swifturl": "swift",
+}
+FEED_LABELS = {
+    "npm": "npm", "pypi": "PyPI", "python": "PyPI", "golang": "Go", "gem": "RubyGems", "cargo": "crates.io", "composer": "Packagist", "php": "Packagist", "maven": "Maven",
+    "java": "Maven", "nuget": "NuGet", "hex": "Hex", "pub": "Pub",
+}
 
 
 def severity_rank(severity: Column) -> Column:
@@ -113,7 +122,25 @@ def contains_any(term: str, *columns: Column) -> Column:
     return found
 
 
+def _looked_up(value: Column, table: dict[str, str], default: Column) -> Column:
+    out = default
+    for a, b in table.items():
+        out = F.when(value == a, F.lit(b)).otherwise(out)
+    return out
+
+
+def ecosystem_name(value: Column) -> Column:
+    """The package url type of a feed's ecosystem; a suffix after a colon is left out, other names stay in lower case."""
+    base = F.trim(F.split_part(F.lower(F.trim(F.coalesce(value, F.lit("")))), F.lit(":"), F.lit(1)))
+    return _looked_up(base, ECOSYSTEMS, base)
+
+
+def osv_ecosystem(value: Column) -> Column:
+    """The feed's label of an ecosystem under any of its names, empty if it has none."""
+    return _looked_up(ecosystem_name(value), FEED_LABELS, F.lit(""))
+
+
 def ecosystems_match(a: Column, b: Column) -> Column:
-    """Equal, or one of them empty."""
-    a, b = F.coalesce(a, F.lit("")), F.coalesce(b, F.lit(""))
+    """Equal under their package url types, or one of them empty."""
+    a, b = ecosystem_name(a), ecosystem_name(b)
     return (a == "") | (b == "") | (a == b)

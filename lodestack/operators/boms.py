@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.functions.scalars import first_value, normalize_severity, purl_ecosystem
+from lodestack.functions.scalars import ecosystem_name, first_value, normalize_severity, purl_ecosystem
 
 _PAIR = "array<struct<name:string,value:string>>"
 _COMPONENT = f"struct<`bom-ref`:string,type:string,name:string,version:string,purl:string,scope:string,cpe:string,supplier:string,licenses:array<string>,hashes:array<struct<alg:string,content:string>>,properties:{_PAIR}>"
@@ -18,9 +18,8 @@ BOM = f"bomFormat string, components array<{_COMPONENT}>, vulnerabilities array<
 ADVISORY = "id string, withdrawn string, affected array<struct<package:struct<name:string,ecosystem:string>,versions:array<string>,ranges:array<struct<events:array<map<string,string>>>>>>"
 MATCHES = "matches array<struct<vulnerability:struct<id:string,severity:string,fix:struct<versions:array<string>>>,artifact:struct<name:string,version:string,purl:string>>>"
 
-# Keys under which a wrapper holds its document; ecosystem names of advisories by package url type.
+# Keys under which a wrapper holds its document.
 WRAPPERS = ("cyclonedx", "bom", "sbom", "document")
-ECOSYSTEMS = {"npm": "npm", "pypi": "pypi", "go": "golang", "rubygems": "gem", "crates.io": "cargo", "packagist": "composer", "maven": "maven", "nuget": "nuget"}
 
 
 def unwrap(text: Column) -> Column:
@@ -77,6 +76,7 @@ def components(boms: DataFrame, prefix: str = "lodestack") -> DataFrame:
     eco = first_value(property_value(props, f"{prefix}:ecosystem", "ecosystem"), by_purl, c["type"])
     manager = property_value(props, f"{prefix}:package_manager", "package_manager")
     ref = first_value(c["bom-ref"], purl, c["name"], at)
+    # fixed values: names of the properties that hold a path
     paths = [f"{prefix}:path", f"{prefix}:evidence_path", "evidence_path", "path", "filePath", "location", "cdx:location:path", "syft:location:0:path"]
     return rows.select(
         *keys, ref.alias("ref"), first_value(c["name"], purl, ref).alias("name"), first_value(c["version"]).alias("version"), eco.alias("ecosystem"),
@@ -105,15 +105,6 @@ def match_findings(reports: DataFrame, key: str, text: str = "report") -> DataFr
     return first.select(key, "vulnerability_id", "purl", "f.*")
 
 
-def ecosystem_name(value: Column) -> Column:
-    """The package url type of an advisory's ecosystem; a suffix after a colon is left out, other names stay in lower case."""
-    base = F.lower(F.trim(F.split_part(F.coalesce(value, F.lit("")), F.lit(":"), F.lit(1))))
-    out = base
-    for a, b in ECOSYSTEMS.items():
-        out = F.when(base == a, F.lit(b)).otherwise(out)
-    return out
-
-
 def advisory_specs(advisories: DataFrame, text: str = "record") -> DataFrame:
     """One row per affected package of advisories that are not withdrawn: package, ecosystem, versions, all_versions.
 
