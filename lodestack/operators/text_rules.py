@@ -1,15 +1,25 @@
-"""Evidence rules over text: a registry of regular expressions, applied per line with their file types.
+"""Evidence rules over text: a registry of regular expressions, applied per line or per file, with their file types.
 
 A rule names a pattern, the group that holds the dependency, a category and a severity. All rules of a run become one
-array expression over lines, so a text is split once and no row leaves the JVM.
+array expression over lines, so a text is split once and no row leaves the JVM; whole contents are tested first by what
+their rules have in common, so files without any match are never split. Rules may also be rows of a table (`rules_of`).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from lodestack.functions.scalars import any_glob, severity_rank
+
+#: Most rules that a table may hold; they become expressions of one plan.
+MAX_RULES = 2_000
 
 
 @dataclass(frozen=True)
@@ -21,56 +31,281 @@ class Rule:
     severity: str
     file_types: tuple[str, ...] = ("*",)
     multiple: bool = False  # all matches of a line, else the first
+    multiline: bool = False  # over the whole content
+    escalate: tuple[tuple[str, str], ...] = ()  # (pattern within the match, severity): the first that fits holds
+    dependency: str = ""  # template of $0, $1, ... in place of the group
 
 
 #: Evidence of undeclared dependencies, secrets and licences in prose, markup and scripts; own rules.
 RULES = [
     Rule("assign-secret", r"(?i)\b(token|secret|password|api_key)\s*=\s*[\"']([^\"']+)[\"']", 2, "secret", "critical"),
     Rule("licence-named", r"licensed under (?:the )?([^.\n]+)", 1, "licence", "low"),
-    Rule("pipe-to-shell", r"(?:curl|wget)\s+[^|\n]*\|\s*(?:sudo\s+)?((?:ba|z)?sh)\b", 1, "script_install", "critical"),
-    Rule("pip-install", r"\bpip3?\s+install\s+(?:-\S+\s+)*([A-Za-z0-9._-]+)", 1, "package_install", "medium", ("script", "dockerfile", "*")),
-    Rule("npm-global", r"\bnpm\s+(?:install|i)\s+-g\s+([@A-Za-z0-9/._-]+)", 1, "package_install", "medium"),
-    Rule("image-from", r"(?i)^\s*FROM\s+(\S+:\S+)", 1, "container_image", "medium", ("dockerfile",)),
-    Rule("link-host", r"https?://([A-Za-z0-9.-]+)", 1, "remote_reference", "low", ("html", "*"), multiple=True),
+    Rule("pipe-to-shell", r"(?:curl|wget)\s+[^|\n]*\|\s*(?:sudo\s+)?((?:ba|z)?sh)\b", 1, "script_installation", "high", escalate=((r"\bsudo\b", "critical"), (r"http://", "critical"))),
+    Rule("process-substitution", r"(?:ba|z)?sh\s+<\(\s*(?:curl|wget)\s+(?:-\S+\s+)*([^\s)]+)", 1, "script_installation", "critical"),
+    Rule("powershell-web", r"(?i)\b(?:iwr|irm|invoke-webrequest)\s+(?:-\S+\s+)*([^\s|]+)[^\n]*\|\s*(?:iex|invoke-expression)\b", 1, "script_installation", "critical"),
+    Rule("download-binary", r"\b(?:curl|wget)\s+(?:-\S+\s+)*(https?://\S+\.(?:tar\.gz|tgz|zip|deb|rpm|exe|dmg|pkg|jar|whl))\b", 1, "binary_download", "high", multiple=True, escalate=((r"http://", "critical"),)),
+    Rule("pip-install", r"\bpip3?\s+install\s+(?:-\S+\s+)*([A-Za-z0-9._-]+)", 1, "unmanaged_package", "medium"),
+    Rule("pip-from-url", r"\bpip3?\s+install\s+(?:-\S+\s+)*((?:git\+)?https?://\S+)", 1, "unmanaged_package", "high"),
+    Rule("npm-global", r"\bnpm\s+(?:install|i)\s+(?:-g|--global)\s+([@A-Za-z0-9/._-]+)", 1, "unmanaged_package", "medium"),
+    Rule("npx-run", r"\bnpx\s+(?:-y\s+|--yes\s+)?([@A-Za-z0-9/._-]+(?:@[\w.-]+)?)", 1, "unmanaged_package", "medium", escalate=((r"@latest\b", "high"),)),
+    Rule("go-install", r"\bgo\s+install\s+([\w./-]+@[\w.-]+)", 1, "unmanaged_package", "medium"),
+    Rule("cargo-install", r"\bcargo\s+install\s+(?:-\S+\s+)*([\w-]+)", 1, "unmanaged_package", "medium"),
+    Rule("gem-install", r"\bgem\s+install\s+([\w-]+)", 1, "unmanaged_package", "medium"),
+    Rule("system-package", r"\b(?:apt-get|apt|yum|dnf|apk|brew)\s+(?:-\S+\s+)*(?:install|add)\s+(?:-\S+\s+)*([\w.+-]+)", 1, "unmanaged_package", "low"),
+    Rule("image-from", r"(?i)^\s*FROM\s+(\S+:\S+|\S+)", 1, "container_image", "medium", ("dockerfile",), escalate=((r":latest\b", "high"),)),
+    Rule("image-run", r"\bdocker\s+(?:run|pull)\s+(?:-\S+\s+)*([\w./-]+(?::[\w.-]+)?)", 1, "container_image", "medium"),
+    Rule("workflow-action", r"\buses:\s*([\w.-]+/[\w.-]+@\S+)", 1, "cicd_tool", "medium", ("ci", "github_action"), escalate=((r"@(?:main|master)\b", "high"),)),
+    Rule("submodule", r"(?m)\[submodule\s+\"([^\"]+)\"\][^\[]*?url\s*=\s*(\S+)", 2, "git_submodule", "medium", ("gitmodules",), multiline=True),
+    Rule("named-remote", r"(?s)Copyright[^\n]*\n[^\n]*All rights reserved", 0, "licence", "low", multiline=True),
+    Rule("script-cdn", r"(?i)<script[^>]+src=[\"'](https?://[^\"']+)", 1, "cdn", "medium", multiple=True),
+    Rule("link-host", r"https?://([A-Za-z0-9.-]+)", 1, "remote_reference", "low", multiple=True),
     Rule("mail-host", r"[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", 1, "remote_reference", "low", multiple=True),
 ]
 
+# File types whose # lines are comments, whose backslash lines are joined, and whose printed heredocs are blanked.
+HASH_COMMENTS = (
+    "ci", "script", "build", "dockerfile", "iac", "k8s", "gitmodules", "pip_config", "precommit_config", "build_wrapper", "toolversions", "nix",
+    "github_action", "npmrc", "pip_conf", "meson_wrap", "sbt_build", "rebar_config", "agent_instruction",
+)
+CONTINUED = ("script", "ci", "build", "dockerfile")
+#: Categories whose matches inside printed help are no evidence.
+HELPFUL = ("script_installation", "binary_download", "unmanaged_package")
+
 
 def register_rule(rule: Rule, rules: list[Rule] | None = None) -> list[Rule]:
     """The rules with one more; a rule of the same id is replaced."""
     return [r for r in (RULES if rules is None else rules) if r.id != rule.id] + [rule]
 
 
-def joined_lines(content):
-    """Lines that end in a backslash are joined with the next; numbers are those after joining."""
-    return F.regexp_replace(content, r"\\\n", " ")
+def rules_of(table: DataFrame) -> list[Rule]:
+    """Rules from rows (id, pattern, group, category, severity, file_types, multiple, multiline); at most MAX_RULES, else an error."""
+    rows = table.orderBy("id").limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    for r in rows:
+        re.compile(r["pattern"])
+    return [Rule(r["id"], r["pattern"], r["group"], r["category"], r["severity"], tuple(r["file_types"] or ("*",)), bool(r["multiple"]), bool(r["multiline"])) for r in rows]
+
+
+def applies(rule: Rule, file_type: Column) -> Column:
+    """Whether a rule is for a file type; * is for all."""
+    return F.lit(True) if "*" in rule.file_types else file_type.isin(*rule.file_types)
+
+
+def joined_lines(content, file_type=None):
+    """Lines that end in a backslash are joined with the next in shell-like types (all, without a type); numbers are those after joining."""
+    joined = F.regexp_replace(content, r"\\\n", " ")
+    return joined if file_type is None else F.when(file_type.isin(*CONTINUED), joined).otherwise(content)
+
+
+def is_comment(line: Column, file_type: Column) -> Column:
+    """Empty lines, # lines but for #!, rem and :: of scripts, <!-- of builds."""
+    s = F.regexp_replace(line, r"^\s+|\s+$", "")
+    return (s == "") | (file_type.isin(*HASH_COMMENTS) & s.rlike(r"^#(?!!)")) | ((file_type == "script") & s.rlike(r"(?i)^(?:rem(?:\s|$)|::)")) | ((file_type == "build") & s.startswith("<!--"))
+
+
+def in_help(before: Column) -> Column:
+    """Whether what stands before a match on its line opens a printed text that is not closed: echo, printf or print with a quote."""
+    opened = before.rlike(r"""(?:\becho\b|\bprintf\b|\bprint\w*\s*\(|\b(?:die|usage|warn|info|log|error)\b)[^"']*(?:"[^"]*|'[^']*)$""")
+    return opened & ~before.rlike(r"\|\s*$")
+
+
+def is_placeholder_url(dependency: Column) -> Column:
+    """Urls that stand for others: an ellipsis for a host, or a part in angle brackets."""
+    return F.trim(dependency).rlike(r"(?i)^https?://(?:\.{3}(?:[/?#:]|$)|\S*<[^>\s]+>\S*)")
+
+
+@F.pandas_udf(StringType())
+def _blanked(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    begins = re.compile(r"^\s*(?:cat|echo|printf)(?:\s+-\w+)*\s*<<-?\s*['\"]?([A-Za-z_]\w*)['\"]?(.*)$")
+
+    def blank(text: str | None) -> str | None:
+        if text is None:
+            return None
+        lines, k = text.split("\n"), 0
+        while k < len(lines):
+            m = begins.match(lines[k])
+            k += 1
+            if m and not set(">|") & set(m[2]):
+                end = next((j for j in range(k, len(lines)) if re.match(rf"\s*{m[1]}\b", lines[j])), None)
+                if end is not None:
+                    lines[k:end] = [""] * (end - k)
+                    k = end + 1
+        return "\n".join(lines)
+
+    for c in contents:
+        yield c.map(blank)
+
+
+def without_heredocs(files: DataFrame) -> DataFrame:
+    """files with the bodies of heredocs that are only printed blanked, so lines keep their numbers; only such files go to Python."""
+    has = F.col("file_type").isin(*CONTINUED) & F.col("content").contains("<<")
+    return files.where(~F.coalesce(has, F.lit(False))).unionByName(files.where(has).withColumn("content", _blanked("content")))
+
+
+def _hit(k: int, r: Rule, whole: Column, dependency: Column) -> Column:
+    severity = F.lit(r.severity)
+    for pattern, s in reversed(r.escalate):
+        severity = F.when(whole.rlike(pattern), F.lit(s)).otherwise(severity)
+    if r.dependency:
+        dependency = F.regexp_replace(whole, f"(?s)^.*?{r.pattern}.*$", r.dependency)
+    return F.struct(F.lit(k).alias("rule_order"), F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), severity.alias("severity"), F.substring(whole, 1, 500).alias("matched"), F.substring(F.trim(dependency), 1, 200).alias("dependency"))
+
 
+def _together(rules: list[Rule]) -> str:
+    """One pattern that fits wherever a line rule does; inline flags stay with their rule, line anchors hold at every line.
 
-def scan(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    Rules that refer back to a group by number cannot be put together; with any of them, every content fits.
+    """
+    if any(re.search(r"\\[1-9]", r.pattern) for r in rules):
+        return ""
+    return "(?m)" + "|".join(f"(?:{r.pattern})" for r in rules)
+
+
+def scan(files: DataFrame, rules: list[Rule] | None = None, helpful: tuple[str, ...] = HELPFUL) -> DataFrame:
     """files: (path, file_type, content). One row per line and rule that matches: its first match, or each match (nth, from 0) of a rule with multiple.
 
-    Comment lines of # or <!-- are skipped. matched is cut to 500 characters, dependency trimmed and cut to 200. Null
-    content gives no rows. Repeated files give repeated rows; `distinct_findings` keeps the first.
+    Comment lines of the file type are skipped, and matches inside printed help for the categories of helpful. matched is cut to 500
+    characters, dependency trimmed and cut to 200. Rules with multiline are left to scan_whole. Null content gives no
+    rows. Repeated files give repeated rows; `distinct_findings` keeps the first.
     """
-    rules = RULES if rules is None else rules
-    lines = files.select("path", "file_type", F.posexplode(F.split(joined_lines(F.col("content")), "\n", -1)).alias("at", "line"))
-    lines = lines.where(~F.col("line").rlike(r"^\s*(#(?!!)|<!--)"))
-    texts = lambda r, g: F.regexp_extract_all("line", F.lit(r.pattern), F.lit(g)) if r.multiple else F.array(F.regexp_extract("line", r.pattern, g))
-    found = lambda k, r: lambda whole, part: F.struct(F.lit(k).alias("rule_order"), F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.substring(whole, 1, 500).alias("matched"), F.substring(F.trim(part), 1, 200).alias("dependency"))
-    hits = []
-    for k, r in enumerate(rules):
-        fits = F.lit(True) if "*" in r.file_types else F.col("file_type").isin(*r.file_types)
-        hits.append(F.when(fits & F.col("line").rlike(r.pattern), F.transform(F.zip_with(texts(r, 0), texts(r, r.group), found(k, r)), lambda x, i: x.withField("nth", i))))
+    rules = [(k, r) for k, r in enumerate(RULES if rules is None else rules) if not r.multiline]
+    kind, line = F.col("file_type"), F.col("line")
+    some = files.select("path", "file_type", joined_lines(F.col("content"), kind).alias("content")).where(F.col("content").rlike(_together([r for _, r in rules])))
+    lines = some.select("path", "file_type", F.posexplode(F.split("content", "\n", -1)).alias("at", "line")).where(~is_comment(line, kind))
+    made, hits = lambda k, r: lambda whole, part: _hit(k, r, whole, part), []
+    for k, r in rules:
+        texts = lambda g, r=r: F.regexp_extract_all("line", F.lit(r.pattern), F.lit(g)) if r.multiple else F.array(F.regexp_extract("line", r.pattern, g))
+        found = F.transform(F.zip_with(texts(0), texts(r.group), made(k, r)), lambda x, i: x.withField("nth", i))
+        fits = applies(r, kind) & line.rlike(r.pattern)
+        if r.category in helpful:
+            fits &= ~in_help(F.split_part(line, F.regexp_extract("line", r.pattern, 0), F.lit(1)))
+        hits.append(F.when(fits, found))
     found = lines.select("path", "file_type", (F.col("at") + 1).alias("line_number"), F.explode(F.flatten(F.array_compact(F.array(*hits)))).alias("hit"))
     return found.select("path", "file_type", "line_number", "hit.*")
 
 
+def scan_whole(files: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
+    """Every match of the rules with multiline over whole contents, with the lines where it begins and ends (null if that is the same)."""
+    rules = [(k, r) for k, r in enumerate(RULES if rules is None else rules) if r.multiline]
+    count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+    content, hits = joined_lines(F.col("content"), F.col("file_type")), []
+    for k, r in rules:
+        some = files.select("path", "file_type", content.alias("content")).where(applies(r, F.col("file_type")) & F.col("content").rlike(r.pattern))
+        whole = F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0))
+        parts = F.arrays_zip(whole.alias("whole"), F.regexp_extract_all("content", F.lit(r.pattern), F.lit(r.group)).alias("part"), F.slice(F.split("content", r.pattern, -1), 1, F.size(whole)).alias("before"))
+        rows = some.withColumn("file", F.xxhash64("path", "content")).select("path", "file_type", "file", F.posexplode(parts).alias("nth", "m"))
+        before, own = count(F.col("m.before")), count(F.col("m.whole"))
+        upto = Window.partitionBy("path", "file").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+        rows = rows.withColumn("first", (1 + F.sum(before + own).over(upto) - own).cast("int")).withColumn("last", (F.col("first") + own).cast("int"))
+        hits.append(rows.select("path", "file_type", F.col("first").alias("line_number"), F.when(F.col("last") > F.col("first"), F.col("last")).alias("end_line"), _hit(k, r, F.col("m.whole"), F.col("m.part")).alias("hit"), "nth").select("path", "file_type", "line_number", "end_line", "hit.*", "nth"))
+    out = hits[0]
+    for h in hits[1:]:
+        out = out.unionByName(h)
+    return out
+
+
 def distinct_findings(found: DataFrame) -> DataFrame:
     """One finding of each (path, line, rule, dependency)."""
     return found.groupBy("path", "line_number", "rule", "dependency").agg(F.min_by(F.struct("category", "severity", "matched"), F.struct("rule_order", "nth")).alias("f")).select("path", "line_number", "rule", "dependency", "f.*")
 
 
-def redact(text):
-    """Values of secret assignments and passwords in urls, masked; masking again changes nothing."""
-    text = F.regexp_replace(text, r"(?i)\b((?:token|secret|password|api_key)\s*=\s*[\"'])[^\"']+([\"'])", "$1***$2")
-    return F.regexp_replace(text, r"(://[^:/\s]+:)[^@\s]+@", "$1***@")
+def with_policy(found: DataFrame, ignored: list[str] | None = None, severities: dict[str, str] | None = None, excluded: list[str] | None = None) -> DataFrame:
+    """Findings after a policy: dependencies that a pattern ignores and paths under excluded globs go; severities by rule change."""
+    ignored = checked_patterns(ignored or [])
+    if ignored:
+        found = found.where(~F.col("dependency").rlike("|".join(f"(?:{p})" for p in ignored)))
+    if excluded:
+        found = found.where(~any_glob(F.col("path"), excluded))
+    severity = F.col("severity")
+    for rule, s in (severities or {}).items():
+        severity = F.when(F.col("rule") == rule, F.lit(s)).otherwise(severity)
+    return found.withColumn("severity", severity)
+
+
+def checked_patterns(patterns: list[str] | tuple[str, ...], most: int = 100, length: int = 512) -> list[str]:
+    """The patterns, if they are within the bounds of a policy and compile; else an error."""
+    if len(patterns) > most:
+        raise ValueError(f"more than {most} patterns")
+    for p in patterns:
+        if not p or len(p) > length:
+            raise ValueError(f"a pattern has 1 to {length} characters")
+        re.compile(p)
+    return list(patterns)
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """By severity, the worst first, then by path and line."""
+    return found.orderBy(F.desc(severity_rank(F.col("severity"))), "path", "line_number", "rule", "dependency")
+
+
+LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
+
+
+def sarif(found: DataFrame, key: str, tool: str = "lodestack") -> DataFrame:
+    """One SARIF 2.1.0 document per key (a repository): a rule for each rule id (its first finding wins), and all results."""
+    level = F.lit("note")
+    for severity, name in LEVELS.items():
+        level = F.when(F.col("severity") == severity, F.lit(name)).otherwise(level)
+    place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_number").alias("startLine")).alias("region")).alias("physicalLocation"))
+    message = F.struct(F.concat("category", F.lit(": "), "dependency").alias("text"))
+    rows = found.select(key, "path", "line_number", "rule", "dependency", level.alias("level"), F.struct(F.col("rule").alias("ruleId"), level.alias("level"), message.alias("message"), F.array(place).alias("locations"), F.struct("category", "severity").alias("properties")).alias("result"), "category")
+    rules = rows.groupBy(key, "rule").agg(F.min_by(F.struct("category", "level"), F.struct("path", "line_number", "dependency")).alias("f"))
+    rule = F.struct(F.col("rule").alias("id"), F.struct(F.col("f.category").alias("text")).alias("shortDescription"), F.struct(F.col("f.level").alias("level")).alias("defaultConfiguration"))
+    rules = rules.groupBy(key).agg(F.array_sort(F.collect_list(rule)).alias("rules"))
+    results = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "line_number", "rule", "dependency", "result"))), lambda x: x["result"]).alias("results"))
+    run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), "rules").alias("driver")).alias("tool"), "results")
+    return results.join(rules, key).select(key, F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
+
+
+# Forms of credentials, masked whole; contexts whose value is masked.
+CREDENTIALS = (
+    r"AKIA[0-9A-Z]{16}",
+    r"gh[pousr]_[A-Za-z0-9]{36,}",
+    r"github_pat_[A-Za-z0-9_]{22,}",
+    r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+    r"xox[baprs]-[A-Za-z0-9-]{10,}",
+    r"(?:sk|rk)_live_[A-Za-z0-9]{16,}",
+    r"AIza[0-9A-Za-z_\-]{35}",
+    r"sk-(?:proj-)?[A-Za-z0-9_\-]{20,}",
+    r"npm_[A-Za-z0-9]{36}",
+    r"pypi-[A-Za-z0-9_\-]{16,}",
+    r"-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----[\s\S]*?-----END (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY-----",
+)
+MASK = "[REDACTED]"
+CONTEXTS = (
+    (r"(?i)(api[_-]?key|access[_-]?key|secret[_-]?key|client[_-]?secret|token|password|passwd|pwd|secret)\s*[=:]\s*['\"]?[A-Za-z0-9/+=_\-]{20,}['\"]?", "$1=" + MASK),
+    (r"(?i)(mongodb|mongodb\+srv|postgres|postgresql|mysql|redis|amqp)://([^:\s/@]+):[^@\s/]+@", "$1://$2:" + MASK + "@"),
+    (r"(?i)(\b(?:https?|git\+https?)://)[^/@\s]+@", "$1" + MASK + "@"),
+    (r"(?i)(//\S+/:_authToken\s*=\s*)[^\s'\"]+", "$1" + MASK),
+    (r"(?i)([?&](?:access[_-]?token|auth[_-]?token|api[_-]?key|client[_-]?secret|password|passwd|secret|signature|sig|token|x-amz-credential|x-amz-security-token|x-amz-signature)=)[^&#\s'\"<>]+", "$1" + MASK),
+    (r"(?i)(\b(?:_authToken|access[_-]?token|auth[_-]?token|api[_-]?key|client[_-]?secret|password|passwd|secret|secret[_-]?access[_-]?key|token)\b\s*(?:=|:)\s*)(?:\"(?:\[REDACTED\]|[^\s,'\"}\]]+)\"|'(?:\[REDACTED\]|[^\s,'\"}\]]+)'|\[REDACTED\]|[^\s,'\"}\]]+)", "$1" + MASK),
+    (r"(?i)(\bAuthorization\s*:\s*(?:Basic|Bearer)\s+)[^\s'\"]+", "$1" + MASK),
+)
+
+
+def redact(text: Column) -> Column:
+    """Credentials of known forms, and values of secrets in assignments, urls, queries and headers, masked; masking again changes nothing."""
+    for pattern in CREDENTIALS:
+        text = F.regexp_replace(text, pattern, MASK)
+    for pattern, kept in CONTEXTS:
+        text = F.regexp_replace(text, pattern, kept)
+    return text
+
+
+def redact_all(df: DataFrame) -> DataFrame:
+    """df with every text column masked, also inside structs, arrays and map values."""
+
+    def masked(value: Column, kind) -> Column:
+        name = kind.typeName()
+        if name == "string":
+            return redact(value)
+        if name == "array":
+            return F.transform(value, lambda x: masked(x, kind.elementType))
+        if name == "map":
+            return F.transform_values(value, lambda k, v: masked(v, kind.valueType))
+        if name == "struct":
+            return F.when(value.isNotNull(), F.struct(*(masked(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+        return value
+
+    return df.select(*(masked(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))

@@ -131,9 +131,9 @@ def found(inv):
     return inv.table("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("int").alias("at"), category.alias("category"), dep.alias("dependency"))
 
 
-@query("nrm_repo_component", f"WITH {FOUND_SQL} SELECT k, pos AS "at", ref, name, version, ecosystem, ref AS purl FROM cs", views=False)
+@query("nrm_repo_component", f"WITH {FOUND_SQL} SELECT k, pos AS n, ref, name, version, ecosystem, ref AS purl FROM cs", views=False)
 def repository_component(inv):
-    return found(inv).select("k", "at", payloads.repository_component(F.col("category"), F.col("dependency")).alias("c")).select("k", "at", "c.*")
+    return found(inv).select("k", F.col("at").alias("n"), payloads.repository_component(F.col("category"), F.col("dependency")).alias("c")).select("k", "n", "c.*")
 
 
 @query("nrm_repo_payload", f"""WITH {FOUND_SQL} SELECT k, ref, any_value(name) AS name, any_value(version) AS version, any_value(ecosystem) AS ecosystem, ref AS purl, true AS phantom FROM cs GROUP BY k, ref

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lodestack.functions.scalars import allowed, any_glob, ecosystems_match, severity_order, severity_rank
 from lodestack.operators.relational import counts_by, keep_first, merge_last, with_count
 from lodestack.operators.runs import run_states
+from lodestack.operators.text_rules import checked_patterns
 from lodestack.plans.registry import query
 
 SEVERITY_ORDER_SQL = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END"
@@ -67,8 +68,8 @@ def recent(inv, today: str = "1998-12-01", days: int = 365):
 
 @query("flt_ignore_rules", "SELECT id FROM v_components WHERE NOT regexp_matches(name, '^cold|ring$')")
 def not_ignored(inv, patterns: tuple[str, ...] = ("^cold", "ring$")):
-    """Names that no pattern matches; 100 patterns of 512 characters are taken at most."""
-    return inv.components.where(~F.col("name").rlike("|".join(f"(?:{p})" for p in patterns[:100] if len(p) <= 512))).select("id")
+    """Names that no pattern matches; over 100 patterns, or one over 512 characters, are an error."""
+    return inv.components.where(~F.col("name").rlike("|".join(f"(?:{p})" for p in checked_patterns(patterns)))).select("id")
 
 
 @query("flt_ecosystems_match", "SELECT s.advisory_id, count(*) AS n FROM v_specs s JOIN v_components c ON c.name = s.package AND (s.ecosystem = '' OR s.ecosystem = c.ecosystem) GROUP BY s.advisory_id")

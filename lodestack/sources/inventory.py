@@ -64,7 +64,7 @@ class Inventory:
         """Advisories of malicious packages: a name, an ecosystem (may be empty), versions or all of them."""
         key = F.col("p_partkey")
         versions = F.array(F.col("p_size").cast("string"), (F.col("p_size") + 1).cast("string"))
-        return self.table("part").where(key % 50 == 0).select(key.alias("advisory_id"), F.col("p_name").alias("package"), F.when(key % 100 == 0, "").otherwise(F.col("p_type")).alias("ecosystem"), versions.alias("versions"), (key % 250 == 0).alias("all_versions"))
+        return self.table("part").select(key.alias("advisory_id"), F.col("p_name").alias("package"), F.when(key % 100 == 0, "").otherwise(F.col("p_type")).alias("ecosystem"), versions.alias("versions"), (key % 250 == 0).alias("all_versions"))
 
     @cached_property
     def heartbeats(self) -> DataFrame:
@@ -79,6 +79,6 @@ v_components AS (SELECT p_partkey AS id, p_name AS name, CAST(p_size AS VARCHAR)
 v_usages AS (SELECT o_custkey AS asset_id, l_partkey AS component_id, CASE WHEN l_returnflag = 'A' THEN 'repo_scan' WHEN l_returnflag = 'R' AND l_partkey % 4 <> 0 THEN 'repo_sbom' ELSE 'image_scan' END AS source, l_linenumber AS evidence_path, l_shipdate AS last_seen_at, l_suppkey AS layer, l_orderkey AS batch FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 v_findings AS (SELECT o_orderkey AS id, o_custkey AS affected_asset_id, component_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' ELSE 'unknown' END AS severity, CASE o_orderstatus WHEN 'F' THEN 'resolved' WHEN 'O' THEN 'open' ELSE 'triaged' END AS status, CASE o_orderkey % 3 WHEN 0 THEN 'cve' WHEN 1 THEN 'malware' ELSE 'shadow_deployment' END AS finding_type, o_orderdate AS last_seen_at FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS component_id FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey),
 v_relationships AS (SELECT DISTINCT o_custkey AS source_asset_id, CASE WHEN l_linestatus = 'O' THEN 'runs_in' ELSE 'belongs_to' END AS relationship_type, l_suppkey AS target_asset_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-v_specs AS (SELECT p_partkey AS advisory_id, p_name AS package, CASE WHEN p_partkey % 100 = 0 THEN '' ELSE p_type END AS ecosystem, [CAST(p_size AS VARCHAR), CAST(p_size + 1 AS VARCHAR)] AS versions, p_partkey % 250 = 0 AS all_versions FROM part WHERE p_partkey % 50 = 0),
+v_specs AS (SELECT p_partkey AS advisory_id, p_name AS package, CASE WHEN p_partkey % 100 = 0 THEN '' ELSE p_type END AS ecosystem, [CAST(p_size AS VARCHAR), CAST(p_size + 1 AS VARCHAR)] AS versions, p_partkey % 250 = 0 AS all_versions FROM part),
 v_heartbeats AS (SELECT event_id AS id, user_id AS runner_id, event_type AS job_type, ts AS seen_at, value, props FROM events)
 """
