@@ -1,4 +1,4 @@
 """Named query plans; importing this package fills the registry."""
 
-from lodestack.plans import analytics, clusters, decoding, payloads, relations, states, text  # noqa: F401
+from lodestack.plans import analytics, clusters, decoding, payloads, queue, relations, states, text  # noqa: F401
 from lodestack.plans.registry import ORACLES, QUERIES  # noqa: F401
