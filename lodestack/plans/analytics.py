@@ -245,9 +245,9 @@ def stale_assets(inv):
     return inv.assets.where(F.col("status").isin("inactive", "deleted", "unknown")).select("id", "display_name")
 
 
-@query("flt_like_any", "SELECT id, name, ecosystem FROM v_components WHERE name ILIKE '%steel%' OR ecosystem ILIKE '%steel%' OR version ILIKE '%steel%'")
+@query("flt_like_any", "SELECT id, name, ecosystem FROM v_components WHERE name ILIKE '%ring%' OR ecosystem ILIKE '%ring%' OR version ILIKE '%ring%'")
 def like_any(inv):
-    return inv.components.where(contains_any("steel", F.col("name"), F.col("ecosystem"), F.col("version"))).select("id", "name", "ecosystem")
+    return inv.components.where(contains_any("ring", F.col("name"), F.col("ecosystem"), F.col("version"))).select("id", "name", "ecosystem")
 
 
 @query("jn_component_fanout", "SELECT c.id, count(DISTINCT u.asset_id) AS assets, count(DISTINCT f.id) AS findings FROM v_components c LEFT JOIN v_usages u ON u.component_id = c.id LEFT JOIN v_findings f ON f.component_id = c.id AND f.status <> 'resolved' GROUP BY c.id")

@@ -57,9 +57,9 @@ def presence_state(inv):
     return runner_presence(beats, runs(inv).withColumn("job_type", F.col("run") % 5), now())
 
 
-@query("str_schedule", f"WITH {TABLE} SELECT run % 50 AS source, max(coalesce(finished_at, claimed_at)) AS last FROM s GROUP BY run % 50 HAVING NOT bool_or(state IN ('queued', 'running')) AND max(coalesce(finished_at, claimed_at)) <= TIMESTAMP '{NOW}' - INTERVAL 60 SECOND")
+@query("str_schedule", f"WITH {TABLE} SELECT run // 3 AS source, max(coalesce(finished_at, claimed_at)) AS last FROM s GROUP BY run // 3 HAVING NOT bool_or(state IN ('queued', 'running')) AND max(coalesce(finished_at, claimed_at)) <= TIMESTAMP '{NOW}' - INTERVAL 60 SECOND")
 def scheduled(inv):
-    return due(runs(inv).select((F.col("run") % 50).alias("source"), F.coalesce("finished_at", "claimed_at").alias("at"), "state"), "source", "at", now())
+    return due(runs(inv).select(F.floor(F.col("run") / 3).cast("long").alias("source"), F.coalesce("finished_at", "claimed_at").alias("at"), "state"), "source", "at", now())
 
 
 @query("str_sweep", "SELECT e.runner_id AS root, m.marker IS NULL OR max(e.seen_at) > m.marker AS changed FROM v_heartbeats e LEFT JOIN (SELECT runner_id, max(seen_at) AS marker FROM v_heartbeats WHERE id % 3 = 0 GROUP BY runner_id) m USING (runner_id) GROUP BY e.runner_id, m.marker")

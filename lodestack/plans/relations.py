@@ -78,12 +78,6 @@ def ecosystem_matches(inv):
     return both.groupBy("advisory_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("flt_comment_line", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '^\\s*#[^!]') GROUP BY doc_id", views=False)
-def comment_lines(inv):
-    lines = inv.table("documents").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.where(F.col("line").rlike(r"^\s*#[^!]")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 # Joins
 
 
@@ -184,11 +178,11 @@ def edge_keys(inv):
     return edges.select(key("source_asset_id").alias("from_key"), key("target_asset_id").alias("to_key")).distinct()
 
 
-@query("jn_reference_follow", "SELECT DISTINCT target_asset_id AS id FROM v_relationships WHERE target_asset_id IN (SELECT id FROM v_assets) AND target_asset_id NOT IN (SELECT affected_asset_id FROM v_findings)")
+@query("jn_reference_follow", "SELECT DISTINCT target_asset_id AS id FROM v_relationships WHERE target_asset_id IN (SELECT id FROM v_assets) AND target_asset_id NOT IN (SELECT affected_asset_id FROM v_findings WHERE severity = 'critical')")
 def followed(inv):
-    """Referenced, listed, and not scanned yet."""
+    """Referenced, listed, and not followed yet: without a critical finding."""
     wanted = inv.relationships.select(F.col("target_asset_id").alias("id")).distinct()
-    return wanted.join(inv.assets, "id", "left_semi").join(inv.findings.select(F.col("affected_asset_id").alias("id")), "id", "left_anti")
+    return wanted.join(inv.assets, "id", "left_semi").join(inv.findings.where("severity = 'critical'").select(F.col("affected_asset_id").alias("id")), "id", "left_anti")
 
 
 @query("jn_registry_auth", "SELECT id, CASE WHEN name LIKE 'cold%' THEN 1 WHEN name LIKE '% widget' THEN 2 WHEN name LIKE '%' THEN 3 END AS entry FROM v_components")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.scalars import any_glob, severity_rank
 from lodestack.operators import files as files_of
-from lodestack.operators.text_rules import CONTEXTS, CREDENTIALS, MASK, RULES, applies, distinct_findings, is_placeholder_url, ordered, redact, register_rule, sarif, scan, scan_whole, with_policy, without_heredocs
+from lodestack.operators.text_rules import CONTEXTS, CREDENTIALS, MASK, RULES, applies, distinct_findings, is_comment, is_placeholder_url, joined_lines, ordered, redact, register_rule, sarif, scan, scan_whole, with_policy, without_heredocs
 from lodestack.plans.registry import query
 
 
@@ -178,6 +178,25 @@ def not_in_help(inv):
     return found.select("path")
 
 
+@query("flt_comment_line", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM documents", views=False)
+def comment_lines(inv):
+    """Lines that rules skip: empty ones, and in scripts # lines."""
+    lines = scripts(inv).select("path", "file_type", F.explode(F.split("content", "\n", -1)).alias("line"))
+    return lines.where(is_comment(F.col("line"), F.col("file_type"))).groupBy(F.col("path").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("txt_heredoc", "SELECT doc_id AS path, CAST(12 AS INTEGER) AS n, doc_id % 2 = 1 AS printed FROM documents", views=False)
+def heredocs(inv):
+    """Heredocs that scripts only print are blanked; the number of lines stays."""
+    files = without_heredocs(scripts(inv))
+    return files.select("path", F.size(F.split("content", "\n", -1)).alias("n"), F.col("content").contains("npm install -g doc").alias("printed"))
+
+
+@query("txt_continuation", "SELECT doc_id AS path, CAST(CASE WHEN doc_id % 2 = 0 THEN 11 ELSE 12 END AS INTEGER) AS n FROM documents", views=False)
+def continued(inv):
+    return scripts(inv).select("path", F.size(F.split(joined_lines(F.col("content"), F.col("file_type")), "\n", -1)).alias("n"))
+
+
 @query("txt_rule_applicability", "SELECT unnest(['script', 'dockerfile', 'gitmodules']) AS file_type, unnest([0, 1, 1]) AS n", views=False)
 def applicable(inv):
     """How many of three rules are for a file type."""
