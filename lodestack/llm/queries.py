@@ -77,8 +77,22 @@ judged_lines AS (SELECT l.doc_id, l.line, l.pos, c.first IS NOT NULL AND l.doc_i
 """
 
 
+#: Words of every document with their places, and of every window of 20 whether its words start earlier.
+_WINDOWS = r"""
+split_words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+each_word AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM split_words),
+windows AS (SELECT doc_id, w, pos, CASE WHEN count(*) OVER ahead = 20 THEN string_agg(w, ' ') OVER ahead END AS k FROM each_word
+  WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+later AS (SELECT doc_id, w, pos, k IS NOT NULL AND row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) > 1 AS again FROM windows),
+covered AS (SELECT doc_id, w, pos, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM later)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op10_substring_dedup": f"""WITH {_WINDOWS}
+SELECT d.doc_id, count(c.w) AS n_words, count(c.w) FILTER (c.gone) AS n_removed, sha256(coalesce(string_agg(c.w, ' ' ORDER BY c.pos) FILTER (NOT c.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN covered c ON c.doc_id = d.doc_id GROUP BY d.doc_id""",
         "op9_line_dedup": f"""WITH {_LINES}
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256

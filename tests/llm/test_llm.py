@@ -478,6 +478,19 @@ def test_tiff_bad_files():
         tiff.lzw_decode(bytes((0b10000000, 0b01111111, 0b11000000)), 10)
 
 
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_gives_the_same_rows(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    got = queries.queries()[name](spark, FOLDER)
+    assert sorted(got.columns) == sorted(names)
+    assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(want.fetchall())
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
