@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.scalars import contains_any, ecosystems_match, severity_order, severity_rank
-from lodestack.operators.relational import counts_by, keep_first, merge_last, page, with_count
+from lodestack.operators.relational import counted_apart, counts_by, keep_first, merge_last, page, with_count
 from lodestack.plans.registry import query
 
 ORDER_SQL = "CASE severity WHEN 'critical' THEN 1 WHEN 'high' THEN 2 WHEN 'medium' THEN 3 WHEN 'low' THEN 4 ELSE 5 END"
@@ -91,14 +91,19 @@ def latest_findings(inv):
     return finding_rows(inv, first).select("id", "severity", "status", "asset_name", "component_name")
 
 
-@query("agg_ghost", """WITH repo AS (SELECT component_id, max(CASE WHEN source = 'repo_scan' THEN 1 ELSE 0 END) AS scanned, max(CASE WHEN source = 'repo_sbom' THEN 1 ELSE 0 END) AS declared FROM v_usages WHERE source IN ('repo_scan', 'repo_sbom') GROUP BY component_id)
-SELECT count(*) AS repo_packages, coalesce(CAST(sum(CASE WHEN scanned = 1 AND declared = 0 THEN 1 ELSE 0 END) AS BIGINT), 0) AS ghost_packages, CASE WHEN count(*) = 0 THEN 0.0 ELSE round(sum(CASE WHEN scanned = 1 AND declared = 0 THEN 1 ELSE 0 END) * 100.0 / count(*), 1) END AS percent FROM repo""")
+SCANNED, DECLARED = 1, 2
+
+
+@query("agg_ghost", """WITH scanned AS (SELECT DISTINCT component_id FROM v_usages WHERE source = 'repo_scan'), declared AS (SELECT DISTINCT component_id FROM v_usages WHERE source = 'repo_sbom'),
+numbers AS (SELECT (SELECT count(*) FROM (FROM scanned UNION FROM declared)) AS n, (SELECT count(*) FROM (FROM scanned EXCEPT FROM declared)) AS g)
+SELECT n AS repo_packages, g AS ghost_packages, if(n = 0, 0.0, round(100.0 * g / n, 1)) AS percent FROM numbers""")
 def ghost(inv):
-    """Packages seen in sources that no declared bill of materials names."""
-    flag = lambda s: F.max(F.when(F.col("source") == s, 1).otherwise(0))
-    repo = inv.usages.where(F.col("source").isin("repo_scan", "repo_sbom")).groupBy("component_id").agg(flag("repo_scan").alias("scanned"), flag("repo_sbom").alias("declared"))
-    out = repo.agg(F.count(F.lit(1)).alias("repo_packages"), F.coalesce(F.sum(F.when(F.expr("scanned = 1 and declared = 0"), 1).otherwise(0)), F.lit(0)).alias("ghost_packages"))
-    return out.withColumn("percent", F.when(F.col("repo_packages") == 0, 0.0).otherwise(F.round(F.col("ghost_packages") * 100.0 / F.expr("nullif(repo_packages, 0)"), 1)).cast("double"))
+    """Packages seen in sources that no declared bill of materials names: of the bits of its sources, a component has the first alone."""
+    bit = F.when(F.col("source") == "repo_scan", SCANNED).when(F.col("source") == "repo_sbom", DECLARED)
+    bits = inv.usages.select("component_id", bit.alias("bit")).where("bit is not null").groupBy("component_id").agg(F.bit_or("bit").alias("bits"))
+    out = bits.agg(F.count(F.lit(1)).alias("repo_packages"), F.count_if(F.col("bits") == SCANNED).alias("ghost_packages"))
+    share = F.round(100.0 * F.try_divide("ghost_packages", "repo_packages"), 1)
+    return out.withColumn("percent", F.coalesce(share, F.lit(0.0)).cast("double"))
 
 
 @query("set_ghost_diff", "SELECT component_id FROM v_usages WHERE source = 'repo_scan' EXCEPT SELECT component_id FROM v_usages WHERE source = 'repo_sbom'")
@@ -158,13 +163,25 @@ def list_components(inv):
     return rows.select("id", "name", "version", "ecosystem", "asset_count", "finding_count").orderBy(F.desc("asset_count"), "name", "id").limit(500)
 
 
-@query("q_sbom_packages", "SELECT c.name, coalesce(nullif(c.ecosystem, ''), 'unknown') AS ecosystem, coalesce(nullif(c.package_manager, ''), '') AS package_manager, count(DISTINCT c.id) AS component_count, count(DISTINCT c.version) AS version_count, count(DISTINCT u.asset_id) AS asset_count FROM v_components c LEFT JOIN v_usages u ON u.component_id = c.id GROUP BY lower(c.name), 1, 2, 3")
-def sbom_packages(inv):
-    """The whole package roll-up; pages of it are taken by `page`."""
-    packages = inv.components.withColumns({"ecosystem": F.coalesce(F.expr("nullif(ecosystem, '')"), F.lit("unknown")), "package_manager": F.coalesce(F.expr("nullif(package_manager, '')"), F.lit(""))})
+@query("q_sbom_packages", """SELECT c.name, coalesce(nullif(c.ecosystem, ''), 'unknown') AS ecosystem, coalesce(nullif(c.package_manager, ''), '') AS package_manager, count(DISTINCT c.id) AS component_count, count(DISTINCT coalesce(nullif(c.version, ''), 'unknown')) AS version_count, min(c.id) AS sample, count(DISTINCT u.asset_id) AS asset_count
+FROM v_components c LEFT JOIN v_usages u ON u.component_id = c.id GROUP BY lower(c.name), 1, 2, 3""")
+def sbom_packages(inv, search: str = "", ecosystem: str = "") -> DataFrame:
+    """The whole package roll-up, after an optional search in names and an ecosystem; pages of it are taken by `sbom_page`."""
+    packages = inv.components.withColumns({"ecosystem": F.coalesce(F.expr("nullif(ecosystem, '')"), F.lit("unknown")), "package_manager": F.coalesce(F.expr("nullif(package_manager, '')"), F.lit("")), "version": F.coalesce(F.expr("nullif(version, '')"), F.lit("unknown"))})
+    packages = packages.where(contains_any(search, F.col("name"))) if search else packages
+    packages = packages.where(F.col("ecosystem") == ecosystem) if ecosystem else packages
+    keys = ["name", "ecosystem", "package_manager"]
     used = inv.usages.select("component_id", "asset_id").distinct()
-    joined = packages.join(used, F.col("id") == F.col("component_id"), "left")
-    return joined.groupBy("name", "ecosystem", "package_manager").agg(F.countDistinct("id").alias("component_count"), F.countDistinct("version").alias("version_count"), F.countDistinct("asset_id").alias("asset_count"))
+    rows = counted_apart(packages, used, keys, "id", {"component_count": "id", "version_count": "version"})
+    return rows.join(packages.groupBy(*keys).agg(F.min("id").alias("sample")), keys)
+
+
+@query("q_sbom_page", """SELECT c.name, c.ecosystem, count(DISTINCT c.id) AS component_count, count(DISTINCT u.asset_id) AS asset_count FROM v_components c LEFT JOIN v_usages u ON u.component_id = c.id
+WHERE c.name ILIKE '%widget%' GROUP BY c.name, c.ecosystem, c.package_manager ORDER BY asset_count DESC, c.name, c.ecosystem, c.package_manager LIMIT 50 OFFSET 50""")
+def sbom_page(inv, search: str = "widget", number: int = 2) -> DataFrame:
+    """One page of the packages that a search finds, the most used first."""
+    rows = sbom_packages(inv, search).orderBy(F.desc("asset_count"), "name", "ecosystem", "package_manager")
+    return page(rows.select("name", "ecosystem", "component_count", "asset_count"), number=number)
 
 
 NAME = "(SELECT min(name) FROM v_components)"
@@ -221,6 +238,31 @@ def scanner_config(inv):
     return on.groupBy("connector_type").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("name")), ",").alias("names"))
 
 
+@query("q_findings_page", f"SELECT id, severity, status, asset_name, component_name FROM ({FINDING_SQL}) WHERE severity = 'high' AND status <> 'resolved' AND finding_type = 'cve' AND (component_name ILIKE '%ring%' OR asset_name ILIKE '%ring%') ORDER BY {ORDER_SQL}, last_seen_at DESC, id LIMIT 25 OFFSET 25")
+def findings_page(inv, severity: str = "high", kind: str = "cve", search: str = "ring", limit: int = 25, number: int = 2) -> DataFrame:
+    """One page of the open findings of a severity and kind that a search finds, the worst and latest first."""
+    rows = unresolved(inv).where((F.col("severity") == severity) & (F.col("finding_type") == kind))
+    rows = finding_rows(inv, rows).where(contains_any(search, F.col("component_name"), F.col("asset_name")))
+    return page(rows.orderBy(severity_order(F.col("severity")), F.desc("last_seen_at"), "id").select("id", "severity", "status", "asset_name", "component_name"), limit, number=number)
+
+
+@query("q_assets_page", "SELECT a.id, a.display_name, k.name AS connector FROM v_assets a LEFT JOIN v_connectors k ON k.id = a.connector_id WHERE a.asset_type = 'MACHINERY' AND a.status = 'active' AND a.scan_status = 'scanned' AND a.display_name ILIKE '%1%' ORDER BY a.score DESC, a.id LIMIT 50")
+def assets_page(inv, asset_type: str = "MACHINERY", status: str = "active", scan_status: str = "scanned", search: str = "1") -> DataFrame:
+    """The first page of the assets that four filters leave, the highest score first."""
+    rows = inv.assets.where((F.col("asset_type") == asset_type) & (F.col("status") == status) & (F.col("scan_status") == scan_status) & contains_any(search, F.col("display_name")))
+    named = inv.connectors.select(F.col("id").alias("connector_id"), F.col("name").alias("connector"))
+    return page(rows.join(named, "connector_id", "left").orderBy(F.desc("score"), "id").select("id", "display_name", "connector"))
+
+
+@query("q_components_page", "SELECT c.id, c.name, c.version, count(DISTINCT u.asset_id) AS asset_count FROM v_components c LEFT JOIN v_usages u ON u.component_id = c.id WHERE c.ecosystem ILIKE '%brass%' AND c.name ILIKE '%bolt%' GROUP BY ALL ORDER BY asset_count DESC, c.name, c.id LIMIT 50")
+def components_page(inv, ecosystem: str = "brass", search: str = "bolt") -> DataFrame:
+    """The first page of the components that a search and an ecosystem leave, the most used first."""
+    rows = inv.components.where(contains_any(ecosystem, F.col("ecosystem")) & contains_any(search, F.col("name")))
+    used = inv.usages.join(rows.select(F.col("id").alias("component_id")), "component_id", "left_semi")
+    rows = with_count(rows, "id", counts_by(used, "component_id", "asset_count", distinct="asset_id"), "component_id", "asset_count")
+    return page(rows.select("id", "name", "version", "asset_count").orderBy(F.desc("asset_count"), "name", "id"))
+
+
 @query("lim_paginate", f"SELECT id, severity, last_seen_at FROM v_findings ORDER BY {ORDER_SQL}, last_seen_at DESC, id LIMIT 50 OFFSET 100")
 def third_page(inv):
     return page(inv.findings.select("id", "severity", "last_seen_at").orderBy(severity_order(F.col("severity")), F.desc("last_seen_at"), "id"), number=3)
@@ -284,7 +326,7 @@ def alert_groups(inv):
     """Alerts by advisory, package, version and ecosystem; one without affected assets is an alert too."""
     hits = malicious_components(inv).join(inv.components.select(F.col("id").alias("component_id"), F.col("name").alias("package"), "ecosystem"), "component_id")
     assets = inv.usages.select("component_id", "asset_id").distinct()
-    return hits.join(assets, "component_id", "left").groupBy("advisory_id", "package", "version", "ecosystem").agg(F.countDistinct("component_id").alias("components"), F.countDistinct("asset_id").alias("asset_count"))
+    return counted_apart(hits, assets, ["advisory_id", "package", "version", "ecosystem"], "component_id", {"components": "component_id"})
 
 
 @query("q_alerts", f"WITH {HITS_SQL} SELECT advisory_id, package, version, ecosystem, count(DISTINCT component_id) AS components FROM hits GROUP BY ALL ORDER BY package, advisory_id, version, ecosystem LIMIT 500")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestack.functions.scalars import any_glob
 from lodestack.operators.listings import advisory_feed, first_tag, one_per_digest, tag_targets, version_targets
-from lodestack.operators.relational import counts_by, keep_first, merge_last, with_count
+from lodestack.operators.relational import counted_apart, counts_by, keep_first, merge_last, with_count
 from lodestack.plans.registry import query
 
 # Sources. Suppliers stand for registries, parts for repositories, order lines for pushed images.
@@ -156,7 +156,10 @@ def packages(inv):
 
 @query("agg_sbom_packages", f"WITH {SBOM_SQL} SELECT package, ecosystem, manager, count(DISTINCT version) AS versions, count(DISTINCT id) AS components, count(DISTINCT asset_id) AS assets FROM s GROUP BY package, ecosystem, manager")
 def sbom_packages(inv):
-    return packages(inv).groupBy("package", "ecosystem", "manager").agg(F.countDistinct("version").alias("versions"), F.countDistinct("component_id").alias("components"), F.countDistinct("asset_id").alias("assets"))
+    pairs = packages(inv)
+    used = pairs.select("component_id", "package", "ecosystem", "manager", "version").distinct()
+    rows = counted_apart(used, pairs.select("component_id", "asset_id"), ["package", "ecosystem", "manager"], "component_id", {"versions": "version", "components": "component_id"})
+    return rows.withColumnRenamed("asset_count", "assets")
 
 
 @query("agg_sbom_versions", f"WITH {SBOM_SQL} SELECT version, count(DISTINCT id) AS components, count(DISTINCT asset_id) AS assets, max(last_seen_at) AS last_seen_at FROM s WHERE package = 'cold widget' GROUP BY version")
