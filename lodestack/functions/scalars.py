@@ -123,10 +123,8 @@ def contains_any(term: str, *columns: Column) -> Column:
 
 
 def _looked_up(value: Column, table: dict[str, str], default: Column) -> Column:
-    out = default
-    for a, b in table.items():
-        out = F.when(value == a, F.lit(b)).otherwise(out)
-    return out
+    """One look-up in a literal map, so that the value stands in the plan once."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), value), default)
 
 
 def ecosystem_name(value: Column) -> Column:

@@ -119,3 +119,18 @@ def advisory_specs(advisories: DataFrame, text: str = "record") -> DataFrame:
     every = (F.size(versions) == 0) & F.coalesce(F.exists(a["ranges"], open_range), F.lit(False))
     name = F.trim(a["package"]["name"])
     return rows.where(F.coalesce(name, F.lit("")) != "").select("advisory_id", name.alias("package"), ecosystem_name(a["package"]["ecosystem"]).alias("ecosystem"), versions.alias("versions"), every.alias("all_versions"))
+
+
+def advisory_hits(specs: DataFrame, components: DataFrame) -> DataFrame:
+    """Components that advisories name: the columns of specs (package, ecosystem, versions, all_versions, ...) without the last three, component_id, version, ecosystem.
+
+    Listed versions are part of the join's key, so only specs of all versions meet every component of their name. Ecosystems
+    are normalised once on each side, and match if equal or if one is empty.
+    """
+    own = [c for c in specs.columns if c not in ("ecosystem", "versions", "all_versions")]
+    specs = specs.withColumn("_eco", ecosystem_name(F.col("ecosystem"))).drop("ecosystem")
+    known = components.select(F.col("id").alias("component_id"), F.col("name").alias("package"), "version", "ecosystem", ecosystem_name(F.col("ecosystem")).alias("_own"))
+    listed = specs.where("not all_versions").withColumn("version", F.explode(F.array_distinct("versions"))).join(known, ["package", "version"])
+    every = specs.where("all_versions").join(known, "package")
+    rows = listed.select(*own, "component_id", "version", "ecosystem", "_eco", "_own").unionByName(every.select(*own, "component_id", "version", "ecosystem", "_eco", "_own"))
+    return rows.where("_eco = '' or _own = '' or _eco = _own").drop("_eco", "_own")

@@ -1,8 +1,8 @@
 """Evidence rules over text: a registry of regular expressions, applied per line or per file, with their file types.
 
 A rule names a pattern, the group that holds the dependency, a category and a severity. All rules of a run become one
-array expression over lines, so a text is split once and no row leaves the JVM; whole contents are tested first by what
-their rules have in common, so files without any match are never split. Rules may also be rows of a table (`rules_of`).
+array expression over lines, so a text is split once and no row leaves the JVM; files and lines without any of the strings
+that the rules name as hints are left out first. Rules may also be rows of a table (`rules_of`).
 """
 
 from __future__ import annotations
@@ -34,32 +34,33 @@ class Rule:
     multiline: bool = False  # over the whole content
     escalate: tuple[tuple[str, str], ...] = ()  # (pattern within the match, severity): the first that fits holds
     dependency: str = ""  # template of $0, $1, ... in place of the group
+    hints: tuple[str, ...] = ()  # one of these stands in every match; lines without any are not tested
 
 
 #: Evidence of undeclared dependencies, secrets and licences in prose, markup and scripts; own rules.
 RULES = [
-    Rule("assign-secret", r"(?i)\b(token|secret|password|api_key)\s*=\s*[\"']([^\"']+)[\"']", 2, "secret", "critical"),
-    Rule("licence-named", r"licensed under (?:the )?([^.\n]+)", 1, "licence", "low"),
-    Rule("pipe-to-shell", r"(?:curl|wget)\s+[^|\n]*\|\s*(?:sudo\s+)?((?:ba|z)?sh)\b", 1, "script_installation", "high", escalate=((r"\bsudo\b", "critical"), (r"http://", "critical"))),
-    Rule("process-substitution", r"(?:ba|z)?sh\s+<\(\s*(?:curl|wget)\s+(?:-\S+\s+)*([^\s)]+)", 1, "script_installation", "critical"),
-    Rule("powershell-web", r"(?i)\b(?:iwr|irm|invoke-webrequest)\s+(?:-\S+\s+)*([^\s|]+)[^\n]*\|\s*(?:iex|invoke-expression)\b", 1, "script_installation", "critical"),
-    Rule("download-binary", r"\b(?:curl|wget)\s+(?:-\S+\s+)*(https?://\S+\.(?:tar\.gz|tgz|zip|deb|rpm|exe|dmg|pkg|jar|whl))\b", 1, "binary_download", "high", multiple=True, escalate=((r"http://", "critical"),)),
-    Rule("pip-install", r"\bpip3?\s+install\s+(?:-\S+\s+)*([A-Za-z0-9._-]+)", 1, "unmanaged_package", "medium"),
-    Rule("pip-from-url", r"\bpip3?\s+install\s+(?:-\S+\s+)*((?:git\+)?https?://\S+)", 1, "unmanaged_package", "high"),
-    Rule("npm-global", r"\bnpm\s+(?:install|i)\s+(?:-g|--global)\s+([@A-Za-z0-9/._-]+)", 1, "unmanaged_package", "medium"),
-    Rule("npx-run", r"\bnpx\s+(?:-y\s+|--yes\s+)?([@A-Za-z0-9/._-]+(?:@[\w.-]+)?)", 1, "unmanaged_package", "medium", escalate=((r"@latest\b", "high"),)),
-    Rule("go-install", r"\bgo\s+install\s+([\w./-]+@[\w.-]+)", 1, "unmanaged_package", "medium"),
-    Rule("cargo-install", r"\bcargo\s+install\s+(?:-\S+\s+)*([\w-]+)", 1, "unmanaged_package", "medium"),
-    Rule("gem-install", r"\bgem\s+install\s+([\w-]+)", 1, "unmanaged_package", "medium"),
-    Rule("system-package", r"\b(?:apt-get|apt|yum|dnf|apk|brew)\s+(?:-\S+\s+)*(?:install|add)\s+(?:-\S+\s+)*([\w.+-]+)", 1, "unmanaged_package", "low"),
-    Rule("image-from", r"(?i)^\s*FROM\s+(\S+:\S+|\S+)", 1, "container_image", "medium", ("dockerfile",), escalate=((r":latest\b", "high"),)),
-    Rule("image-run", r"\bdocker\s+(?:run|pull)\s+(?:-\S+\s+)*([\w./-]+(?::[\w.-]+)?)", 1, "container_image", "medium"),
-    Rule("workflow-action", r"\buses:\s*([\w.-]+/[\w.-]+@\S+)", 1, "cicd_tool", "medium", ("ci", "github_action"), escalate=((r"@(?:main|master)\b", "high"),)),
+    Rule("assign-secret", r"(?i)\b(token|secret|password|api_key)\s*=\s*[\"']([^\"']+)[\"']", 2, "secret", "critical", hints=("=",)),
+    Rule("licence-named", r"licensed under (?:the )?([^.\n]+)", 1, "licence", "low", hints=("licensed under",)),
+    Rule("pipe-to-shell", r"(?:curl|wget)\s+[^|\n]*\|\s*(?:sudo\s+)?((?:ba|z)?sh)\b", 1, "script_installation", "high", escalate=((r"\bsudo\b", "critical"), (r"http://", "critical")), hints=("curl", "wget")),
+    Rule("process-substitution", r"(?:ba|z)?sh\s+<\(\s*(?:curl|wget)\s+(?:-\S+\s+)*([^\s)]+)", 1, "script_installation", "critical", hints=("curl", "wget")),
+    Rule("powershell-web", r"(?i)\b(?:iwr|irm|invoke-webrequest)\s+(?:-\S+\s+)*([^\s|]+)[^\n]*\|\s*(?:iex|invoke-expression)\b", 1, "script_installation", "critical", hints=("|",)),
+    Rule("download-binary", r"\b(?:curl|wget)\s+(?:-\S+\s+)*(https?://\S+\.(?:tar\.gz|tgz|zip|deb|rpm|exe|dmg|pkg|jar|whl))\b", 1, "binary_download", "high", multiple=True, escalate=((r"http://", "critical"),), hints=("curl", "wget")),
+    Rule("pip-install", r"\bpip3?\s+install\s+(?:-\S+\s+)*([A-Za-z0-9._-]+)", 1, "unmanaged_package", "medium", hints=("pip",)),
+    Rule("pip-from-url", r"\bpip3?\s+install\s+(?:-\S+\s+)*((?:git\+)?https?://\S+)", 1, "unmanaged_package", "high", hints=("pip",)),
+    Rule("npm-global", r"\bnpm\s+(?:install|i)\s+(?:-g|--global)\s+([@A-Za-z0-9/._-]+)", 1, "unmanaged_package", "medium", hints=("npm",)),
+    Rule("npx-run", r"\bnpx\s+(?:-y\s+|--yes\s+)?([@A-Za-z0-9/._-]+(?:@[\w.-]+)?)", 1, "unmanaged_package", "medium", escalate=((r"@latest\b", "high"),), hints=("npx",)),
+    Rule("go-install", r"\bgo\s+install\s+([\w./-]+@[\w.-]+)", 1, "unmanaged_package", "medium", hints=("go",)),
+    Rule("cargo-install", r"\bcargo\s+install\s+(?:-\S+\s+)*([\w-]+)", 1, "unmanaged_package", "medium", hints=("cargo",)),
+    Rule("gem-install", r"\bgem\s+install\s+([\w-]+)", 1, "unmanaged_package", "medium", hints=("gem",)),
+    Rule("system-package", r"\b(?:apt-get|apt|yum|dnf|apk|brew)\s+(?:-\S+\s+)*(?:install|add)\s+(?:-\S+\s+)*([\w.+-]+)", 1, "unmanaged_package", "low", hints=("install", "add")),
+    Rule("image-from", r"(?i)^\s*FROM\s+(\S+:\S+|\S+)", 1, "container_image", "medium", ("dockerfile",), escalate=((r":latest\b", "high"),), hints=("O", "o")),
+    Rule("image-run", r"\bdocker\s+(?:run|pull)\s+(?:-\S+\s+)*([\w./-]+(?::[\w.-]+)?)", 1, "container_image", "medium", hints=("docker",)),
+    Rule("workflow-action", r"\buses:\s*([\w.-]+/[\w.-]+@\S+)", 1, "cicd_tool", "medium", ("ci", "github_action"), escalate=((r"@(?:main|master)\b", "high"),), hints=("uses:",)),
     Rule("submodule", r"(?m)\[submodule\s+\"([^\"]+)\"\][^\[]*?url\s*=\s*(\S+)", 2, "git_submodule", "medium", ("gitmodules",), multiline=True),
     Rule("named-remote", r"(?s)Copyright[^\n]*\n[^\n]*All rights reserved", 0, "licence", "low", multiline=True),
-    Rule("script-cdn", r"(?i)<script[^>]+src=[\"'](https?://[^\"']+)", 1, "cdn", "medium", multiple=True),
-    Rule("link-host", r"https?://([A-Za-z0-9.-]+)", 1, "remote_reference", "low", multiple=True),
-    Rule("mail-host", r"[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", 1, "remote_reference", "low", multiple=True),
+    Rule("script-cdn", r"(?i)<script[^>]+src=[\"'](https?://[^\"']+)", 1, "cdn", "medium", multiple=True, hints=("<",)),
+    Rule("link-host", r"https?://([A-Za-z0-9.-]+)", 1, "remote_reference", "low", multiple=True, hints=("://",)),
+    Rule("mail-host", r"[A-Za-z0-9._%+-]+@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)", 1, "remote_reference", "low", multiple=True, hints=("@",)),
 ]
 
 # File types whose # lines are comments, whose backslash lines are joined, and whose printed heredocs are blanked.
@@ -152,14 +153,13 @@ def _hit(k: int, r: Rule, whole: Column, dependency: Column) -> Column:
     return F.struct(F.lit(k).alias("rule_order"), F.lit(r.id).alias("rule"), F.lit(r.category).alias("category"), severity.alias("severity"), F.substring(whole, 1, 500).alias("matched"), F.substring(F.trim(dependency), 1, 200).alias("dependency"))
 
 
-def _together(rules: list[Rule]) -> str:
-    """One pattern that fits wherever a line rule does; inline flags stay with their rule, line anchors hold at every line.
-
-    Rules that refer back to a group by number cannot be put together; with any of them, every content fits.
-    """
-    if any(re.search(r"\\[1-9]", r.pattern) for r in rules):
-        return ""
-    return "(?m)" + "|".join(f"(?:{r.pattern})" for r in rules)
+def _hinted(text: Column, rules: list[Rule], file_type: Column) -> Column:
+    """Whether a text of a type may hold a match of these rules by their hints; a rule without hints leaves it open."""
+    found = F.lit(False)
+    for r in rules:
+        for h in r.hints or ("",):
+            found = found | (applies(r, file_type) & F.contains(text, F.lit(h)))
+    return found
 
 
 def scan(files: DataFrame, rules: list[Rule] | None = None, helpful: tuple[str, ...] = HELPFUL) -> DataFrame:
@@ -171,13 +171,13 @@ def scan(files: DataFrame, rules: list[Rule] | None = None, helpful: tuple[str,
     """
     rules = [(k, r) for k, r in enumerate(RULES if rules is None else rules) if not r.multiline]
     kind, line = F.col("file_type"), F.col("line")
-    some = files.select("path", "file_type", joined_lines(F.col("content"), kind).alias("content")).where(F.col("content").rlike(_together([r for _, r in rules])))
-    lines = some.select("path", "file_type", F.posexplode(F.split("content", "\n", -1)).alias("at", "line")).where(~is_comment(line, kind))
+    some = files.select("path", "file_type", joined_lines(F.col("content"), kind).alias("content")).where(F.col("content").isNotNull() & _hinted(F.col("content"), [r for _, r in rules], kind))
+    lines = some.select("path", "file_type", F.posexplode(F.split("content", "\n", -1)).alias("at", "line")).where(_hinted(line, [r for _, r in rules], kind) & ~is_comment(line, kind))
     made, hits = lambda k, r: lambda whole, part: _hit(k, r, whole, part), []
     for k, r in rules:
         texts = lambda g, r=r: F.regexp_extract_all("line", F.lit(r.pattern), F.lit(g)) if r.multiple else F.array(F.regexp_extract("line", r.pattern, g))
         found = F.transform(F.zip_with(texts(0), texts(r.group), made(k, r)), lambda x, i: x.withField("nth", i))
-        fits = applies(r, kind) & line.rlike(r.pattern)
+        fits = applies(r, kind) & _hinted(line, [r], kind) & line.rlike(r.pattern)
         if r.category in helpful:
             fits &= ~in_help(F.split_part(line, F.regexp_extract("line", r.pattern, 0), F.lit(1)))
         hits.append(F.when(fits, found))

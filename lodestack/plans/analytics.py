@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.functions.scalars import contains_any, ecosystems_match, severity_order, severity_rank
+from lodestack.functions.scalars import contains_any, severity_order, severity_rank
+from lodestack.operators.boms import advisory_hits
 from lodestack.operators.relational import counted_apart, counts_by, keep_first, merge_last, page, with_count
 from lodestack.plans.registry import query
 
@@ -254,8 +255,8 @@ def assets_page(inv, asset_type: str = "MACHINERY", status: str = "active", scan
     return page(rows.join(named, "connector_id", "left").orderBy(F.desc("score"), "id").select("id", "display_name", "connector"))
 
 
-@query("q_components_page", "SELECT c.id, c.name, c.version, count(DISTINCT u.asset_id) AS asset_count FROM v_components c LEFT JOIN v_usages u ON u.component_id = c.id WHERE c.ecosystem ILIKE '%brass%' AND c.name ILIKE '%bolt%' GROUP BY ALL ORDER BY asset_count DESC, c.name, c.id LIMIT 50")
-def components_page(inv, ecosystem: str = "brass", search: str = "bolt") -> DataFrame:
+@query("q_components_page", "SELECT c.id, c.name, c.version, count(DISTINCT u.asset_id) AS asset_count FROM v_components c LEFT JOIN v_usages u ON u.component_id = c.id WHERE c.ecosystem ILIKE '%e%' AND c.name ILIKE '%bolt%' GROUP BY ALL ORDER BY asset_count DESC, c.name, c.id LIMIT 50")
+def components_page(inv, ecosystem: str = "e", search: str = "bolt") -> DataFrame:
     """The first page of the components that a search and an ecosystem leave, the most used first."""
     rows = inv.components.where(contains_any(ecosystem, F.col("ecosystem")) & contains_any(search, F.col("name")))
     used = inv.usages.join(rows.select(F.col("id").alias("component_id")), "component_id", "left_semi")
@@ -313,9 +314,7 @@ def resolved_components(inv):
 
 @query("jn_spec_component", "SELECT s.advisory_id, c.id AS component_id, c.version FROM v_specs s JOIN v_components c ON c.name = s.package AND (s.ecosystem = '' OR c.ecosystem = '' OR s.ecosystem = c.ecosystem) AND (s.all_versions OR list_contains(s.versions, c.version))")
 def malicious_components(inv):
-    specs = inv.specs.withColumnRenamed("ecosystem", "spec_ecosystem")
-    hit = ecosystems_match(F.col("spec_ecosystem"), F.col("ecosystem")) & (F.col("all_versions") | F.array_contains("versions", F.col("version")))
-    return specs.join(inv.components, (F.col("package") == F.col("name")) & hit).select("advisory_id", F.col("id").alias("component_id"), "version")
+    return advisory_hits(inv.specs, inv.components).select("advisory_id", "component_id", "version")
 
 
 HITS_SQL = "hits AS (SELECT s.advisory_id, s.package, c.id AS component_id, c.version, c.ecosystem FROM v_specs s JOIN v_components c ON c.name = s.package AND (s.ecosystem = '' OR s.ecosystem = c.ecosystem) AND (s.all_versions OR list_contains(s.versions, c.version)))"
@@ -324,7 +323,7 @@ HITS_SQL = "hits AS (SELECT s.advisory_id, s.package, c.id AS component_id, c.ve
 @query("agg_alert_group", f"WITH {HITS_SQL} SELECT h.advisory_id, h.package, h.version, h.ecosystem, count(DISTINCT h.component_id) AS components, count(DISTINCT u.asset_id) AS asset_count FROM hits h LEFT JOIN v_usages u ON u.component_id = h.component_id GROUP BY ALL")
 def alert_groups(inv):
     """Alerts by advisory, package, version and ecosystem; one without affected assets is an alert too."""
-    hits = malicious_components(inv).join(inv.components.select(F.col("id").alias("component_id"), F.col("name").alias("package"), "ecosystem"), "component_id")
+    hits = advisory_hits(inv.specs, inv.components)
     assets = inv.usages.select("component_id", "asset_id").distinct()
     return counted_apart(hits, assets, ["advisory_id", "package", "version", "ecosystem"], "component_id", {"components": "component_id"})
 

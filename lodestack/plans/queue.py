@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.functions.scalars import ecosystems_match
+from lodestack.operators.boms import advisory_hits
 from lodestack.operators.relational import merge_last
 from lodestack.operators.runs import changed_roots, due, run_table, runner_presence
 from lodestack.plans.registry import query
@@ -75,9 +75,7 @@ def feed_hits(inv):
     """Advisories changed after the cursor, matched with components: names meet in a join, then ecosystems and versions."""
     since = inv.heartbeats.where("value > 400").agg(F.max("seen_at").alias("since"))  # one row
     new = inv.heartbeats.join(F.broadcast(since)).where("since is null or seen_at > since").groupBy((F.col("id") % 200 + 1).alias("advisory_id")).agg(F.max("seen_at").alias("modified"))
-    specs = inv.specs.join(new, "advisory_id").withColumnRenamed("ecosystem", "eco")
-    rows = specs.join(inv.components.select(F.col("id").alias("component_id"), F.col("name").alias("package"), "version", "ecosystem"), "package")
-    return rows.where(ecosystems_match(F.col("eco"), F.col("ecosystem")) & (F.col("all_versions") | F.expr("array_contains(versions, version)"))).select("component_id", "advisory_id", "modified")
+    return advisory_hits(inv.specs.join(new, "advisory_id"), inv.components).select("component_id", "advisory_id", "modified")
 
 
 @query("ups_scan_job", "SELECT runner_id * 10 + id % 10 AS job, arg_max(value, id) AS value, count(*) AS n, min(seen_at) AS first_seen FROM v_heartbeats GROUP BY job")

@@ -74,8 +74,10 @@ def not_ignored(inv, patterns: tuple[str, ...] = ("^cold", "ring$")):
 
 @query("flt_ecosystems_match", "SELECT s.advisory_id, count(*) AS n FROM v_specs s JOIN v_components c ON c.name = s.package AND (s.ecosystem = '' OR s.ecosystem = c.ecosystem) GROUP BY s.advisory_id")
 def ecosystem_matches(inv):
-    both = inv.specs.join(inv.components.select("name", F.col("ecosystem").alias("eco")), (F.col("name") == F.col("package")) & ecosystems_match(F.col("ecosystem"), F.col("eco")))
-    return both.groupBy("advisory_id").agg(F.count(F.lit(1)).alias("n"))
+    """Advisories by the components of their name and ecosystem: components are counted by both first, so pairs are few."""
+    known = inv.components.groupBy(F.col("name").alias("package"), F.col("ecosystem").alias("eco")).agg(F.count(F.lit(1)).alias("k"))
+    both = inv.specs.select("advisory_id", "package", "ecosystem").join(known, "package").where(ecosystems_match(F.col("ecosystem"), F.col("eco")))
+    return both.groupBy("advisory_id").agg(F.sum("k").alias("n"))
 
 
 # Joins
