@@ -12,27 +12,27 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep, without their failed lines."""
+    """Documents that the rules keep, without their failed lines. Null and empty texts are rejected; repeated rows and null ids stay."""
     return quality.clean_documents(docs.select(*COLUMNS))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that one of smaller id has."""
+    """All documents, without lines that one of smaller id has. Null texts stay null; rows of one id are one document."""
     return line_dedup.dedup_documents(docs.select(*COLUMNS))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: of rows of equal id and text one, and of a group the smallest id; texts without words stay."""
     return ngram_jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind."""
+    """All documents, personal data replaced by its kind. Null texts stay null; repeated rows stay."""
     return pii.redact_documents(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences."""
+    """The pieces of all documents with their sequences. A null or empty text is its end id alone; repeated rows are packed too."""
     return packing.pack_best_fit(docs, vocabulary("byte_bpe_50k.json"))
 
 
@@ -43,7 +43,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written in the shared folder and read again."""
+    """All stages over documents; each result is written in the shared folder and read again. No documents give no rows; columns other than COLUMNS are left out."""
     from lodestack.llm.common import written
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
