@@ -37,17 +37,17 @@ def with_count(left: DataFrame, key: str, counts: DataFrame, counts_key: str, na
     return left.join(counts.withColumnRenamed(counts_key, "_key"), F.col(key) == F.col("_key"), "left").drop("_key").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-def counted_apart(members: DataFrame, used: DataFrame, keys: list[str], member: str, counts: dict[str, str]) -> DataFrame:
+def counted_apart(members: DataFrame, used: DataFrame, keys: list[str], member: str, counts: dict[str, str], more: dict[str, Column] | None = None) -> DataFrame:
     """Groups of members with distinct counts of their columns (new name -> column), and asset_count: the distinct assets that use any.
 
-    Members and their columns are counted before assets are joined, so no distinct count is taken over multiplied rows.
+    more: other aggregates of the members by name. Members and their columns are counted before assets are joined, so no distinct count is taken over multiplied rows.
     """
-    own = members.groupBy(*keys).agg(*(F.countDistinct(c).alias(n) for n, c in counts.items()))
+    own = members.groupBy(*keys).agg(*(F.countDistinct(c).alias(n) for n, c in counts.items()), *(c.alias(n) for n, c in (more or {}).items()))
     # null keys are a group too
     safe = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_{k}") for k in keys]
     pairs = members.select(F.col(member).alias("component_id"), *safe).join(used, "component_id").select(*(f"_{k}" for k in keys), "asset_id").distinct()
     assets = pairs.groupBy(*(f"_{k}" for k in keys)).agg(F.count(F.lit(1)).alias("asset_count"))
-    return own.select("*", *safe).join(assets, [f"_{k}" for k in keys], "left").select(*keys, *counts, F.coalesce("asset_count", F.lit(0)).alias("asset_count"))
+    return own.select("*", *safe).join(assets, [f"_{k}" for k in keys], "left").select(*keys, *counts, *(more or {}), F.coalesce("asset_count", F.lit(0)).alias("asset_count"))
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:

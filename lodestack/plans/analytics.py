@@ -173,8 +173,7 @@ def sbom_packages(inv, search: str = "", ecosystem: str = "") -> DataFrame:
     packages = packages.where(F.col("ecosystem") == ecosystem) if ecosystem else packages
     keys = ["name", "ecosystem", "package_manager"]
     used = inv.usages.select("component_id", "asset_id").distinct()
-    rows = counted_apart(packages, used, keys, "id", {"component_count": "id", "version_count": "version"})
-    return rows.join(packages.groupBy(*keys).agg(F.min("id").alias("sample")), keys)
+    return counted_apart(packages, used, keys, "id", {"component_count": "id", "version_count": "version"}, {"sample": F.min("id")})
 
 
 @query("q_sbom_page", """SELECT c.name, c.ecosystem, count(DISTINCT c.id) AS component_count, count(DISTINCT u.asset_id) AS asset_count FROM v_components c LEFT JOIN v_usages u ON u.component_id = c.id
