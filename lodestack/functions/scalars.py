@@ -61,10 +61,14 @@ def stable_id(namespace: str, *parts: Column, prefix: str = "lodestack") -> Colu
 
 
 def glob_regex(pattern: str) -> str:
-    """A whole-match regular expression of a shell glob whose * crosses slashes."""
+    """A whole-match regular expression of a shell glob whose * crosses slashes; [abc], [a-z] and [!abc] are classes."""
     out = ""
-    for c in pattern:
-        out += ".*" if c == "*" else "." if c == "?" else re.escape(c)
+    for token in re.findall(r"\[!?\]?[^\]]*\]|.", pattern, re.S):
+        if len(token) > 2:
+            not_, inner = ("^", token[2:-1]) if token[1] == "!" else ("", token[1:-1])
+            out += f"[{not_}{re.sub(r'([\\^\[\]&])', r'\\\1', inner)}]"
+        else:
+            out += ".*" if token == "*" else "." if token == "?" else re.escape(token)
     return f"^(?s:{out})$"
 
 
@@ -109,6 +113,11 @@ def registry_type(host: Column) -> Column:
     )
 
 
+def percent_encoded(value: Column) -> Column:
+    """All but letters, digits and -._~ as percent codes of UTF-8."""
+    return F.replace(F.replace(F.replace(F.url_encode(value), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def safe_url(url: Column) -> Column:
     """The url if it is http or https, else empty."""
     return F.when(url.rlike(r"(?i)^https?://"), url).otherwise(F.lit(""))
