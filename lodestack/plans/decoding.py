@@ -115,7 +115,8 @@ def parsed_times(inv):
     return inv.table("events").select(F.col("event_id").alias("id"), F.try_to_timestamp(short).cast("timestamp_ntz").alias("seen_at"))
 
 
-@query("nrm_stable_id")
+@query("nrm_stable_id", """SELECT id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || ['8', '9', 'a', 'b'][CAST('0x' || substr(h, 17, 1) AS INTEGER) % 4 + 1] || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uid
+FROM (SELECT id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('lodestack:component:' || coalesce(name, '') || ':' || coalesce(version, ''))) AS h FROM v_components)""")
 def stable_ids(inv):
     """Name-based identities; their equality with uuid5 is tested."""
     return inv.components.select("id", stable_id("component", F.col("name"), F.col("version")).alias("uid"))

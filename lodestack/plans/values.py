@@ -183,7 +183,7 @@ def most_used(inv):
     """The first 100 of the list, numbered after the limit, so the window sees those alone."""
     rows = with_count(inv.components, "id", counts_by(inv.usages, "component_id", "n", distinct="asset_id"), "component_id", "n")
     top = rows.orderBy(F.desc("n"), "name", "id").limit(100)
-    return top.selectExpr("id", "row_number() over (order by n desc, name, id) as place")
+    return top.selectExpr("id", "cast(row_number() over (order by n desc, name, id) as bigint) as place")
 
 
 @query("agg_summary_category", "SELECT finding_type AS category, count(*) AS n FROM v_findings GROUP BY finding_type")
