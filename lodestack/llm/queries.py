@@ -1,11 +1,11 @@
-"""The ten operators as queries over whole tables, and their SQL where SQL can express them."""
+"""The thirteen operators as queries over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, line_dedup, ngram_jaccard, packing, pii, quality, sharding, substring_dedup, tiff, toxicity
+from lodestack.llm import ball_kmeans, bpe, chat, line_dedup, ngram_jaccard, packing, pii, quality, runs, sharding, substring_dedup, tiff, toxicity
 from lodestack.llm.common import documents
 
 
@@ -63,8 +63,42 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in about a tenth of the documents, chosen by the id, the words from some place on become periodic."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(F.col("h") / 10)
+    chosen = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", h.alias("h")).withColumn("w", F.when(F.col("h") % 10 == 0, chosen)).withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, g % F.col("n")).cast("int"))
+    some = some.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + g % 8))).cast("int"))
+    late = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.element_at("w", (F.col("a") + i % F.col("p") + 1).cast("int")))
+    periodic = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), late), " ")
+    return some.select("doc_id", F.when(F.col("a").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = runs.periodic_runs(planted(documents(spark, sf_dir)))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    done = done.withColumn("best", best).withColumn("length", -F.col("best.length"))
+    return done.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "length", "best.period", F.expr("1000 * length div best.period").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = ball_kmeans.ball_kmeans(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=40, rounds=5, dims=64, scale=256, salt="2")
+    return done.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
+
+
+def op13_chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    marks = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    done = chat.read_back(given.unionByName(marks))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return done.select("conv_id", "n_turns", digest("turns"), "loss_chars", digest("loss"), "formatted_chars")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_kd_sharding, op2_toxicity, op3_best_fit_packing, op4_tiff_media, op5_ngram_jaccard, op6_bpe, op7_pii, op8_quality_lines, op9_line_dedup, op10_substring_dedup)}
+    every = (op1_kd_sharding, op2_toxicity, op3_best_fit_packing, op4_tiff_media, op5_ngram_jaccard, op6_bpe, op7_pii, op8_quality_lines, op9_line_dedup, op10_substring_dedup, op11_periodic_runs, op12_ball_kmeans, op13_chat_prefixes)
+    return {f.__name__: f for f in every}
 
 
 #: Splits at line feeds; strips ASCII white space; lowers A-Z only.
@@ -88,8 +122,42 @@ covered AS (SELECT doc_id, w, pos, bool_or(again) OVER (PARTITION BY doc_id ORDE
 """
 
 
+def _kmeans_sql(k: int = 40, rounds: int = 5) -> str:
+    """All rounds written out, in exact integers."""
+    parts = ["""kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "parts AS (SELECT r, unnest(v) AS x, unnest(range(64)) AS d FROM kept)",
+        f"first AS (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM kept ORDER BY sha256('2:' || vec_id) LIMIT {k})",
+        "c0 AS (SELECT c, unnest(v) AS x, unnest(range(64)) AS d FROM first)"]
+    for t in range(rounds + 1):
+        parts.append(f"far{t} AS (SELECT p.r, c.c, sum((p.x - c.x) * (p.x - c.x)) AS far FROM parts p JOIN c{t} c USING (d) GROUP BY ALL)")
+        parts.append(f"in{t} AS (SELECT r, c, far FROM far{t} QUALIFY row_number() OVER (PARTITION BY r ORDER BY far, c) = 1)")
+        if t < rounds:
+            parts.append(f"m{t} AS (SELECT i.c, p.d, CAST(floor((sum(p.x) - ((sum(p.x) % count(*)) + count(*)) % count(*)) / count(*)) AS BIGINT) AS x FROM in{t} i JOIN parts p USING (r) GROUP BY ALL)")
+            parts.append(f"c{t + 1} AS (SELECT c.c, coalesce(m.x, c.x) AS x, c.d FROM c{t} c LEFT JOIN m{t} m ON m.c = c.c AND m.d = c.d)")
+    parts.append(f"marks AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS s FROM c{rounds} GROUP BY c)")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT k.vec_id, CAST(i.c AS INTEGER) AS cluster, CAST(i.far AS BIGINT) AS distance, CAST(sum(i.far) OVER (PARTITION BY i.c) AS BIGINT) AS cluster_inertia, CAST(sum(i.far) OVER () AS BIGINT) AS inertia, m.s AS centroid_sha256
+FROM in{rounds} i JOIN kept k USING (r) JOIN marks m USING (c)"""
+
+
+#: Lengths from the template: an example of an assistant turn holds all turns up to it, and so does one behind the last reply.
+_CHATS = r"""
+turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+written AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?(?:s>|(?:INST|SYS|ROLE|TURN)\]))', '\1\2\\\3', 'g')) + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 5 ELSE 30 + length(role) END AS n FROM turns),
+upto AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) + 3 AS chars, role = 'assistant' OR turn = max(turn) OVER (PARTITION BY conv_id) AS example FROM written)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_ball_kmeans": _kmeans_sql(),
+        "op13_chat_prefixes": f"""WITH {_CHATS}
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(chars) FILTER (example) AS BIGINT) AS formatted_chars
+FROM upto GROUP BY conv_id""",
         "op10_substring_dedup": f"""WITH {_WINDOWS}
 SELECT d.doc_id, count(c.w) AS n_words, count(c.w) FILTER (c.gone) AS n_removed, sha256(coalesce(string_agg(c.w, ' ' ORDER BY c.pos) FILTER (NOT c.gone), '')) AS kept_sha256
 FROM documents d LEFT JOIN covered c ON c.doc_id = d.doc_id GROUP BY d.doc_id""",
