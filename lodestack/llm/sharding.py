@@ -2,10 +2,11 @@
 
 A node that is to hold k shards is split in the share of floor(k/2) to k at the weighted median (by bytes) of its widest
 dimension. Widths are measured in the units of the whole table. Equal texts are one item, which no cut parts; only a group
-of more bytes than a fixed part of a shard is dealt into several items by hashes of the id, for it could not be levelled.
+of more bytes than a whole shard is to hold is dealt into several items by hashes of the id.
 Every dimension is extended by hashes of the text and of the id, so ties have an order. A median is found by histograms
-that are refined around the cut, so no item moves before its shard is known, and the driver holds a few numbers per
-node. In the end whole items are handed from shards above the mean to those below.
+that are refined around the cut until what is left is small against the node, so no item moves before its shard is known,
+and the driver holds a few numbers per node. In the end whole items are handed from shards above the mean to those below,
+in rounds: each leaves at most a part of the surplus.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from lodestack.llm.common import NO_ID, attach, cut, public_id
 #: Bits of a dimension's value and of the hash that orders ties.
 VALUE_BITS, TIE_BITS = 22, 40
 BINS = 4096
-#: A group of equal texts is parted if it has more than this part of a shard's bytes.
-GROUP_PART = 16
+#: A group of equal texts that is larger than a shard is dealt into so many items for each shard it fills.
+ITEMS_OF_SHARD = 16
+#: A cut is not refined within a bin of less than this part of the node's bytes; levelling does the rest.
+FINE = 512
+#: Shards are level if their sums are apart by less than this part of the mean, and how often items are handed over.
+LEVEL, HANDED = 2000, 6
 #: Rows of one shard that are numbered together.
 NUMBERED_TOGETHER = 250_000
 
@@ -39,12 +44,11 @@ def _measured(docs: DataFrame, dims: dict) -> DataFrame:
 
 
 def _items(rows: DataFrame, shards: int, dims: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows with the item (t1, t2, part) of each, and the items: rows of equal texts, large groups in several parts."""
-    size, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-    size, n = (max(1, x // (shards * GROUP_PART)) for x in (size, n))
-    # at most twice shards * GROUP_PART groups are so large
-    large = rows.groupBy("t1", "t2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("k")).where(f"k > 1 and (bytes > {size} or k > {n} + 1)")
-    large = cut(large.select("t1", "t2", F.ceil(F.greatest(F.col("bytes") / size, F.col("k") / n)).alias("parts")))
+    """The rows with the item (t1, t2, part) of each, and the items: rows of equal texts; only groups beyond a shard have several parts."""
+    target = max(1, (rows.agg(F.sum("size")).first()[0] or 0) // shards)
+    # fewer groups than shards are so large
+    large = rows.groupBy("t1", "t2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("k")).where(f"k > 1 and bytes > {target}")
+    large = cut(large.select("t1", "t2", F.ceil(F.col("bytes") * ITEMS_OF_SHARD / target).alias("parts")))
     rows = rows.join(F.broadcast(large), ["t1", "t2"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("_id", F.lit(2)), "parts"), F.lit(0))).drop("parts")
     items = rows.groupBy("t1", "t2", "part").agg(F.sum("size").alias("size"), F.min("_id").alias("_id"), F.min("tie").alias("tie"), *(F.min(d).alias(d) for d in dims))
     return rows.select("_id", "size", "crc", "tie", "t1", "t2", "part"), items
@@ -53,8 +57,8 @@ def _items(rows: DataFrame, shards: int, dims: list[str]) -> tuple[DataFrame, Da
 def kd_shards(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", dims: dict | None = None) -> DataFrame:
     """One row per document: id, size, text_crc32, shard, slot.
 
-    size is the UTF-8 length of the text (null: none) plus 8; shards hold near equal sums of it. Equal texts share a shard,
-    unless they have more than 1/GROUP_PART of a shard's bytes. slot numbers the rows of
+    size is the UTF-8 length of the text (null: none) plus 8; shards hold near equal sums of it. Equal texts share a shard;
+    only a group of more bytes than the mean of the shards is parted. slot numbers the rows of
     a shard from 0 without gaps. dims: named numeric expressions over the columns of df; by default length, id, source
     and language. Nulls in a dimension sort first. Repeated rows are rows of their own. A shard may stay empty if there
     are fewer rows than shards. Columns of df matter only as far as dims name them.
@@ -96,12 +100,12 @@ def _split(rows: DataFrame, nodes: list[list[int]], dims: list[str]) -> tuple[Da
     """
     inner = rows.where("node >= 0")
     boxes = inner.groupBy("node").agg(F.sum("size").alias("bytes"), *(f(d).alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).collect()
-    dim, low, high, below, goal = ([0] * len(nodes) for _ in range(5))
+    dim, low, high, below, goal, fine = ([0] * len(nodes) for _ in range(6))
     for b in boxes:
         k = b["node"]
         dim[k] = max(range(len(dims)), key=lambda d: b[f"hi{dims[d]}"] - b[f"lo{dims[d]}"])
         low[k], high[k] = b[f"lo{dims[dim[k]]}"], b[f"hi{dims[dim[k]]}"]
-        goal[k] = b["bytes"] * (len(nodes[k]) // 2) / len(nodes[k])
+        goal[k], fine[k] = b["bytes"] * (len(nodes[k]) // 2) / len(nodes[k]), b["bytes"] // FINE
     node = F.col("node")
     key = F.element_at(F.array(*dims), _pick([d + 1 for d in dim], node))
     while any(a < b for a, b in zip(low, high, strict=True)):
@@ -115,7 +119,7 @@ def _split(rows: DataFrame, nodes: list[list[int]], dims: list[str]) -> tuple[Da
         for r in hit.groupBy("node").agg(F.min_by(F.struct("bin", "bytes", "n", "upto"), "bin").alias("x")).collect():
             k, (b, size, n, total) = r["node"], r["x"]
             first, last = low[k] + b * step[k], min(high[k], low[k] + (b + 1) * step[k] - 1)
-            if n == 1 or step[k] == 1:  # one row: the cut is on its nearer side
+            if n == 1 or step[k] == 1 or size <= fine[k]:  # the cut is on its nearer side
                 low[k] = high[k] = first - 1 if total - wanted[k] > size / 2 else last
             else:
                 low[k], high[k], below[k] = first, last, below[k] + total - size
@@ -127,30 +131,42 @@ def _split(rows: DataFrame, nodes: list[list[int]], dims: list[str]) -> tuple[Da
 
 
 def _levelled(placed: DataFrame, shards: int) -> DataFrame:
-    """Hand small items of shards above the mean to shards below it, so that sums differ by less than such an item."""
-    sums = {r["shard"]: r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
-    mean = sum(sums.values()) / shards
-    over = {s: b - mean for s, b in sums.items() if b > mean}
-    if not over:
-        return placed
-    extra = _pick([max(0.0, sums.get(s, 0) - mean) for s in range(shards)], F.col("shard"))
-    # a band of sizes that is sure to hold the surplus: the largest rows that are small against it
-    rank = placed.withColumn("extra", extra).where("extra > 0 and size * 8 <= extra + 64")
+    """Hand items of shards above the mean to shards below it, while that brings the sums nearer to each other."""
+    best, least = placed, None
+    for _ in range(HANDED):
+        sums = {r["shard"]: r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
+        sums = [sums.get(s, 0) for s in range(shards)]
+        apart = max(sums) - min(sums)
+        if least is None or apart < least:
+            best, least = placed, apart
+        moves = _moves(placed, sums) if apart > sum(sums) / shards / LEVEL else None
+        if moves is None:
+            break
+        placed = cut(attach(placed, moves, ["_id", "tie"]).withColumn("shard", F.coalesce("to", "shard")).drop("to"))
+    return best
+
+
+def _moves(placed: DataFrame, sums: list[int]) -> DataFrame | None:
+    """(_id, tie, to): the items that leave shards above the mean, the largest of at most the surplus first."""
+    shards, mean = len(sums), sum(sums) / len(sums)
+    surplus = [max(0.0, b - mean) for b in sums]
+    extra = _pick(surplus, F.col("shard"))
+    # a band of sizes that is sure to hold the surplus
+    rank = placed.withColumn("extra", extra).where("size <= extra")
     rank = rank.groupBy("shard", "size").agg((F.sum("size")).alias("bytes"), F.first("extra").alias("extra"))
     taken = rank.withColumn("before", F.sum("bytes").over(Window.partitionBy("shard").orderBy(F.desc("size"))) - F.col("bytes")).where("before < extra")
     limit = {r["shard"]: r["m"] for r in taken.groupBy("shard").agg(F.min("size").alias("m")).collect()}
     if not limit:
-        return placed
-    able = F.col("size").between(_pick([limit.get(s, 1 << 62) for s in range(shards)], F.col("shard")), (extra + 64) / 8)
+        return None
+    able = F.col("size").between(_pick([limit.get(s, 1 << 62) for s in range(shards)], F.col("shard")), extra)
     giving = placed.where(able).withColumn("extra", extra)
     own = Window.partitionBy("shard").orderBy(F.desc("size"), "_id", "tie")
     giving = giving.withColumn("run", F.sum("size").over(own)).where("run <= extra").select("_id", "tie", "shard", "size", "run")
-    starts = [sum(x for t, x in over.items() if t < s) for s in range(shards)]
-    under = [(mean - sums.get(s, 0), s) for s in range(shards) if sums.get(s, 0) < mean]
+    starts = [sum(surplus[:s]) for s in range(shards)]
+    under = [(mean - b, s) for s, b in enumerate(sums) if b < mean]
     ends = [sum(x for x, _ in under[: k + 1]) for k in range(len(under))]
-    spot = _pick([float(x) for x in starts], F.col("shard")) + F.col("run") - F.col("size") / 2
     to = F.lit(under[-1][1])
     for end, (_, s) in reversed([*zip(ends, under, strict=True)][:-1]):
         to = F.when(F.col("spot") < end, F.lit(s)).otherwise(to)
-    moves = giving.withColumn("spot", spot).withColumn("to", to).groupBy("_id", "tie").agg(F.min("to").alias("to"))
-    return attach(placed, cut(moves), ["_id", "tie"]).withColumn("shard", F.coalesce("to", "shard")).drop("to")
+    spot = _pick(starts, F.col("shard")) + F.col("run") - F.col("size") / 2
+    return cut(giving.withColumn("spot", spot).withColumn("to", to).groupBy("_id", "tie").agg(F.min("to").alias("to")))
