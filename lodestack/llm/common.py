@@ -61,11 +61,6 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again."""
-    return stored(df, name)[0]
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder."""
     _shared(df.sparkSession)

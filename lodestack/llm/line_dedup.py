@@ -19,9 +19,13 @@ def _text():
     return F.coalesce("_text", F.lit(""))
 
 
-def _prints():
-    """128 bits of a text, to tell rows of one id apart."""
-    return F.xxhash64("_text").alias("t1"), F.xxhash64("_text", F.lit(1)).alias("t2")
+def prints(value) -> tuple:
+    """128 bits of a string: two hashes, of which neither is a function of the other, for the seed comes before the string."""
+    return F.xxhash64(F.lit(1), value), F.xxhash64(F.lit(2), value)
+
+
+def _named(value, *names):
+    return (p.alias(n) for p, n in zip(prints(value), names, strict=True))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -33,10 +37,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     ignored, but for those named in carry, which must not be named as those of the result.
     """
     own = [F.col(c).alias(f"_c{k}") for k, c in enumerate(carry)]
-    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).alias("_text"), *own).select("*", *_prints())
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.col(text_col).alias("_text"), *own).select("*", *_named(F.col("_text"), "t1", "t2"))
     lines = docs.select("_id", "t1", "t2", F.posexplode(F.split(_text(), "\n", -1)).alias("at", "line")).withColumn("key", line_key("line"))
     lines = lines.where(F.length("key") >= min_chars)
-    lines = cut(lines.select("_id", "t1", "t2", "at", F.xxhash64("key").alias("k1"), F.xxhash64("key", F.lit(1)).alias("k2")))
+    lines = cut(lines.select("_id", "t1", "t2", "at", *_named(F.col("key"), "k1", "k2")))
     if min_docs == 2:
         common = lines.groupBy("k1", "k2").agg(F.min("_id").alias("first"), F.max("_id").alias("last")).where("first < last")
     else:

@@ -543,8 +543,14 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The rows of df, one document of each group: the one of the smallest id.
 
     Rows of one id (or of none) with different texts are documents of their own; of rows of equal id and text one stays.
-    Null ids are larger than all others; of documents of one id in a group, the one of the smallest print stays.
+    Null ids are larger than all others; of documents of one id in a group, the one of the smallest print stays. Columns
+    may have any names.
     """
+    own = {c: f"_o{k}" for k, c in enumerate(df.columns)}
+    return _kept_rows(df.toDF(*own.values()), own[id_col], own[text_col]).toDF(*df.columns)
+
+
+def _kept_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     if df.groupBy(key.alias("_id")).count().where("count > 1").isEmpty():
         found = jaccard_components(df, id_col, text_col).select(F.coalesce(id_col, F.lit(NO_ID)).alias("_row"), F.coalesce("component_id", F.lit(NO_ID)).alias("_kept"))
