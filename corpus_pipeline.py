@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import line_dedup, ngram_jaccard, packing, pii, quality
+from lodestack.llm.common import removed, stored
 from lodestack.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -43,10 +44,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written in the shared folder and read again. No documents give no rows; columns other than COLUMNS are left out."""
-    from lodestack.llm.common import written
+    """All stages over documents; each result is written in the shared folder and read again, and removed once the next is written.
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    No documents give no rows. documents must have all COLUMNS; others are left out.
+    """
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs, path = stored(stage(spark, docs, sf_dir), name)
+        if last:
+            removed(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
