@@ -457,13 +457,6 @@ def blast_radius(inv):
     return with_count(rows, "id", counts_by(ends, "node", "edges"), "node", "edges")
 
 
-@query("set_alert_new_vs_updated", f"WITH {HITS_SQL} SELECT advisory_id, component_id, advisory_id % 100 = 0 AS known FROM hits")
-def new_or_updated(inv):
-    hits = malicious_components(inv)
-    known = inv.specs.where("advisory_id % 100 = 0").select("advisory_id", F.lit(True).alias("known"))
-    return hits.join(known, "advisory_id", "left").select("advisory_id", "component_id", F.coalesce("known", F.lit(False)).alias("known"))
-
-
 @query("del_connector", "SELECT id, CASE WHEN connector_id = 3 THEN NULL ELSE connector_id END AS connector_id FROM v_assets")
 def assets_after_delete(inv, gone: int = 3):
     """Assets after a connector is deleted: they stay, without it."""

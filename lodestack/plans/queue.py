@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestack.operators.boms import advisory_hits
 from lodestack.operators.relational import merge_last
 from lodestack.operators.runs import changed_roots, due, run_table, runner_presence
 from lodestack.plans.registry import query
@@ -68,16 +67,6 @@ def swept(inv):
     return changed_roots(files, "root", "seen_at", files.where("id % 3 = 0").groupBy("root").agg(F.max("seen_at").alias("marker")))
 
 
-@query("str_malware_runner", f"""WITH cur AS (SELECT max(seen_at) AS since FROM v_heartbeats WHERE value > 400),
-new AS (SELECT id % 200 + 1 AS advisory_id, max(seen_at) AS modified FROM v_heartbeats, cur WHERE since IS NULL OR seen_at > since GROUP BY 1)
-SELECT c.id AS component_id, n.advisory_id, n.modified FROM new n JOIN v_specs s ON s.advisory_id = n.advisory_id JOIN v_components c ON c.name = s.package AND (s.ecosystem = '' OR c.ecosystem = '' OR lower(s.ecosystem) = lower(c.ecosystem)) AND (s.all_versions OR list_contains(s.versions, c.version))""")
-def feed_hits(inv):
-    """Advisories changed after the cursor, matched with components: names meet in a join, then ecosystems and versions."""
-    since = inv.heartbeats.where("value > 400").agg(F.max("seen_at").alias("since"))  # one row
-    new = inv.heartbeats.join(F.broadcast(since)).where("since is null or seen_at > since").groupBy((F.col("id") % 200 + 1).alias("advisory_id")).agg(F.max("seen_at").alias("modified"))
-    return advisory_hits(inv.specs.join(new, "advisory_id"), inv.components).select("component_id", "advisory_id", "modified")
-
-
 @query("ups_scan_job", "SELECT runner_id * 10 + id % 10 AS job, arg_max(value, id) AS value, count(*) AS n, min(seen_at) AS first_seen FROM v_heartbeats GROUP BY job")
 def scan_jobs(inv):
     rows = inv.heartbeats.select((F.col("runner_id") * 10 + F.col("id") % 10).alias("job"), "id", "value", "seen_at")

@@ -279,26 +279,12 @@ def last_findings(inv):
     return merge_last(inv.findings, ["affected_asset_id", "finding_type"], ["last_seen_at", "id"]).select("affected_asset_id", "finding_type", "id", "status")
 
 
-@query("ups_alert", "SELECT s.advisory_id, count(u.batch) AS alert_count, max(u.last_seen_at) AS last_seen_at FROM v_specs s JOIN v_usages u ON u.component_id = s.advisory_id GROUP BY s.advisory_id")
-def alerts(inv):
-    """One row per advisory, bumped by every delivery."""
-    seen = inv.usages.groupBy(F.col("component_id").alias("advisory_id")).agg(F.count(F.lit(1)).alias("alert_count"), F.max("last_seen_at").alias("last_seen_at"))
-    return inv.specs.select("advisory_id").join(seen, "advisory_id")
-
-
 @query("win_cursor", "SELECT job_type, coalesce(max(CASE WHEN value > 100 THEN seen_at END), max(seen_at) - INTERVAL 1 DAY) AS since FROM v_heartbeats GROUP BY job_type")
 def cursors(inv):
     """The last successful run, else a look-back."""
     return inv.heartbeats.groupBy("job_type").agg(F.coalesce(F.max(F.when(F.col("value") > 100, F.col("seen_at"))), F.max("seen_at") - F.expr("interval 1 day")).alias("since"))
 
 
-@query("str_malware_delta", "SELECT a.id, a.job_type FROM v_heartbeats a JOIN (SELECT job_type, max(seen_at) FILTER (value > 100) AS since FROM v_heartbeats GROUP BY job_type) c ON c.job_type = a.job_type WHERE since IS NULL OR a.seen_at > since")
-def delta(inv):
-    """Rows after the cursor of their kind."""
-    since = inv.heartbeats.where("value > 100").groupBy("job_type").agg(F.max("seen_at").alias("since"))
-    return inv.heartbeats.join(since, "job_type", "left").where("since is null or seen_at > since").select("id", "job_type")
-
-
 RUNS_SQL = "log AS (SELECT id // 4 AS run, id, job_type FROM v_heartbeats), k AS (SELECT run, min(id) FILTER (job_type = 'signup') AS c, min(id) FILTER (job_type = 'error') AS x, max(id) FILTER (job_type = 'purchase') AS d FROM log GROUP BY run)"
 
 
