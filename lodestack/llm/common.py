@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -75,9 +77,24 @@ def attach(left: DataFrame, side: DataFrame, key: str, how: str = "left", size=0
 
 
 def arrow_map(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over batches of a few MB, so that a worker's memory is bounded however long the texts are."""
+    """mapInArrow over batches of a few MB, so that a worker's memory is bounded however long the texts are. A worker gives back what it no longer needs."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(make, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from make(batches)
+        _release()
+
+    return df.mapInArrow(run, schema)
+
+
+def _release() -> None:
+    """Return freed memory to the system: workers live on between tasks, beside each other and the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
 
 
 def texts(batch: pa.RecordBatch, name: str = "_text") -> list[bytes]:
