@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestack.operators.text_rules import redact
 from lodestack.functions.scalars import first_value, normalize_severity, registry_type
 from lodestack.operators import boms
 
@@ -212,3 +213,16 @@ def secret_fields(config: Column, pattern: str = r"(?i)(password|passwd|secret|t
         level = F.flatten(F.transform(level, children))
         found.append(F.transform(F.filter(level, lambda x: F.regexp_extract(x["path"], r"([^.]*)$", 1).rlike(pattern) & (~x["path"].isin(*allowed) if allowed else F.lit(True))), lambda x: x["path"]))
     return F.array_sort(reduce(F.concat, found))
+
+
+def discovery_payload(full_name: Column, default_branch: Column, source: str, scanner: str = "lodestack discovery") -> Column:
+    """The payload, as JSON, of a repository that was listed but neither fetched nor scanned: its asset and connector alone, credentials masked."""
+    none, text = F.array().cast("array<string>"), F.lit
+    asset = F.struct(
+        text("repository").alias("asset_type"), text("github").alias("provider"), full_name.alias("external_id"), full_name.alias("display_name"), text("discovered").alias("scan_status"),
+        F.struct(full_name.alias("full_name"), F.split_part(full_name, text("/"), text(1)).alias("org"), default_branch.alias("default_branch")).alias("details"),
+    )
+    connector = F.struct(text(source).alias("name"), text("github").alias("connector_type"))
+    meta = F.struct(text(scanner).alias("scanner_version"), F.lit(0).alias("component_count"), F.lit(0).alias("finding_count"))
+    whole = F.struct(text(source).alias("source_name"), connector.alias("connector"), F.lit(True).alias("discovery_only"), meta.alias("scan_metadata"), F.array(asset).alias("assets"), none.alias("components"), none.alias("component_usages"), none.alias("findings"))
+    return redact(F.to_json(whole))
