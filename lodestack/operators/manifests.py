@@ -31,9 +31,16 @@ AGENT_WORDS = r"(?i)\bmcpServers\b|Model Context Protocol|\bOpenCLAW\b|\ballowed
 # Folders of tests, and of what tests read.
 TEST_FOLDER = r"(?i)(^|/)(test|testing|[^/]*tests)/"
 FIXTURE_FOLDER = r"(?i)(^|/)(fixtures?|__fixtures__|resources?|snapshots?|testdata|test-data)/"
-# Options of a container's run command that take no value, and short ones that take one.
-SWITCHES = ("--detach", "--disable-content-trust", "--help", "--init", "--interactive", "--no-healthcheck", "--oom-kill-disable", "--privileged", "--publish-all", "--quiet", "--read-only", "--rm", "--sig-proxy", "--tty")
-SHORT_VALUES = "acehlmpuvw"
+# Options of a container's run command whose value is the next argument, and short ones. All others take none.
+VALUED = (
+    "--add-host", "--annotation", "--attach", "--blkio-weight", "--cap-add", "--cap-drop", "--cgroup-parent", "--cidfile", "--cpuset-cpus", "--cpuset-mems", "--device", "--device-cgroup-rule",
+    "--device-read-bps", "--device-read-iops", "--device-write-bps", "--device-write-iops", "--dns", "--dns-option", "--dns-search", "--entrypoint", "--env", "--env-file", "--expose", "--gpus", "--group-add",
+    "--health-cmd", "--health-interval", "--health-retries", "--health-start-period", "--health-timeout", "--hostname", "--ip", "--ip6", "--ipc", "--isolation", "--kernel-memory", "--label", "--label-file",
+    "--link", "--link-local-ip", "--log-driver", "--log-opt", "--mac-address", "--memory", "--memory-reservation", "--memory-swap", "--memory-swappiness", "--mount", "--name", "--network", "--network-alias",
+    "--oom-score-adj", "--pid", "--platform", "--publish", "--pull", "--restart", "--runtime", "--security-opt", "--shm-size", "--stop-signal", "--stop-timeout", "--storage-opt", "--sysctl", "--tmpfs",
+    "--ulimit", "--user", "--userns", "--volume", "--volumes-from", "--workdir",
+)
+SHORT_VALUES = "aehlmpuvw"
 
 _META = "version string, hasInstallScript boolean, scripts map<string,string>"
 _TEXTS = "map<string,string>"
@@ -154,7 +161,7 @@ def _package(command: str, args: list[str]) -> str | None:
 def _image(args: list[str]) -> str | None:
     if args[:1] != ["run"]:
         return None
-    valued = lambda a: (a.startswith("--") and len(a) > 2 and "=" not in a and a not in SWITCHES) or (len(a) == 2 and a[0] == "-" and a[1] in SHORT_VALUES)
+    valued = lambda a: a in VALUED or (len(a) == 2 and a[0] == "-" and a[1] in SHORT_VALUES)
     found = _operand(args[1:], valued)
     return None if not found or found[0] in "./$" else found.strip("\"'")
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: Column, n: int = 1) -> DataFrame:
@@ -69,3 +70,9 @@ def batches(df: DataFrame, order: list[str], size: int) -> DataFrame:
     at = F.row_number().over(Window.partitionBy("group").orderBy(*order))
     n = F.count(F.lit(1)).over(Window.partitionBy("group"))
     return df.withColumn("batch_index", F.floor((at - 1) / size).cast("long") + 1).withColumn("batch_count", F.greatest(F.lit(1).cast("long"), F.ceil(n / size).cast("long")))
+
+
+def emptied(spark: SparkSession, tables: dict[str, StructType]) -> None:
+    """Overwrite stored tables (path -> schema) with no rows, in this order: those that refer to others come first, so no row ever refers to one that is gone."""
+    for path, schema in tables.items():
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)

@@ -118,20 +118,28 @@ def is_placeholder_url(dependency: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _blanked(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    first_word = re.compile(r"\s*([A-Za-z_]\w*)")
     begins = re.compile(r"^\s*(?:cat|echo|printf)(?:\s+-\w+)*\s*<<-?\s*['\"]?([A-Za-z_]\w*)['\"]?(.*)$")
 
     def blank(text: str | None) -> str | None:
         if text is None:
             return None
         lines, k = text.split("\n"), 0
+        # where each first word stands, the last place first: an end mark is looked up, not searched
+        ends: dict[str, list[int]] = {}
+        for j in range(len(lines) - 1, -1, -1):
+            if word := first_word.match(lines[j]):
+                ends.setdefault(word[1], []).append(j)
         while k < len(lines):
             m = begins.match(lines[k])
             k += 1
             if m and not set(">|") & set(m[2]):
-                end = next((j for j in range(k, len(lines)) if re.match(rf"\s*{m[1]}\b", lines[j])), None)
-                if end is not None:
-                    lines[k:end] = [""] * (end - k)
-                    k = end + 1
+                at = ends.get(m[1], [])
+                while at and at[-1] < k:
+                    at.pop()
+                if at:
+                    lines[k : at[-1]] = [""] * (at[-1] - k)
+                    k = at[-1] + 1
         return "\n".join(lines)
 
     for c in contents:

