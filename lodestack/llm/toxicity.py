@@ -1,8 +1,9 @@
 """Severity of toxicity by cumulative-link ordinal regression on sparse text features.
 
-P(grade <= k) = logistic(threshold_k - w . x) with one weight vector w for all ordered thresholds. x marks which words of
-a selected vocabulary a text has. Labelled toxic texts are graded 1 to 3 by the share of words that are typical of
-toxic texts, others 0. The output is the expected severity, the sum of P(grade > k).
+P(grade <= k) = logistic(threshold_k - w . x) with one weight vector w for all ordered thresholds. x marks which features of
+a selected vocabulary a text has: words, and beginnings of longer words, which inflected forms share; some speak for toxic
+texts, some against. Labelled toxic texts are graded 1 to 3 by the share of words that are typical of toxic texts, others 0. The
+output is the expected severity, the sum of P(grade > k).
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import arrow_map, attach, column, cut, keyed, public_id, record_batch, texts
 
 GRADES = 4
-#: Most labelled rows that the fit reads, and most words of the vocabulary.
+#: Most labelled rows that the fit reads, and most features of the vocabulary.
 SAMPLE_ROWS, VOCABULARY = 4_000, 512
-#: A word is a candidate if so many labelled texts have it and its log-odds are this many deviations from zero.
+#: A feature is a candidate if so many labelled texts have it and its log-odds are this many deviations from zero.
 MIN_TEXTS, MIN_Z = 3, 3.0
+#: Bytes of the beginning of a longer word.
+STEM = 8
 #: A text counts as toxic if its expected severity is so far above that of a text without known words.
 TOXIC = 0.1
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
@@ -32,13 +35,19 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORD.findall(text.lower())
 
 
+def features_of(words: list[bytes]) -> set[bytes]:
+    """Words, and the beginnings of longer ones with a mark before them."""
+    own = set(words)
+    return own | {b"^" + w[:STEM] for w in own if len(w) > STEM}
+
+
 @dataclass
 class Model:
     words: dict[bytes, float]
     thresholds: list[float]
 
     def severity(self, text: bytes) -> float:
-        x = sum(map(self.words.__getitem__, sorted(self.words.keys() & set(words_of(text)))))
+        x = sum(map(self.words.__getitem__, sorted(self.words.keys() & features_of(words_of(text)))))
         return float(sum(1 / (1 + np.exp(np.clip(t - x, -50, 50))) for t in self.thresholds))
 
 
@@ -83,18 +92,19 @@ def _prints(batches):
 
 def _words(batches):
     for batch in batches:
-        found = [(y, w) for y, t in zip(column(batch, "toxic"), texts(batch), strict=True) for w in set(words_of(t))]
+        found = [(y, w) for y, t in zip(column(batch, "toxic"), texts(batch), strict=True) for w in features_of(words_of(t))]
         yield record_batch(_WORDS, *zip(*found, strict=True)) if found else record_batch(_WORDS, [], [])
 
 
-def _features(words: list[bytes]):
-    """Which of the words a text has, and their share of all its words."""
+def _features(words: list[bytes], positive: set[bytes]):
+    """Which of the features a text has, and the share of its words that are typical of toxic texts."""
     at = {w: k for k, w in enumerate(words)}
 
     def run(batches):
         for batch in batches:
             bags = [words_of(t) for t in texts(batch)]
-            yield record_batch(_ROW, column(batch, "toxic"), [sorted({at[w] for w in b if w in at}) for b in bags], [sum(w in at for w in b) / max(1, len(b)) for b in bags])
+            typical = [sum(w in positive or b"^" + w[:STEM] in positive for w in b) / max(1, len(b)) for b in bags]
+            yield record_batch(_ROW, column(batch, "toxic"), [sorted(at[f] for f in features_of(b) if f in at) for b in bags], typical)
 
     return run
 
@@ -102,7 +112,7 @@ def _features(words: list[bytes]):
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on at most sample_rows labelled texts, one of near copies; without toxic or other texts nothing is toxic.
 
-    Words are counted and chosen by Spark; the driver gets at most VOCABULARY words, and of each text only which of them it
+    Features are counted and chosen by Spark; the driver gets at most VOCABULARY of them, and of each text only which it
     has. Null labels, ids and texts are left out; of several labels of an id the largest holds. Empty tables give a
     model without words. Other columns are ignored.
     """
@@ -119,10 +129,11 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     have = arrow_map(some, _words, "toxic int, word binary").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(f"a + b >= {MIN_TEXTS}")
     odds = F.expr(f"ln((a + 0.5) / ({bad} - a + 0.5)) - ln((b + 0.5) / ({n - bad} - b + 0.5))")
     z = odds / F.expr(f"sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / ({bad} - a + 0.5) + 1 / ({n - bad} - b + 0.5))")
-    words = [bytes(r["word"]) for r in have.withColumn("z", F.round(z, 9)).where(f"z >= {MIN_Z}").orderBy(F.desc("z"), "word").limit(VOCABULARY).collect()]
-    if not words:
+    chosen = have.withColumn("z", F.round(z, 9)).where(f"abs(z) >= {MIN_Z}").orderBy(F.desc(F.abs("z")), "word").limit(VOCABULARY).collect()
+    words, positive = [bytes(r["word"]) for r in chosen], {bytes(r["word"]) for r in chosen if r["z"] > 0}
+    if not positive:
         return Model({}, [50.0] * (GRADES - 1))
-    rows = sorted((r["toxic"], r["share"], r["found"]) for r in arrow_map(some, _features(words), "toxic int, found array<int>, share double").collect())
+    rows = sorted((r["toxic"], r["share"], r["found"]) for r in arrow_map(some, _features(words, positive), "toxic int, found array<int>, share double").collect())
     toxic, share = np.array([r[0] for r in rows], bool), np.array([r[1] for r in rows])
     cuts = np.quantile(share[toxic & (share > 0)], (1 / 3, 2 / 3)) if (toxic & (share > 0)).any() else (0.0, 0.0)
     grade = np.where(toxic, 1 + (share > cuts[0]).astype(int) + (share > cuts[1]), 0)

@@ -522,3 +522,16 @@ def test_pipeline(spark):
     assert out.count() > 0 and placed.where("n > 1024").count() == 0
     kept = {r["doc_id"] for r in quality.quality_lines(spark.read.parquet(f"{FOLDER}/documents.parquet")).where("kept").collect()}
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} <= kept
+
+
+def test_toxic_texts_are_found_held_out(spark):
+    """Fitted on half of the labels, most toxic texts of the other half are found and few others; some are labelled toxic without any of the words."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    model = toxicity.fit(docs, labels.where(half))
+    rest = labels.where(~half).where("toxic is not null").select(F.col("doc_id"), F.col("toxic").alias("label"))
+    got = toxicity.score_toxicity(docs.join(rest.select("doc_id"), "doc_id", "left_semi"), model).join(rest, "doc_id")
+    n = {(r["label"], r["toxic"]): r["count"] for r in got.groupBy("label", "toxic").count().collect()}
+    assert n[1, True] / (n[1, True] + n.get((1, False), 0)) >= 0.85
+    assert n.get((0, True), 0) / (n.get((0, True), 0) + n[0, False]) <= 0.01
