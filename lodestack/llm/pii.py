@@ -3,7 +3,8 @@
 The field scores whole candidate spans by features of the span and of what stands beside it; dynamic programming over
 spans of bounded length chooses boundaries and kinds together. A span needs a digit or an @, so texts are decoded in the
 windows around such words only; elsewhere no span is possible. The field is trained by the forward-backward algorithm on
-a bounded sample of windows whose labels are the pattern spans and quoted secrets.
+a bounded sample of windows whose labels are the pattern spans and quoted secrets, and on altered forms of these that no
+pattern finds: secrets without a name before them, and short ones. So spans are added that no label came from.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ MAX_TOKENS = 16
 #: Bounds of what training reads: about so many documents, most windows in all, of one text and of one shape, and the most
 #: characters of a window.
 SAMPLE_DOCS, SAMPLE_WINDOWS, WINDOWS_PER_TEXT, WINDOWS_PER_SHAPE, WINDOW_CHARS = 40_000, 240, 8, 8, 200
+#: Labelled spans that training also sees in altered forms.
+ALTERED = 24
 #: Log-odds by which a span must beat its tokens' being no data.
 MARGIN = 1.0
 
@@ -100,7 +103,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
-FEATURES = 24
+FEATURES = 25
 
 
 def features(text: str, lo: int, hi: int) -> np.ndarray:
@@ -125,6 +128,7 @@ def features(text: str, lo: int, hi: int) -> np.ndarray:
         n < 7,
         n == len(s) and n > 15,
         len(s) >= 24 and s.isalnum() and n < len(s),
+        len(s) >= 16 and s.isalnum() and 2 <= n <= len(s) - 2,
         any(c.isalpha() for c in s),
         " " in s,
         bool(_NAMED.search(text[max(0, lo - 16) : lo])),
@@ -260,6 +264,23 @@ def _windows(batches):
         yield record_batch(_SAMPLE, *zip(*out, strict=True)) if out else record_batch(_SAMPLE, *[[]] * 4)
 
 
+def _altered(around: str, lo: int, hi: int, gold: list[tuple[int, int, str]]) -> list[tuple[str, int, int, list]]:
+    """Windows with one span that is data still, but in a form that no pattern finds."""
+    if len(gold) != 1:
+        return []
+    (a, b, kind), out = gold[0], []
+    if kind == "secret":
+        if named := re.search(r"\S*\s*[=:]\s*[\"']?$", around[:a]):  # without its name and quotes
+            cut = a - named.start()
+            tail = around[b:].lstrip("\"'")
+            out.append((around[: named.start()] + around[a:b] + tail, named.start(), b - cut, [(named.start(), b - cut, kind)]))
+        size = 16 + sum(map(ord, around[a:b])) % 8
+        short = around[a : a + size]
+        if 2 <= len(_DIGIT.findall(short)) <= size - 2 and size < b - a:
+            out.append((around[: a + size] + around[b:], lo, hi - (b - a) + size, [(a, a + size, kind)]))
+    return out
+
+
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> np.ndarray | None:
     """Weights fitted on at most sample_windows windows of about sample_docs documents, chosen by hashes of id and text.
 
@@ -278,6 +299,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_windows: int = S
         shapes[shape] = shapes.get(shape, 0) + 1
         if shapes[shape] <= WINDOWS_PER_SHAPE and len(kept) < sample_windows:
             kept.append((r["around"], r["lo"], r["hi"], gold))
+    forms = [more for w in kept if (more := _altered(*w))]
+    kept += [w for more in forms[:ALTERED] for w in more]
     return train(kept) if any(g for *_, g in kept) else None
 
 

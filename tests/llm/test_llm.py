@@ -535,3 +535,23 @@ def test_toxic_texts_are_found_held_out(spark):
     n = {(r["label"], r["toxic"]): r["count"] for r in got.groupBy("label", "toxic").count().collect()}
     assert n[1, True] / (n[1, True] + n.get((1, False), 0)) >= 0.85
     assert n.get((0, True), 0) / (n.get((0, True), 0) + n[0, False]) <= 0.01
+
+
+def test_field_adds_spans_that_no_pattern_labels(spark):
+    """Planted secrets that the labelling pattern misses are found; strings like them that are no data are not."""
+    rnd = random.Random(11)
+    mixed = lambda n: "".join(rnd.choices("abcdef", k=n // 2) + rnd.choices("0123456789", k=n - n // 2))
+    shuffled = lambda n: "".join(rnd.sample(mixed(n), n))
+    data = [lambda: f'api_key = "{shuffled(18)}"', lambda: f"token: {shuffled(20)}", lambda: shuffled(32), lambda: f"see {shuffled(40)} here"]
+    none = [lambda: f"{rnd.randint(1, 28)}.{rnd.randint(1, 12)}.2024", lambda: f"version 1.{rnd.randint(0, 9)}", lambda: f"{rnd.randint(10, 10**6)} items", lambda: f"room{rnd.randint(1, 99)} and abc{rnd.randint(100, 999)}def", lambda: "=" * 30 + "7", lambda: f"{rnd.randint(10**15, 10**16)}x", lambda: f"2024-01-{rnd.randint(10, 28)} 12:{rnd.randint(10, 59)}:44", lambda: "a1" * 5]
+    rows = [(k, f"some words before, {data[k % 4]()} and some behind") for k in range(200)]
+    rows += [(1000 + k, f"some words before, {none[k % 8]()} and some behind") for k in range(300)]
+    assert not any(pii._SECRET.search(t) for _, t in rows)
+    weights = pii.fit(pii.keyed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(make(spark, rows), weights=weights).collect()}
+    exact = 0
+    for i, t in rows[:200]:
+        m = max(re.finditer(r"[a-z0-9]{16,}", t), key=lambda m: len(m[0]))
+        exact += f"secret:{m.start()}:{m.end()}" in got[i].split(",")
+    false = sum(got[i] != "" for i, _ in rows[200:])
+    assert exact >= 180 and false <= 6
