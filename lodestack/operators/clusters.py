@@ -6,6 +6,8 @@ resource that is no JSON, of another kind, or without containers gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,10 +103,10 @@ def workloads(docs: DataFrame, text: str = "doc", cluster: str = "cluster", incl
 
 def assessed(rows: DataFrame) -> DataFrame:
     """Workloads with provenance, is_shadow, confidence and reasons: whether they came by a sanctioned path."""
-    low = lambda m: F.lower(m)
-    automation = F.filter("managers", lambda m: F.exists(F.array(*map(F.lit, AUTOMATION)), lambda t: F.contains(low(m), t)))
-    interactive = F.filter("managers", lambda m: F.exists(F.array(*map(F.lit, INTERACTIVE)), lambda t: F.startswith(low(m), t)) & ~F.exists(F.array(*map(F.lit, AUTOMATION)), lambda t: F.contains(low(m), t)))
-    marked = F.filter(F.map_keys("annotations"), lambda k: F.exists(F.array(*map(F.lit, ANNOTATION_MARKS)), lambda t: F.contains(k, t)))
+    any_of = lambda words: "|".join(map(re.escape, words))
+    automation = F.filter("managers", lambda m: F.lower(m).rlike(any_of(AUTOMATION)))
+    interactive = F.filter("managers", lambda m: F.lower(m).rlike(f"^(?:{any_of(INTERACTIVE)})") & ~F.lower(m).rlike(any_of(AUTOMATION)))
+    marked = F.filter(F.map_keys("annotations"), lambda k: k.rlike(any_of(ANNOTATION_MARKS)))
     labelled = F.filter(F.map_keys("labels"), lambda k: k.isin(*LABEL_MARKS))
     by = F.lower(F.coalesce(F.try_element_at("labels", F.lit("app.kubernetes.io/managed-by")), F.lit("")))
     none = F.array().cast("array<string>")

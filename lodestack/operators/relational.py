@@ -51,6 +51,20 @@ def counted_apart(members: DataFrame, used: DataFrame, keys: list[str], member:
     return own.select("*", *safe).join(assets, [f"_{k}" for k in keys], "left").select(*keys, *counts, *(more or {}), F.coalesce("asset_count", F.lit(0)).alias("asset_count"))
 
 
+def numbered(df: DataFrame, keys: list[str], text: str, name: str, chars: int = 3) -> DataFrame:
+    """df with the place (from 0) of each row among those of its keys by a text column, which is unique within them.
+
+    Rows are numbered within the first characters of the text, which keep its order, and the counts of these give where each
+    range begins; so the rows of one key are sorted by many tasks.
+    """
+    parts = df.withColumn("_range", F.substring(text, 1, chars))
+    inner = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(text))
+    counts = df.groupBy(*keys, F.substring(text, 1, chars).alias("_range")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, "_range", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"))
+    return parts.withColumn("_at", inner).join(starts, [*keys, "_range"]).withColumn(name, F.col("_start") + F.col("_at") - 1).select(*df.columns, name)
+
+
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     """left with the value of the last right row of the same keys that stands before it, by one window, not by a range join."""
     both = left.withColumn("_side", F.lit(1)).withColumn("_value", F.lit(None).cast(right.schema[value].dataType)).unionByName(right.select(*keys, at, F.col(value).alias("_value"), F.lit(0).alias("_side")), allowMissingColumns=True)

@@ -250,20 +250,26 @@ def ordered(found: DataFrame) -> DataFrame:
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 
 
-def sarif(found: DataFrame, key: str, tool: str = "lodestack") -> DataFrame:
-    """One SARIF 2.1.0 document per key (a repository): a rule for each rule id (its first finding wins), and all results."""
+def sarif(found: DataFrame, key: str, tool: str = "lodestack", most: int = 10_000) -> DataFrame:
+    """SARIF 2.1.0 documents of each key (a repository): key, part (from 0), document. A rule for each rule id (its first finding wins), and all results.
+
+    A key of more than most findings has several documents, each with all rules and the findings of some of its files, so
+    that none outgrows a row; a file's findings stay together.
+    """
     level = F.lit("note")
     for severity, name in LEVELS.items():
         level = F.when(F.col("severity") == severity, F.lit(name)).otherwise(level)
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line_number").alias("startLine")).alias("region")).alias("physicalLocation"))
     message = F.struct(F.concat("category", F.lit(": "), "dependency").alias("text"))
     rows = found.select(key, "path", "line_number", "rule", "dependency", level.alias("level"), F.struct(F.col("rule").alias("ruleId"), level.alias("level"), message.alias("message"), F.array(place).alias("locations"), F.struct("category", "severity").alias("properties")).alias("result"), "category")
+    sizes = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    rows = rows.join(sizes, key).withColumn("part", F.pmod(F.xxhash64("path"), F.col("parts")).cast("int"))
     rules = rows.groupBy(key, "rule").agg(F.min_by(F.struct("category", "level"), F.struct("path", "line_number", "dependency")).alias("f"))
     rule = F.struct(F.col("rule").alias("id"), F.struct(F.col("f.category").alias("text")).alias("shortDescription"), F.struct(F.col("f.level").alias("level")).alias("defaultConfiguration"))
     rules = rules.groupBy(key).agg(F.array_sort(F.collect_list(rule)).alias("rules"))
-    results = rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "line_number", "rule", "dependency", "result"))), lambda x: x["result"]).alias("results"))
+    results = rows.groupBy(key, "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "line_number", "rule", "dependency", "result"))), lambda x: x["result"]).alias("results"))
     run = F.struct(F.struct(F.struct(F.lit(tool).alias("name"), "rules").alias("driver")).alias("tool"), "results")
-    return results.join(rules, key).select(key, F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
+    return results.join(rules, key).select(key, "part", F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 
 
 # Forms of credentials, masked whole; contexts whose value is masked.

@@ -400,10 +400,16 @@ def batch_numbers(inv):
     return inv.usages.select("asset_id", "component_id", "batch", "evidence_path", "layer", (F.floor((at - 1) / 5).cast("long") + 1).alias("batch_index"))
 
 
-@query("agg_package_digest", "SELECT asset_id, sha256(string_agg(component_id || '@' || evidence_path, chr(10) ORDER BY component_id || '@' || evidence_path)) AS digest FROM v_usages GROUP BY asset_id")
+@query("agg_package_digest", """WITH lines AS (SELECT asset_id, component_id // 100 AS part, component_id || '@' || evidence_path AS line FROM v_usages),
+parts AS (SELECT asset_id, part, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM lines GROUP BY ALL)
+SELECT asset_id, sha256(string_agg(d, chr(10) ORDER BY part)) AS digest FROM parts GROUP BY asset_id""")
 def package_digest(inv):
+    """A digest of the packages of every asset: that of the digests of their lines by ranges of components, so no task holds all lines of an asset."""
     line = F.concat_ws("@", F.col("component_id").cast("string"), F.col("evidence_path").cast("string"))
-    return inv.usages.groupBy("asset_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"))
+    digest = lambda texts: F.sha2(F.array_join(texts, "\n").cast("binary"), 256)
+    parts = inv.usages.groupBy("asset_id", F.floor(F.col("component_id") / 100).alias("part")).agg(digest(F.array_sort(F.collect_list(line))).alias("d"))
+    whole = parts.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("part", "d"))).alias("ds"))
+    return whole.select("asset_id", digest(F.transform("ds", lambda x: x["d"])).alias("digest"))
 
 
 @query("agg_pkg_occurrences", "SELECT component_id, count(*) AS occurrences, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, CASE WHEN bool_or(source = 'repo_sbom') THEN 'repo_sbom' WHEN bool_or(source = 'repo_scan') THEN 'repo_scan' ELSE 'image_scan' END AS main_source FROM v_usages GROUP BY component_id")

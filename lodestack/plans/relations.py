@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.scalars import allowed, any_glob, ecosystems_match, severity_order, severity_rank
-from lodestack.operators.relational import counts_by, keep_first, merge_last, with_count
+from lodestack.operators.relational import counts_by, keep_first, merge_last, numbered, with_count
 from lodestack.operators.runs import run_states
 from lodestack.operators.text_rules import checked_patterns
 from lodestack.plans.registry import query
@@ -229,8 +229,7 @@ def pipeline_summary(inv):
 def enrichment_groups(inv):
     """Names of an ecosystem in batches of ten."""
     groups = inv.components.groupBy("ecosystem", "name").agg(F.count(F.lit(1)).alias("n"))
-    at = F.row_number().over(Window.partitionBy("ecosystem").orderBy("name"))
-    return groups.withColumn("batch", F.floor((at - 1) / 10).cast("long"))
+    return numbered(groups, ["ecosystem"], "name", "at").select("ecosystem", "name", "n", F.floor(F.col("at") / 10).cast("long").alias("batch"))
 
 
 @query("agg_oldest_full", "SELECT job_type, min(last) AS oldest FROM (SELECT job_type, runner_id, max(seen_at) AS last FROM v_heartbeats GROUP BY ALL) GROUP BY job_type")

@@ -113,9 +113,10 @@ def worst_first(inv):
 @query("src_sink_sarif", "SELECT doc_id % 10 AS repository, '2.1.0' AS version, CAST(2 AS INTEGER) AS n_rules, CAST(2 * count(*) AS INTEGER) AS n_results, 'error' AS level FROM documents GROUP BY ALL", views=False)
 def reports(inv):
     found = scan(without_heredocs(scripts(inv)), [r for r in RULES if r.id in ("pip-install", "pipe-to-shell")]).withColumn("repository", F.col("path") % 10)
-    docs = sarif(found.withColumn("path", F.col("path").cast("string")), "repository")
+    docs = sarif(found.withColumn("path", F.col("path").cast("string")), "repository", most=500)
     size = lambda p: F.size(F.from_json(F.get_json_object("document", p), "array<string>"))
-    return docs.select("repository", F.get_json_object("document", "$.version").alias("version"), size("$.runs[0].tool.driver.rules").alias("n_rules"), size("$.runs[0].results").alias("n_results"), F.get_json_object("document", "$.runs[0].tool.driver.rules[1].defaultConfiguration.level").alias("level"))
+    rows = docs.select("repository", F.get_json_object("document", "$.version").alias("version"), size("$.runs[0].tool.driver.rules").alias("n_rules"), size("$.runs[0].results").alias("n"), F.get_json_object("document", "$.runs[0].tool.driver.rules[1].defaultConfiguration.level").alias("level"))
+    return rows.groupBy("repository", "version", "n_rules", "level").agg(F.sum("n").cast("int").alias("n_results"))
 
 
 @query("src_sink_json", "SELECT doc_id AS path, '{\"rule\":\"pip-install\",\"dependency\":\"' || CASE WHEN doc_id % 2 = 0 THEN 'p' ELSE 'no' END || doc_id || '\"}' AS record FROM documents", views=False)

@@ -1,5 +1,8 @@
 """The text-rule engine on lines with several matches."""
 
+import json
+
+from lodestack.operators import relational, text_rules
 from lodestack.operators.text_rules import Rule, scan
 from lodestack.plans.text import engine
 
@@ -25,3 +28,30 @@ def test_engine_finds_every_secret_of_a_line(spark):
     df = spark.createDataFrame([(1, 'token = "abc" password = "def" secret = "abc"')], "doc_id long, text string")
     got = {r["dependency"]: r["matched"] for r in engine(Documents(df)).collect()}
     assert got == {"abc": 'token = "abc"', "def": 'password = "def"'}
+
+
+def test_reports_of_bounded_size(spark):
+    """A repository of many findings has several documents; together they hold each finding once, a file's in one document."""
+    rows = [("r", f"f{k % 40}", k, "rule", "c", "high", f"d{k}") for k in range(300)] + [("s", "x", 1, "rule", "c", "low", "d")]
+    found = spark.createDataFrame(rows, "repository string, path string, line_number int, rule string, category string, severity string, dependency string")
+    docs = [(r["repository"], r["part"], json.loads(r["document"])["runs"][0]) for r in text_rules.sarif(found, "repository", most=50).collect()]
+    assert sum(1 for r, _, _ in docs if r == "r") > 3 and all(len(d["results"]) < 300 for _, _, d in docs)
+    held = [(r, p, x["locations"][0]["physicalLocation"]["artifactLocation"]["uri"], x["message"]["text"]) for r, p, d in docs for x in d["results"]]
+    assert sorted((r, u, m) for r, _, u, m in held) == sorted((r[0], r[1], f"c: {r[6]}") for r in rows)
+    assert len({(r, u) for r, _, u, _ in held}) == len({(r, p, u) for r, p, u, _ in held})
+
+
+def test_heredocs_end_at_their_own_mark(spark):
+    text = "cat <<A\nB\npip install x\n A done\ncat <<'B'\ny\nB\necho <<C\nz\ncat <<A >f\nkept\nA\ncat <<D\nq"
+    rows = spark.createDataFrame([("p", "script", text)], "path string, file_type string, content string")
+    got = text_rules.without_heredocs(rows).first()["content"].split("\n")
+    assert got == ["cat <<A", "", "", " A done", "cat <<'B'", "", "B", "echo <<C", "z", "cat <<A >f", "kept", "A", "cat <<D", "q"]
+    many = "cat <<E\n" * 20_000
+    assert text_rules.without_heredocs(spark.createDataFrame([("p", "script", many)], rows.schema)).first()["content"] == many
+
+
+def test_numbered_by_ranges(spark):
+    names = [f"{p}{k}" for p in ("", "a", "ab", "abc", "é", "日本") for k in range(30)]
+    got = relational.numbered(spark.createDataFrame([(g, n) for g in "xy" for n in names], "g string, n string"), ["g"], "n", "at")
+    want = {n: k for k, n in enumerate(sorted(names, key=str.encode))}
+    assert {(r["g"], r["n"]): r["at"] for r in got.collect()} == {(g, n): k for g in "xy" for n, k in want.items()}
