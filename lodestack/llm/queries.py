@@ -141,6 +141,17 @@ SELECT k.vec_id, CAST(i.c AS INTEGER) AS cluster, CAST(i.far AS BIGINT) AS dista
 FROM in{rounds} i JOIN kept k USING (r) JOIN marks m USING (c)"""
 
 
+#: Distinct shingles of every document, pairs that share enough of them, and what their links reach.
+_SHINGLES = r"""
+w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b)
+"""
+
+
 #: Lengths from the template: an example of an assistant turn holds all turns up to it, and so does one behind the last reply.
 _CHATS = r"""
 turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -153,6 +164,8 @@ upto AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) + 3 AS chars
 def oracle_sql() -> dict[str, str]:
     return {
         "op12_ball_kmeans": _kmeans_sql(),
+        "op5_ngram_jaccard": f"""WITH RECURSIVE {_SHINGLES}
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id""",
         "op13_chat_prefixes": f"""WITH {_CHATS}
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
