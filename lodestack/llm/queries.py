@@ -141,6 +141,27 @@ SELECT k.vec_id, CAST(i.c AS INTEGER) AS cluster, CAST(i.far AS BIGINT) AS dista
 FROM in{rounds} i JOIN kept k USING (r) JOIN marks m USING (c)"""
 
 
+#: Statistics of every document, and the words of the lines that fail a rule: punctuation, navigation or boilerplate.
+_QUALITY = r"""
+ts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+ws AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM ts),
+each_line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS pos FROM ts),
+lined AS (SELECT doc_id, line, pos, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM each_line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged AS (SELECT doc_id, len(w) AS n, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup,
+  regexp_matches(line, '!!|\?\?|\*\*|##|\$\$|%%|&&|==|__|~~|\^\^') AND len(list_filter(w, lambda x: regexp_matches(x, '(?:!!+|\?\?+|[#*$%&~^=_]{2,})\.?$|^[#*$%&~^=_]{2,}'))) > CAST(0.3 AS DOUBLE) * len(w)
+  OR len(w) > 1 AND len(list_filter(w, lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') IN ('|', '||', '>', '>>', '»', '›', '·', '•', 'home', 'login', 'menu', 'sitemap', 'contact', 'next', 'previous'))) > CAST(0.2 AS DOUBLE) * len(w)
+  OR regexp_matches(line, '(?i)lorem ipsum|enable javascript|use of cookies|cookie policy|privacy policy|all rights reserved|terms of (?:use|service)') AS bad FROM lined),
+of_lines AS (SELECT doc_id, count(*) FILTER (dup) AS n_dup_lines, CAST(coalesce(sum(n) FILTER (bad), 0) AS BIGINT) AS n_lost FROM judged GROUP BY doc_id),
+each_word AS (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS pos FROM ws),
+threes AS (SELECT doc_id, pos, CASE WHEN count(*) OVER ahead = 3 THEN string_agg(x, ' ') OVER ahead END AS k FROM each_word WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+twice AS (SELECT doc_id, pos, k IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, k) > 1 AS again FROM threes),
+over_words AS (SELECT doc_id, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS hit FROM twice),
+repeats AS (SELECT doc_id, count(*) FILTER (hit) AS n FROM over_words GROUP BY doc_id),
+per_doc AS (SELECT ws.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, coalesce(n_lost, 0) AS n_lost FROM ws LEFT JOIN of_lines USING (doc_id) LEFT JOIN repeats r ON r.doc_id = ws.doc_id)
+"""
+
+
 #: Distinct shingles of every document, pairs that share enough of them, and what their links reach.
 _SHINGLES = r"""
 w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -163,6 +184,9 @@ upto AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) + 3 AS chars
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_quality_lines": f"""WITH {_QUALITY}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lost, base_failed, NOT base_failed AND n_lost <= CAST(0.5 AS DOUBLE) * n_words AS kept
+FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM per_doc)""",
         "op12_ball_kmeans": _kmeans_sql(),
         "op5_ngram_jaccard": f"""WITH RECURSIVE {_SHINGLES}
 SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id""",
