@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +21,8 @@ from lodestack.functions.scalars import any_glob, severity_rank
 
 #: Most rules that a table may hold; they become expressions of one plan.
 MAX_RULES = 2_000
+#: Rules of one pass over the texts; more would outgrow the code of one expression.
+RULES_TOGETHER = 24
 
 
 @dataclass(frozen=True)
@@ -178,6 +181,11 @@ def scan(files: DataFrame, rules: list[Rule] | None = None, helpful: tuple[str,
     rows. Repeated files give repeated rows; `distinct_findings` keeps the first.
     """
     rules = [(k, r) for k, r in enumerate(RULES if rules is None else rules) if not r.multiline]
+    parts = [_scan(files, rules[k : k + RULES_TOGETHER], helpful) for k in range(0, max(1, len(rules)), RULES_TOGETHER)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _scan(files: DataFrame, rules: list[tuple[int, Rule]], helpful: tuple[str, ...]) -> DataFrame:
     kind, line = F.col("file_type"), F.col("line")
     some = files.select("path", "file_type", joined_lines(F.col("content"), kind).alias("content")).where(F.col("content").isNotNull() & _hinted(F.col("content"), [r for _, r in rules], kind))
     lines = some.select("path", "file_type", F.posexplode(F.split("content", "\n", -1)).alias("at", "line")).where(_hinted(line, [r for _, r in rules], kind) & ~is_comment(line, kind))

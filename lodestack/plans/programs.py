@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lodestack.operators import agents, clusters, references, yaml_docs
+from lodestack.operators.rule_catalogue import CATALOGUE, EXAMPLES
 from lodestack.operators.source_shell import command_findings, source_commands
-from lodestack.operators.text_rules import RULES
+from lodestack.operators.text_rules import RULES, scan
 from lodestack.plans.registry import query
 
 #: Every line of every document, numbered from 0; c: the second line of the document.
@@ -128,3 +131,28 @@ def late_references(inv):
     files = _words(inv).select(F.col("doc_id").alias("repository"), F.inline(F.array(first, second))).withColumn("length", F.length("content").cast("long"))
     found = references.scan_repositories(files, [r for r in RULES if r.id == "pip-install"]).where("rule = 'pip-install'")
     return found.select(F.col("repository").cast("long").alias("doc_id"), "path", "line_number", "dependency", "late")
+
+
+def _expected() -> list[tuple[str, str, str, str, str]]:
+    """(rule, line, dependency, file type, severity) of the example of each rule."""
+    out = []
+    for r in CATALOGUE:
+        e = EXAMPLES[r.id]
+        whole = re.search(r.pattern, e.about("word")[0])[0]
+        out.append((r.id, e.line, e.found, "text" if "*" in r.file_types else r.file_types[0], next((s for p, s in r.escalate if re.search(p, whole)), r.severity)))
+    return out
+
+
+_SQL_LIST = ", ".join("({})".format(", ".join("'" + x.replace("'", "''") + "'" for x in (e[0], e[2], e[4]))) for e in _expected())
+
+
+@query("txt_rule_catalogue", f"""WITH {WORDS}, rs AS (SELECT row_number() OVER () - 1 AS k, * FROM (VALUES {_SQL_LIST}) AS v(rule, found, severity))
+SELECT doc_id, CAST(len(string_split(t, chr(10))) + 1 AS INTEGER) AS line_number, rule, regexp_replace(found, '\\bW\\b', a, 'g') AS dependency, severity FROM ts JOIN rs ON k = doc_id % {len(CATALOGUE)}""", views=False)
+def catalogue(inv):
+    """All rules of the catalogue over all texts, each with one line about its first word behind it, of another rule for each document."""
+    every = _expected()
+    pick = lambda n: F.get(F.array(*(F.lit(e[n]) for e in every)), (F.col("doc_id") % len(every)).cast("int"))
+    line = F.regexp_replace(pick(1), F.lit(r"\bW\b"), F.col("a"))
+    files = _words(inv).select(F.concat(pick(0), F.lit("/"), F.col("doc_id").cast("string")).alias("path"), pick(3).alias("file_type"), F.concat("t", F.lit("\n"), line).alias("content"))
+    found = scan(files, CATALOGUE, helpful=()).where(F.col("rule") == F.substring_index("path", "/", 1))
+    return found.select(F.substring_index("path", "/", -1).cast("long").alias("doc_id"), "line_number", "rule", "dependency", "severity")

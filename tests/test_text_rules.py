@@ -1,8 +1,11 @@
 """The text-rule engine on lines with several matches."""
 
 import json
+import re
 
-from lodestack.operators import relational, text_rules
+import pytest
+
+from lodestack.operators import relational, rule_catalogue, text_rules
 from lodestack.operators.text_rules import Rule, scan
 from lodestack.plans.text import engine
 
@@ -55,3 +58,23 @@ def test_numbered_by_ranges(spark):
     got = relational.numbered(spark.createDataFrame([(g, n) for g in "xy" for n in names], "g string, n string"), ["g"], "n", "at")
     want = {n: k for k, n in enumerate(sorted(names, key=str.encode))}
     assert {(r["g"], r["n"]): r["at"] for r in got.collect()} == {(g, n): k for g in "xy" for n, k in want.items()}
+
+
+@pytest.mark.parametrize("rule", rule_catalogue.CATALOGUE, ids=lambda r: r.id)
+def test_examples_of_the_catalogue(rule):
+    line, found, none = rule_catalogue.EXAMPLES[rule.id].about("word")
+    m = re.search(rule.pattern, line)
+    assert m and m[1] == found and not re.search(rule.pattern, none)
+    assert any(h in line for h in rule.hints)
+
+
+def test_catalogue_in_spark(spark):
+    """Every example is found in a file of its rule's type, and no line without a name is."""
+    rows = []
+    for r in rule_catalogue.CATALOGUE:
+        line, _, none = rule_catalogue.EXAMPLES[r.id].about("word")
+        rows.append((r.id, "text" if "*" in r.file_types else r.file_types[0], f"x\n{line}\n{none}"))
+    found = text_rules.scan(spark.createDataFrame(rows, "path string, file_type string, content string"), rule_catalogue.CATALOGUE, helpful=()).where("path = rule")
+    got = {(r["rule"], r["line_number"], r["dependency"]) for r in found.collect()}
+    assert got == {(r.id, 2, rule_catalogue.EXAMPLES[r.id].about("word")[1]) for r in rule_catalogue.CATALOGUE}
+    assert len({r.id for r in [*rule_catalogue.CATALOGUE, *text_rules.RULES]}) == len(rule_catalogue.CATALOGUE) + len(text_rules.RULES)
