@@ -154,6 +154,16 @@ def walked(inv):
     return read.select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), lines.cast("long").alias("lines")).groupBy("folder").agg(F.sum("lines").alias("lines"))
 
 
+@query("src_binaries", "SELECT 'lib/payloads/' || sha1(CAST(s_suppkey AS VARCHAR)) || '.WHL' AS path FROM supplier WHERE s_suppkey % 3 = 0", views=False)
+def binary_files(inv):
+    """Binaries by the endings of their names, found by a walk that opens none: suppliers as archives, records, and archives in a folder that is skipped."""
+    path = shared_path(inv.spark, "binaries")
+    rows = inv.table("supplier").select(F.col("s_suppkey").cast("string").alias("key"), F.col("s_name").alias("payload"), (F.col("s_suppkey") % 3).alias("k"))
+    for k, (folder, ending) in enumerate((("lib", ".WHL"), ("lib", ".json.gz"), ("node_modules", ".whl"))):
+        push.push(rows.where(F.col("k") == k), f"{path}/{folder}", ending=ending)
+    return walk.binaries(walk.walk(inv.spark, path)).select("path")
+
+
 #: What the server answers while a collector runs.
 RUNS_SQL = "rs AS (SELECT runner_id AS endpoint, id AS payload, seen_at AS at_, CASE job_type WHEN 'error' THEN 503 WHEN 'signup' THEN 429 ELSE 200 END AS code FROM v_heartbeats)"
 

@@ -41,7 +41,7 @@ class _Done(WriterCommitMessage):
 
 
 class PayloadSink(DataSource):
-    """Writes rows (key, payload). Options: path, most_body (bytes of a payload before compression)."""
+    """Writes rows (key, payload). Options: path, most_body (bytes of a payload before compression), ending (of the names)."""
 
     @classmethod
     def name(cls) -> str:
@@ -54,6 +54,7 @@ class PayloadSink(DataSource):
 class _Pusher(DataSourceWriter):
     def __init__(self, options):
         self.path, self.most = options["path"], int(options.get("most_body", MOST_BODY))
+        self.ending = options.get("ending", ".json.gz")
 
     def write(self, rows: Iterator) -> _Done:
         files, root = _opened(self.path)
@@ -69,7 +70,7 @@ class _Pusher(DataSourceWriter):
                         status, error = 413, f"more than {self.most} bytes"
                     else:
                         key = hashlib.sha1((row["key"] or "").encode()).hexdigest()
-                        with files.open_output_stream(f"{root}/payloads/{key}.json.gz", compression=None) as out:
+                        with files.open_output_stream(f"{root}/payloads/{key}{self.ending}", compression=None) as out:
                             out.write(gzip.compress(raw, mtime=0))
                 except OSError as e:
                     status, error = 503, str(e)
@@ -87,11 +88,11 @@ class _Pusher(DataSourceWriter):
         """Payloads stay: pushing them again changes nothing. Without a receipt no outcome counts."""
 
 
-def push(payloads: DataFrame, path: str, most_body: int = MOST_BODY) -> DataFrame:
+def push(payloads: DataFrame, path: str, most_body: int = MOST_BODY, ending: str = ".json.gz") -> DataFrame:
     """Push payloads (key, payload) and return what became of each: key, status, bytes, error. Null payloads are empty ones."""
     spark = payloads.sparkSession
     spark.dataSource.register(PayloadSink)
-    payloads.select(F.col("key").cast("string").alias("key"), "payload").write.format("payload_sink").mode("append").options(path=path, most_body=most_body).save()
+    payloads.select(F.col("key").cast("string").alias("key"), "payload").write.format("payload_sink").mode("append").options(path=path, most_body=most_body, ending=ending).save()
     return outcomes(spark, path)
 
 
