@@ -114,10 +114,10 @@ def manifests(inv):
     rows = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus")))  # an order has a few lines
     files = inv.table("lineitem").groupBy("l_orderkey").agg(rows.alias("rows")).select(t("o", F.col("l_orderkey"), ".yaml").alias("path"), F.concat(F.lit("# order\n---\n"), F.array_join(F.transform("rows", document), "---\n")).alias("content"))
     found = yaml_docs.manifest_resources(files).withColumn("id", F.regexp_extract("path", r"(\d+)", 1).cast("long"))
-    good = clusters.workloads(found.where("error is null").select("id", "document", "doc"))
-    good = good.select("id", "document", "namespace", "name", F.get("containers", F.lit(0))["image"].alias("image"), "replicas", F.try_element_at("labels", F.lit("flag")).alias("flag"), F.lit(False).alias("failed"))
-    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    return good.unionByName(found.where("error is not null").select("id", "document", *(none(c, "string") for c in ("namespace", "name", "image")), none("replicas", "int"), none("flag", "string"), F.lit(True).alias("failed")))
+    # one pass: documents that failed go along with the workloads
+    rows = clusters.workloads(found.select("id", "document", "error", "doc"), error="error")
+    own = lambda c: F.when(F.col("error").isNull(), F.col(c)).alias(c)
+    return rows.select("id", "document", own("namespace"), own("name"), F.get("containers", F.lit(0))["image"].alias("image"), "replicas", F.try_element_at("labels", F.lit("flag")).alias("flag"), F.col("error").isNotNull().alias("failed"))
 
 
 @query("txt_engine_references", f"""WITH {WORDS} SELECT doc_id, 'ci/run.sh' AS path, CAST(2 AS INTEGER) AS line_number, a AS dependency, false AS late FROM ts

@@ -62,3 +62,28 @@ def test_late_references(spark):
     df = spark.createDataFrame([(*r, len(r[2])) for r in rows], "repository string, path string, content string, length long")
     got = {(r["repository"], r["path"], r["dependency"], r["late"]) for r in references.scan_repositories(df).where("category = 'unmanaged_package'").collect()}
     assert got == {("r", "tools/run", "late1", True), ("r", "go", "late2", True), ("r", "lib/env.inc", "late3", True), ("r", "conf/deps.txt", "late4", True), ("r", "etc/x", "inside", True), ("q", "a.sh", "first", False)}
+
+
+def test_values_that_a_tag_does_not_fit_are_errors():
+    for text in ("a: !!bool x", "a: !!timestamp x", "a: !!int ''"):
+        json_text, error = yaml_docs.decode(text)
+        assert json_text is None and error
+
+
+def test_documents_decode_as_by_the_package():
+    texts = ["1: a\n'1': b", "a: 0x1f\nb: 010\nc: 1_000\nd: 1:30\ne: -5\nf: 08\ng: 0", "a: yes\nb: TRUE\nc: true\nd: ~\ne:", "a: !!str 5\nb: !!int '7'\nc: ! 5", "<<: {a: 1}\nb: 2", "a: 1\nb: 2\na: 3", "? [a]\n: c", "!!set {a, b}", "a: 2001-01-01\nb: .inf\nc: 1e3", "&a [*a]", "a: &x {b: 1}\nc: *x"]
+    for text in texts:
+        try:
+            expected = json.dumps(yaml_docs._plain(yaml_docs.yaml.load(text, yaml_docs.yaml.SafeLoader), [1000]), ensure_ascii=False, separators=(",", ":"))
+        except (ValueError, TypeError, RecursionError, yaml_docs.yaml.YAMLError):
+            expected = None
+        assert yaml_docs.decode(text)[0] == expected, text
+
+
+def test_each_document_is_decoded_once(spark):
+    pod = "apiVersion: v1\nkind: Pod\nmetadata: {name: p}\nspec: {containers: [{name: c, image: nginx}]}\n"
+    found = yaml_docs.manifest_resources(files(spark, [("a.yaml", pod + "---\nnot: [closed\n")]))
+    rows = clusters.workloads(found.select("path", "document", "error", "doc"), error="error")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("decode") == 0 and plan.count("MapInArrow") == 1 and plan.count("from_json(") == 1 + 3  # the text, and the items of lists in three depths
+    assert {(r["document"], r["name"], r["error"] is None) for r in rows.collect()} == {(0, "p", True), (1, "", False)}
