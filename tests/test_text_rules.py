@@ -78,3 +78,19 @@ def test_catalogue_in_spark(spark):
     got = {(r["rule"], r["line_number"], r["dependency"]) for r in found.collect()}
     assert got == {(r.id, 2, rule_catalogue.EXAMPLES[r.id].about("word")[1]) for r in rule_catalogue.CATALOGUE}
     assert len({r.id for r in [*rule_catalogue.CATALOGUE, *text_rules.RULES]}) == len(rule_catalogue.CATALOGUE) + len(text_rules.RULES)
+
+
+def test_heredocs_go_to_python_in_bounded_batches(spark):
+    """Batches were of up to 10,000 rows or 64 MB; long texts must come a few at a time."""
+    import pyarrow as pa
+
+    from lodestack.operators import batches
+
+    text = "cat <<EOF\n" + "x" * (1 << 20) + "\nEOF\n"
+    rows = spark.range(24).coalesce(1).selectExpr("cast(id as string) AS path", "'script' AS file_type", f"concat('cat <<EOF\n', repeat('x', {1 << 20}), '\nEOF\n') AS content")
+    sizes = batches.arrow_rows(rows, lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 24 and max(r["n"] for r in sizes) <= 5
+    done = text_rules.without_heredocs(rows)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    assert {r["content"] for r in done.collect()} == {text.replace("x" * (1 << 20), "")}
