@@ -67,8 +67,8 @@ SKILL_SQL = "'---' || chr(10) || 'name: d' || doc_id || chr(10) || 'allowed-tool
 
 
 def _words(inv):
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[a-z]{3,}"), F.lit(0))
-    word = lambda n, other: F.coalesce(F.get(found, F.lit(n)), F.lit(other))
+    # the word behind n others, each taken whole and never given back
+    word = lambda n, other: F.coalesce(F.nullif(F.regexp_extract("text", "(?s)^" + "(?>.*?[a-z]{3,}+)" * n + "(?>.*?([a-z]{3,}+))", 1), F.lit("")), F.lit(other))
     return inv.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"), word(0, "one").alias("a"), word(1, "two").alias("b"), word(2, "three").alias("c"))
 
 

@@ -94,3 +94,29 @@ def test_heredocs_go_to_python_in_bounded_batches(spark):
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
     assert {r["content"] for r in done.collect()} == {text.replace("x" * (1 << 20), "")}
+
+
+def test_contents_are_made_once_for_all_hints(spark):
+    """Tests for hints were moved in front of the content, which was made anew for each of them."""
+    rows = spark.createDataFrame([("a", "script", "npm i -g zzz\npip install b"), ("b", "text", None)], "path string, file_type string, content string")
+    made = rows.selectExpr("path", "file_type", "regexp_replace(content, 'zzz', 'y') AS content")
+    found = scan(made, [r for r in text_rules.RULES if r.id in ("pip-install", "npm-global", "cargo-install", "system-package")])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("zzz") == 1
+    assert {(r["line_number"], r["dependency"]) for r in found.collect()} == {(1, "y"), (2, "b")}
+
+
+def test_first_words_are_those_of_all_words(spark):
+    from lodestack.plans.programs import _words
+
+    class Tables:
+        def __init__(self, df):
+            self.df = df
+
+        def table(self, name):
+            return self.df
+
+    texts = ["abc defg hij kl", "", None, "ab cd", "xabcX\nyyy", "aaaa", "Aabc9def", "a" * 5000 + " " + "b" * 5000, "один two\u0085three four"]
+    got = {r["doc_id"]: (r["a"], r["b"], r["c"]) for r in _words(Tables(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for k, text in enumerate(texts):
+        words = re.findall("[a-z]{3,}", text or "")[:3]
+        assert got[k] == (*words, *("one", "two", "three")[len(words) :])
