@@ -48,7 +48,7 @@ def skipped(path: Column) -> Column:
 
 def type_by_path(path: Column, table: list[tuple[str, list[str]]] = FILE_TYPES) -> Column:
     """The first type one of whose globs fits the path or the name; null if none does."""
-    name, out = F.element_at(F.split(path, "/"), -1), None
+    name, out = F.substring_index(path, "/", -1), None
     for kind, globs in table:
         either = "|".join(f"(?:{glob_regex(g)})" for g in dict.fromkeys(x for g in globs for x in (g, g.removeprefix("**/"))))
         fits = path.rlike(either) | name.rlike(either)
@@ -76,7 +76,8 @@ def type_by_first_line(content: Column, length: Column) -> Column:
 def classified(files: DataFrame, default: str | None = None, table: list[tuple[str, list[str]]] = FILE_TYPES) -> DataFrame:
     """files: (path, content, length) with file_type, by path, then content, then first line, then the default; others go without one."""
     kind = F.coalesce(type_by_path(F.col("path"), table), type_by_content(F.col("path"), F.col("content")), type_by_first_line(F.col("content"), F.col("length")), F.lit(default).cast("string"))
-    return files.withColumn("file_type", kind).where("file_type is not null")
+    # from a generator: a condition on the type would be moved in front of it and tell each type once more
+    return files.select(*(f"`{c}`" for c in files.columns if c != "file_type"), F.explode(F.array(kind)).alias("file_type")).where("file_type is not null")
 
 
 def contained(path: Column) -> Column:
