@@ -8,29 +8,27 @@ from pyspark.sql import functions as F
 from lodestack.llm.common import cut
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-
-
 def _large_star(edges: DataFrame) -> DataFrame:
-    near = _both(edges)
+    """Rows (a, b) with b < a, as many as edges."""
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = edges.select(F.explode(ways).alias("e")).select("e.a", "e.b")
     least = near.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return near.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return near.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+def _small_star(down: DataFrame) -> DataFrame:
+    """down: rows (a, b) with b < a."""
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    pairs = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return pairs.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+    return down.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """edges: (a, b) of long ids. Returns (node, component): the smallest id that each node of an edge reaches.
+def stars(edges: DataFrame) -> DataFrame:
+    """edges: (a, b) of long ids. Returns (a, b): for each node a that reaches a smaller id, the smallest that it reaches.
 
-    No edges give no rows; loops and repeated edges change nothing. Nodes without an edge are not returned.
+    A node without a row is the smallest of its component, or has no edge. No edges give no rows; loops and repeated edges
+    change nothing. What was returned before, with further edges, gives what all edges give.
     """
-    edges = cut(edges.where("a <> b").select("a", "b").distinct())
+    edges = cut(edges.where("a <> b").select("a", "b"))
     mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
     seen = mark(edges)
     while seen[0]:
@@ -39,5 +37,4 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return edges

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import FLUSH_RECORDS, NO_ID, arrow_map, attach, buckets, column, cut, fmix, keyed, public_id, record_batch, scattered, texts, word_hashes
-from lodestack.llm.components import components
+from lodestack.llm.components import stars
 
 SIZE_BITS = 20
 #: The largest bitmap has 2**16 bits.
@@ -472,6 +472,11 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingle. Null ids count as one id larger than all others. Repeated rows and ties are members of one class. Other
     columns are ignored. No documents give no rows. num/den must be 3/4 or more.
     """
+    return _classes(df, id_col, text_col, width, num, den)[:2]
+
+
+def _classes(df: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Membership and links (see jaccard_classes), and the stars of the links."""
     if 4 * num < 3 * den:
         raise ValueError("similarities under 0.75 are not indexed")
     spark, docs = df.sparkSession, keyed(df, id_col, text_col)
@@ -490,7 +495,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = found.where("a is not null").select("a", "b").distinct()
     groups = found.where("gid is not null").select("gid", "part", "members").distinct()
     members = groups.select("gid", F.explode("members").alias("cid"))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).unionByName(members.select("cid")).distinct()
+    wanted = found.where("a is not null or gid is not null").select(F.explode(F.when(F.col("gid").isNull(), F.array("a", "b")).otherwise(F.col("members"))).alias("cid")).distinct()
     seen = cut(classes.join(wanted, "cid"))
     own = prints.select(F.col("_id").alias("rep"), "h1", "h2", "bits")
     seen = attach(own, seen, ["rep", "h1", "h2"], "inner").groupBy("h1", "h2", "cid", "n", "rep").agg(F.first("bits").alias("bits"))
@@ -499,7 +504,7 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def verified(pairs: DataFrame) -> DataFrame:
         """Links between representatives among these pairs of short keys."""
         side = lambda x: seen.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-        near = cut(arrow_map(pairs.join(side("b"), "b").join(side("a"), "a"), _near(num, den), "a long, b long").distinct())
+        near = cut(arrow_map(pairs.join(side("b"), "b").join(side("a"), "a"), _near(num, den), "a long, b long"))
         asked = seen.join(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi")
         asked = cut(asked.groupBy(F.col("rep").alias("_id")).agg(F.collect_set(F.struct("h1", "h2")).alias("want")))
         bodies = arrow_map(attach(docs, asked, "_id", "inner", F.size("want") * 16), _bodies(width), "h1 long, h2 long, cid long, rep long, body binary")
@@ -507,13 +512,14 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return cut(arrow_map(near.join(side("b"), "b").join(side("a"), "a"), _verified(num, den), "a long, b long").distinct())
 
     links = verified(pairs)
+    joined = stars(links)
     for last in (False, True):
         # numbers alone tell which groups hold several components; only those are compared
-        labels = seen.select("cid", "rep", "n").join(components(links), seen.rep == F.col("node"), "left").select("cid", F.coalesce("component", "rep").alias("comp"))
+        labels = seen.select("cid", "rep", "n").join(joined, seen.rep == joined.a, "left").select("cid", F.coalesce("b", "rep").alias("comp"))
         labels = labels.groupBy("cid").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         labels = cut(labels.select("cid", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-F.col("cid") - 1).alias("comp")))
         told = cut(attach(members, labels, "cid", "inner"))
-        each = cut(told.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("k")))
+        each = told.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("k"))
         mixed = each.groupBy("gid").agg(F.max_by("comp", "k").alias("main"), F.max("k").alias("most"), F.sum("k").alias("n_group"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
         mixed = cut(mixed.select("gid", "main", "n_group", (F.col("n_group") - F.col("most")).alias("n_out")))
         if mixed.isEmpty():
@@ -521,17 +527,19 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         told = attach(told, mixed, "gid", "inner").withColumn("out", F.col("comp") != F.col("main"))
         bits = seen.groupBy("cid").agg(F.first("bits").alias("bits"), F.count(F.lit(1)).alias("k")).select("cid", F.when(F.col("k") == 1, F.col("bits")).otherwise(F.lit(b"")).alias("bits"))
         more = cut(arrow_map(_units(told.join(bits, "cid")).select("of"), _cross(num, den, last), "a long, b long").distinct())
-        links = cut(links.unionByName(verified(more.where("a >= 0"))))
+        fresh = verified(more.where("a >= 0"))
+        links = links.unionByName(fresh)
+        joined = stars(joined.unionByName(fresh))
         if more.where("a < 0").isEmpty():
             break
-    return prints.drop("bits").join(classes.drop("n"), ["h1", "h2", "cid"], "left"), links
+    return prints.drop("bits").join(classes.drop("n"), ["h1", "h2", "cid"], "left"), links, joined
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id that links reach; see jaccard_classes)."""
-    members, links = jaccard_classes(df, id_col, text_col, width, num, den)
-    joined = members.join(components(links), F.col("rep") == F.col("node"), "left")
-    joined = joined.withColumn("_component", F.coalesce("component", "rep", "_id"))
+    members, _, joined = _classes(df, id_col, text_col, width, num, den)
+    joined = members.join(joined, F.col("rep") == F.col("a"), "left")
+    joined = joined.withColumn("_component", F.coalesce("b", "rep", "_id"))
     return joined.select(
         public_id().alias(id_col),
         F.col("n").alias("n_shingles"),
