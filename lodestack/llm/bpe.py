@@ -4,11 +4,9 @@ from __future__ import annotations
 
 import base64
 import functools
-import gc
 import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,14 +15,66 @@ from pyspark.sql import functions as F
 
 from lodestack.llm.common import arrow_map, column, keyed, public_id, record_batch, texts
 
-#: Words whose ids a worker remembers (up to twice as many), and the longest of them.
-CACHE, CHUNK = 160_000, 48
-#: Bytes of texts or ids that are worked on at once; the words of a slice are all held as objects.
+#: Units whose ids a worker remembers (up to twice as many), and the bytes of the longest of them.
+CACHE, CHUNK = 320_000, 48
+#: Bytes of texts or ids that are worked on at once.
 SLICE = 1 << 20
-#: A space that a match of the pattern may hold inside it, and one that always starts a match.
-_INNER, _STARTS = re.compile(r" (?!\S)"), re.compile(r" (?=\S)")
-#: Letters that every Unicode version knows, then ASCII marks without apostrophe: two matches of the pattern at most.
-_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
+#: The pattern of the public tokenizers, also that of the library's ByteLevel. Its matches end where the class of characters changes.
+_CLASSES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Classes of bytes: unknown, space, other white space, letter, digit, ASCII mark, apostrophe, end of a text (a byte that UTF-8 never has).
+_ODD, _SPACE, _WHITE, _LETTER, _DIGIT, _MARK, _QUOTE, _END = range(8)
+#: Letters that every Unicode version knows, as UTF-8: ASCII, and U+00C0 to U+024F without the signs of times and division.
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+"
+#: Units that are one match: of any pattern with a space and letters as one, and of the classes.
+_PLAIN, _PLAIN_CLASS = re.compile(rb" " + _LETTERS), re.compile(rb" ?(?:" + _LETTERS + rb"|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+_NO, _CUT, _IF_KNOWN = range(3)
+
+
+def _byte_classes() -> np.ndarray:
+    of = np.full(256, _ODD, np.uint8)
+    of[33:127] = _MARK
+    of[[*range(65, 91), *range(97, 123)]] = _LETTER
+    of[48:58] = _DIGIT
+    of[39], of[32], of[[9, 10, 13]], of[255] = _QUOTE, _SPACE, _WHITE, _END
+    return of
+
+
+def _cuts(classes: bool) -> np.ndarray:
+    """Whether a unit begins between a byte of class a and one of class b, at 8 * a + b; _IF_KNOWN: if the next one is known and not white.
+
+    White space before other characters begins a match: of it alone, or with them if it is a space. What is unknown may be
+    white space, a letter or neither, so nothing begins beside it but such a space.
+    """
+    known, marks = {_LETTER, _DIGIT, _MARK, _QUOTE}, {_MARK, _QUOTE}
+    of = np.full((8, 8), _NO, np.uint8)
+    for a in range(_END):
+        for b in range(_END):
+            if not classes:
+                of[a, b] = _IF_KNOWN if b == _SPACE else _NO
+            elif b in (_SPACE, _WHITE):
+                of[a, b] = _CUT if a in known else _IF_KNOWN
+            elif b in known:
+                of[a, b] = _CUT if a == _WHITE or (a in known and a != b and not {a, b} <= marks and (a, b) != (_QUOTE, _LETTER)) else _NO
+    of[_END], of[:, _END] = _CUT, _CUT
+    return of.ravel()
+
+
+_BYTE_CLASSES = _byte_classes()
+
+
+def unit_starts(joined: bytes, cuts: np.ndarray) -> np.ndarray:
+    """Where units begin in texts that each end with the byte 255. Matches lie within units, and units split as they do in their text."""
+    data = np.frombuffer(joined, np.uint8)
+    of = _BYTE_CLASSES[data]
+    at = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))  # first of two bytes each
+    lead, last = data[at], data[at + 1]
+    at = at[~((lead == 0xC3) & ((last == 0x97) | (last == 0xB7)) | (lead == 0xC9) & (last > 0x8F))]
+    of[at], of[at + 1] = _LETTER, _LETTER
+    cut = cuts[(of[:-1] << 3) | of[1:]]
+    starts = np.flatnonzero(cut)
+    after = of[np.minimum(starts + 2, len(of) - 1)]
+    starts = starts[(cut[starts] == _CUT) | (after >= _LETTER) & (after < _END)] + 1
+    return np.concatenate(([0], starts))
 
 
 @functools.cache
@@ -96,13 +146,18 @@ class ByteBPE:
             self.tokenizer = Tokenizer.from_file(path)
         self.path, self.table = path, byte_table(path)
         self.lengths = np.array([len(x) for x in self.table], np.int64)
-        self.words: dict[str, bytes] = {}  # ids of " " + word, 4 bytes each
-        self.older: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-        self.mapped = {b: c for b, c in enumerate(byte_chars())}
+        self.words: dict[bytes, bytes] = {}  # ids of a unit, 4 bytes each
+        self.older: dict[bytes, bytes] = {}
+        self.mapped = np.array([ord(c) for c in byte_chars()], np.uint32)
+        self.mapped[10] = 10  # parts the units of a call
         #: Added tokens, which the library finds anywhere in a text before it splits.
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
+        setting = json.loads(self.tokenizer.to_str())
+        split = setting["pre_tokenizer"] or {}
+        own = setting["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        classes = pattern == _CLASSES if path.endswith(".tiktoken") else own
+        self.cuts, self.plain = _cuts(classes), _PLAIN_CLASS if classes else _PLAIN
         self.bare = Tokenizer.from_str(self.tokenizer.to_str())
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
@@ -111,71 +166,57 @@ class ByteBPE:
         return self.encode_all([text])[0]
 
     def encode_all(self, batch: list[str]) -> list[np.ndarray]:
-        """Token ids. A space before a non-space always starts a match of the pattern, so words are encoded once.
-
-        Millions of small objects are made and none is part of a cycle, so the cycle collector rests meanwhile.
-        """
-        gc.disable()
-        try:
-            return self._encode_all(batch)
-        finally:
-            gc.enable()
-
-    def _encode_all(self, batch: list[str]) -> list[np.ndarray]:
+        """Token ids. Texts are cut into units, which the library encodes once each; Arrow tells them apart and puts their ids in place."""
+        if not batch:
+            return []
+        whole = {i: t for i, t in enumerate(batch) if self.added and self.added.search(t)}
+        raw = [b"" if i in whole else t.encode() for i, t in enumerate(batch)]
+        joined = b"\xff".join((*raw, b""))
+        starts = unit_starts(joined, self.cuts)
+        edges = np.append(starts, len(joined)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(joined)]).dictionary_encode()
+        ids = pa.array(self._ids(units.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(units.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1) // 4
+        packed = np.frombuffer(ids.buffers()[2] or b"", np.uint32)
+        last = ends[np.searchsorted(starts, np.cumsum([len(x) + 1 for x in raw]) - 1)].tolist()
+        out = [packed[lo:hi] for lo, hi in zip([0, *last], last, strict=False)]
+        for i, x in zip(whole, self._fast([*whole.values()]), strict=True):
+            out[i] = np.frombuffer(x, np.uint32)
+        return out
+
+    def _ids(self, units: list[bytes]) -> list[bytes]:
+        """Ids of distinct units. Those of new ones are remembered, unless they are long."""
         if len(self.words) > CACHE:
             self.words, self.older = {}, self.words
-        chunked, heads = [], []
-        for text in batch:
-            if self.added and self.added.search(text):
-                heads.append(text)
-                chunked.append(())
-                continue
-            head, *rest = _STARTS.split(text) if _INNER.search(text) else text.split(" ")
-            heads.append(head)
-            chunked.append(rest)
-        new = set(chain.from_iterable(chunked)).difference(self.words)
-        long = self._learn(new)
-        get = self.words.__getitem__ if not long else lambda x: long[x] if x in long else self.words[x]
-        return [np.frombuffer(head + b"".join(map(get, c)), np.uint32) for head, c in zip(self._fast(heads), chunked, strict=True)]
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of new words go to self.words, those of long words are returned."""
         words, older = self.words, self.older
-        split, cores, others = [], set(), []
-        for w in new:
-            if w in older:
-                words[w] = older[w]
-            elif (m := _PLAIN.fullmatch(w)) and len(w) <= CHUNK:
-                core, tail = m.groups()
-                if tail:
-                    split.append((w, core, tail))
-                    if core not in words and core not in new:
-                        if core in older:
-                            words[core] = older[core]
-                        else:
-                            cores.add(core)
+        found = [*map(words.get, units)]
+        plain, others = [], []
+        for k, x in enumerate(found):
+            if x is None:
+                w = units[k]
+                if w in older:
+                    found[k] = words[w] = older[w]
+                elif w == b"\xff":
+                    found[k] = b""
+                elif len(w) <= CHUNK and self.plain.fullmatch(w):
+                    plain.append(k)
                 else:
-                    cores.add(w)
-            else:
-                others.append(w)
-        cores = list(cores)
-        words.update(zip(cores, self._plain(cores), strict=True))
-        if tails := [*{t for _, _, t in split if t not in self.tails}]:
-            self.tails = (self.tails if len(self.tails) < CACHE else {t: self.tails[t] for _, _, t in split if t in self.tails}) | dict(zip(tails, self._fast(tails), strict=True))
-        for w, core, tail in split:
-            words[w] = words[core] + self.tails[tail]
-        ids = dict(zip(others, self._fast([" " + w for w in others]), strict=True))
-        words.update({w: x for w, x in ids.items() if len(w) <= CHUNK})
-        return {w: x for w, x in ids.items() if len(w) > CHUNK}
-
-    def _plain(self, words: list[str], together: int = 4096):
-        """Ids of words of letters alone, each a match of the pattern with the space before it, mapped byte by byte."""
-        for i in range(0, len(words), together):
-            part = [w if w.isascii() else w.encode().decode("latin-1").translate(self.mapped) for w in words[i : i + together]]
-            space = self.mapped[32]
-            (e,) = self.bare.encode_batch_fast(["\n".join([space + w for w in part])], add_special_tokens=False)
+                    others.append(k)
+        for many, ids in ((plain, self._plain([units[k] for k in plain])), (others, self._fast([units[k].decode() for k in others]))):
+            for k, x in zip(many, ids, strict=True):
+                found[k] = x
+                if len(units[k]) <= CHUNK:
+                    words[units[k]] = x
+        return found
+
+    def _plain(self, units: list[bytes], together: int = 4096):
+        """Ids of units that are one match each, mapped byte by byte."""
+        for i in range(0, len(units), together):
+            part = units[i : i + together]
+            text = self.mapped[np.frombuffer(b"\n".join(part), np.uint8)].astype("<u4").tobytes().decode("utf-32-le")
+            (e,) = self.bare.encode_batch_fast([text], add_special_tokens=False)
             ids = np.array(e.ids, np.uint32)
-            last = (4 * (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) + 1 for w in part])) + 1)).tolist()
+            last = (4 * (np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(w) for w in part])) + 1)).tolist()
             packed = ids.tobytes()
             for lo, hi in zip([0, *last], last, strict=False):
                 yield packed[lo:hi]
