@@ -120,3 +120,13 @@ def test_first_words_are_those_of_all_words(spark):
     for k, text in enumerate(texts):
         words = re.findall("[a-z]{3,}", text or "")[:3]
         assert got[k] == (*words, *("one", "two", "three")[len(words) :])
+
+
+def test_the_policy_judges_every_document(spark, tmp_path):
+    """Documents of odd ids were left out in front of the policy."""
+    from lodestack import plans
+
+    texts = [(2, "a"), (3, "b\nc"), (5, None), (10, "d"), (17, "e"), (21, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = plans.QUERIES["txt_policy"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == [(k, "info", "bash") for k in (2, 3, 5, 21)]
