@@ -25,3 +25,14 @@ def test_a_reference_is_taken_apart_once(spark):
     rows = clusters.exploded(clusters.workloads(docs)).select("registry", "repository", "tag", "digest", "reference")
     count = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("|localhost)/")
     assert count(rows) == count(docs.select(image_reference(F.col("doc")).alias("i")))
+
+
+def test_the_payload_holds_the_details_of_its_assets(spark):
+    """The details were dropped behind the operator, so they were never made."""
+    from lodestack import plans
+
+    rows = {(r["asset_type"], r["external_id"]): json.loads(r["details"]) for r in plans.QUERIES["nrm_k8s_payload"](spark, "/root/testdata/sf0.001").collect()}
+    assert rows["k8s_cluster", "c1"] == {} and len(rows) > 100
+    one = rows["k8s_workload", "c1/ns3/Deployment/w8/main"]
+    assert one == {"cluster": "c1", "namespace": "ns3", "kind": "Deployment", "name": "w8", "container": "main", "service_account": "sa8", "image_reference": "docker.io/library/nginx:latest", "image_digest": "", "node_name": ""}
+    assert rows["container_image", "ghcr.io/team/app:1.2"] == {"registry_type": "ghcr", "registry": "ghcr.io", "repository": "team/app", "image_name": "app", "tag": "1.2", "digest": ""}
