@@ -228,3 +228,30 @@ def test_examples_hold_their_context(spark):
 def test_chats_use_no_python_workers(spark):
     plan = queries.op13_chat_prefixes(spark, FOLDER)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "MapIn"))
+
+
+def test_examples_of_several_blocks_have_their_whole_context(spark):
+    """Lengths left out the earlier blocks of a conversation, so they fell short of the SQL's beyond 1,024 turns."""
+    rnd = random.Random(5)
+    rows = [(c, t, rnd.choice(["user", "assistant", "tool"]), rnd.choice(ODD_TEXTS)) for c in range(8) for t in range(c + 1)] + [(None, t, "user", "q") for t in range(7)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    one = {(r["conv_id"], r["formatted"]) for r in chat.chat_examples(df).collect()}
+    chars = {r["conv_id"]: r["formatted_chars"] for r in chat.read_back(df).collect()}
+    for block in (1024, 3, 2, 1):
+        pieces = collections.defaultdict(dict)
+        for r in chat.whole_examples(df, block_turns=block).collect():
+            pieces[r["conv_id"], r["block"], r["example"]][r["piece"]] = r["text"]
+        got = [(c, "<s>" + "".join(p[k] for k in sorted(p))) for (c, _, _), p in pieces.items()]
+        assert sorted(got, key=str) == sorted(one, key=str)
+        assert {r["conv_id"]: r["formatted_chars"] for r in chat.read_back(df, block_turns=block).collect()} == chars
+    assert chars == {c: sum(len(x) for k, x in one if k == c) for c in chars}
+
+
+def test_a_conversation_of_several_blocks_has_the_lengths_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    spark.range(1500).selectExpr("3L AS conv_id", "cast(id AS int) AS turn", "CASE WHEN id % 2 = 0 THEN 'user' ELSE 'assistant' END AS role", "concat('text ', id) AS text").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = con.execute(queries.oracle_sql()["op13_chat_prefixes"]).fetchall()
+    assert sorted(map(tuple, queries.op13_chat_prefixes(spark, str(tmp_path)).collect())) == sorted(want)
