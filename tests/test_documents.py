@@ -87,3 +87,43 @@ def test_each_document_is_decoded_once(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("decode") == 0 and plan.count("MapInArrow") == 1 and plan.count("from_json(") == 1 + 3  # the text, and the items of lists in three depths
     assert {(r["document"], r["name"], r["error"] is None) for r in rows.collect()} == {(0, "p", True), (1, "", False)}
+
+
+def test_documents_of_one_form_are_decoded_once(monkeypatch):
+    """Documents that differ in plain values alone were all decoded by the package, which took most of the time."""
+    made = []
+    loaded = yaml_docs._loaded
+    monkeypatch.setattr(yaml_docs, "_loaded", lambda text: made.append(text) or loaded(text))
+    yaml_docs._forms.clear()
+    for k in range(1, 200):
+        assert yaml_docs.decode(f"kind: Pod\nmeta: &m\n  name: w{k}\n  n: {k}\nm: *m\n") == (f'{{"kind":"Pod","meta":{{"name":"w{k}","n":{k}}},"m":{{"name":"w{k}","n":{k}}}}}', None)
+    assert len(made) == 1
+
+
+def test_documents_by_form_are_those_of_the_package():
+    """Values in texts, keys, comments, flow collections, beside tags and as equal keys give what the package alone gives."""
+    frames = [
+        "a: $1\nb: $2\na: $3", "a: |\n  k: $1\n  x\nb: >\n  k: $2\n  more\n\n  c: $1", "a: \"x\n  k: $1\n  y\"\nb: 'z\n  k: $2\n  y'", "{a: $1,\nb: $2\n, c: [1,\nd: $3\n]}", "a: $1\n  more\nb: $2\n  :30",
+        "? \"q\n  k: $1\n  y\"\n: 1\n? \"q\n  k: $2\n  y\"\n: 2", "a: !!str\n  b: $1", "a: !!binary |\n  abcd: $1\n  efgh: $2", "- - a: $1\n    b: $2\n  - c: $1", "# k: $1\na: $1 # $2\nb: $2", "a: *$1\nb: &$1 2", "a: $1: $2", "k: $1\n k: $2", "zqjxv: $1\nb: zqjxv000\nc: $2", "a: 98765432109876000\nb: $1",
+        "? a: $1\n: b", "a: &x\n  b: $1\nc:\n  <<: *x\n  b: $2", "!!set\na: $1", "a:\n- k: $1\n- k: $2\n- k: $3\n...", "a: 08\nb: $1", "a: \u2028k: $1\nb: $2\u2028c: $3", "a: $1\r\nb: $2\r\n", "a: $1\n\tb: $2", "[a: $1\n, b]", "a: 2001-01-01\nb: $1", "\u00e9: $1\nb: $2",
+    ]
+    for frame in frames:
+        for values in (("w1", "x2", "w1"), ("1", "10", "1"), ("7", "n1", "7"), ("y1", "true1", "on0"), ("08", "1_0", "0x1"), ("yes", "null", "1e3"), ("999999999999999999", "e5", "1234567890123456789"), ("12", "12", "12")):
+            text = frame
+            for k, v in enumerate(values, 1):
+                text = text.replace(f"${k}", v)
+            try:
+                expected = json.dumps(yaml_docs._plain(yaml_docs.yaml.load(text, yaml_docs._Loader), [1000]), ensure_ascii=False, separators=(",", ":"))
+            except (ValueError, TypeError, RecursionError, yaml_docs.yaml.YAMLError):
+                expected = None
+            for _ in range(2):
+                assert yaml_docs.decode(text)[0] == expected, text
+
+
+def test_many_values_and_forms_stay_right():
+    text = "".join(f"k{k}: v{k}\n" for k in range(600)) + "".join(f"n{k}: {k + 1}\n" for k in range(600))
+    for few in (text[:5000], text):
+        assert json.loads(yaml_docs.decode(few)[0]) == yaml_docs.yaml.load(few, yaml_docs._Loader)
+    for k in range(3 * yaml_docs._MOST_FORMS):
+        assert yaml_docs.decode(f"a{k}: {k + 1}")[0] == f'{{"a{k}":{k + 1}}}'
+    assert len(yaml_docs._forms) <= yaml_docs._MOST_FORMS
