@@ -2,7 +2,8 @@
 
 `push` writes with a data source whose tasks put each payload, gzip-compressed, where the receiver takes it (a folder; the name follows
 from the key, so a task that is run again puts the same). A payload that can't be pushed is recorded and does not end the job. The
-driver gets a count from each task, and the commit names the record files of those tasks alone whose results count.
+driver gets a count from each task, and the commit names the record files of those tasks alone whose results count. `received` reads
+what arrived: each payload by the task that has its key, so the driver never lists the payloads.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +28,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 MOST_BODY, MOST_INFLATED = 64 << 20, 256 << 20
 #: Bytes that are inflated at once.
 STEP = 1 << 20
+#: Bytes of bodies that a task gathers before it hands them on.
+GATHERED = 4 << 20
 OUTCOME = "key string, status int, bytes long, error string"
 
 
@@ -33,6 +37,11 @@ def _opened(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _place(key: str | None, ending: str) -> str:
+    """Where the payload of a key is put."""
+    return f"payloads/{hashlib.sha1((key or '').encode()).hexdigest()}{ending}"
+
+
 @dataclass
 class _Done(WriterCommitMessage):
     file: str
@@ -69,8 +78,7 @@ class _Pusher(DataSourceWriter):
                     if len(raw) > self.most:
                         status, error = 413, f"more than {self.most} bytes"
                     else:
-                        key = hashlib.sha1((row["key"] or "").encode()).hexdigest()
-                        with files.open_output_stream(f"{root}/payloads/{key}{self.ending}", compression=None) as out:
+                        with files.open_output_stream(f"{root}/{_place(row['key'], self.ending)}", compression=None) as out:
                             out.write(gzip.compress(raw, mtime=0))
                 except OSError as e:
                     status, error = 503, str(e)
@@ -104,6 +112,36 @@ def outcomes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(OUTCOME).json([f"{path}/{n}" for n in names]) if names else spark.createDataFrame([], OUTCOME)
 
 
+def received(told: DataFrame, path: str, ending: str = ".json.gz", most_inflated: int = MOST_INFLATED) -> DataFrame:
+    """Outcomes of a push (key, status, bytes, error) with what the receiver holds of each that arrived: body, null for others and for what is no whole text."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _opened(path)
+        for batch in batches:
+            start, held, bodies = 0, 0, []
+            for key, status in zip(batch["key"].to_pylist(), batch["status"].to_pylist(), strict=True):
+                body = None
+                if status == 200:
+                    try:
+                        with files.open_input_stream(f"{root}/{_place(key, ending)}", compression=None) as f:
+                            body = inflated(f.read(), most_inflated)[0]
+                    except FileNotFoundError:
+                        pass
+                bodies.append(body)
+                held += len(body or "")
+                if held > GATHERED:
+                    yield _with_bodies(batch.slice(start, len(bodies)), bodies)
+                    start, held, bodies = start + len(bodies), 0, []
+            if bodies:
+                yield _with_bodies(batch.slice(start), bodies)
+
+    return told.select("key", "status", "bytes", "error").mapInArrow(read, f"{OUTCOME}, body string")
+
+
+def _with_bodies(batch: pa.RecordBatch, bodies: list[str | None]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(bodies, pa.string())], names=[*batch.schema.names, "body"])
+
+
 def inflated(raw: bytes | None, limit: int) -> tuple[str | None, str | None]:
     """(text, error) of a gzip body, inflated in steps and no further than the limit."""
     if not raw:

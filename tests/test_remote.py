@@ -65,6 +65,22 @@ def test_pushes_are_recorded_and_may_be_repeated(spark, tmp_path):
     assert {r["key"]: r["status"] for r in push.push(rows.where("key < 'b'"), f"{tmp_path}/s").collect()} == {"a": 503, "a/../b": 200}
 
 
+def test_what_arrived_is_read_without_listing_it(spark, tmp_path, monkeypatch):
+    """The driver listed every payload, one file each, to read them back."""
+    from lodestack import plans
+
+    df = plans.QUERIES["src_sink_push"](spark, "/root/testdata/sf0.001")
+    assert df.count() > 100 and not any("/payloads/" in f for f in df.inputFiles())
+    monkeypatch.setattr(push, "GATHERED", 10)
+    path = str(tmp_path / "p")
+    rows = spark.createDataFrame([("a", '{"x":1}'), ("b", "y" * 50), ("c", None), (None, "{}"), ("d", "é" * 10), ("e", "z" * 40), ("f", '{"x":2}')], "key string, payload string").coalesce(1)
+    told = push.push(rows, path, most_body=40)
+    os.remove(f"{path}/payloads/{hashlib.sha1(b'f').hexdigest()}.json.gz")
+    for few, want in ((10, None), (push.MOST_INFLATED, "z" * 40)):
+        got = {r["key"]: (r["status"], r["body"]) for r in push.received(told, path, most_inflated=few).collect()}
+        assert got == {"a": (200, '{"x":1}'), "b": (413, None), "c": (200, ""), None: (200, "{}"), "d": (200, None if few == 10 else "é" * 10), "e": (200, want), "f": (200, None)}
+
+
 def test_bodies_are_bounded(spark):
     whole = gzip.compress(b'{"a": 1}')
     bomb = gzip.compress(b"0" * 50_000_000)
