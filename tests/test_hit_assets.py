@@ -18,3 +18,23 @@ def test_an_advisory_of_several_names_meets_an_asset_once(spark, tmp_path):
     # pairs are told apart before advisories meet them: no shuffle holds advisories beside assets but for those of several names
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join Inner") < plan.index("Aggregate")
+
+
+def test_assets_that_were_told_apart_stay_in_their_parts(spark, monkeypatch):
+    """Assets of all names were shuffled and sorted once more, to meet a few advisories."""
+    from lodestack.plans import relations
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = {}
+        for most in (relations.BROADCAST_BYTES, 0):
+            monkeypatch.setattr(relations, "BROADCAST_BYTES", most)
+            got = plans.QUERIES["jn_hit_assets"](spark, "/root/testdata/sf0.01")
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning(name" in plan and "part#" in plan) == (most == 0)
+            rows[most] = sorted(map(tuple, got.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    one, other = rows.values()
+    assert one == other and len(one) > 1000
