@@ -127,3 +127,19 @@ def test_many_values_and_forms_stay_right():
     for k in range(3 * yaml_docs._MOST_FORMS):
         assert yaml_docs.decode(f"a{k}: {k + 1}")[0] == f'{{"a{k}":{k + 1}}}'
     assert len(yaml_docs._forms) <= yaml_docs._MOST_FORMS
+
+
+def test_pieces_and_resources_are_told_as_before(spark):
+    """Which pieces hold a document, and which documents are resources, was told by other expressions."""
+    from pyspark.sql import functions as F
+
+    pieces = ["", " ", "\n# c\n%d\n", "\t# c\nx", "  %a\n \n", "a # b", "\u2028", "# a\u2028b", "# a\u0085# b", "#", "\r# a\r\n", "# a\rb", "\x0b# a", "\x0b", "# a\n\x0c \n# b", "\u00a0", "-", "# a\n  #b\n\t%c\n   d"]
+    texts = ["kind: Pod\napiVersion: v1", "kind: Pod", "kind: PodList\nitems: []", "kind: PodList\nitems:", "kind: [List]\nitems: [1]", "kind: ''\napiVersion: ''", "kind: w1\napiVersion: w2", "kind: List\nitems: w1", "kind: w1\nitems: [x]", "- kind: a\n  apiVersion: b", "text", "12", "kind: 5\napiVersion: 6", "kind: !!null x\napiVersion: v1", "kind: .nan\napiVersion: v1", "kind: {a: List}\nitems: 1", "kind: {a: b}\napiVersion: [c]", "kind: false\napiVersion: false"]
+    df = spark.createDataFrame([(f"{k:03}.yaml", p) for k, p in enumerate(pieces + texts)], "path string, content string")
+    kept = df.where(~F.regexp_replace("content", r"(?m)^[ \t]*(?:#|%).*$", "").rlike(r"\A\s*\z"))
+    assert sorted(r["path"] for r in yaml_docs.yaml_documents(df).collect()) == sorted(r["path"] for r in kept.collect())
+    field = lambda n: F.get_json_object("json", f"$.{n}")
+    listed = field("items").isNotNull() & F.coalesce(field("kind"), F.lit("")).endswith("List")
+    want = yaml_docs.yaml_documents(df).where(F.col("error").isNotNull() | listed | field("kind").isNotNull() & field("apiVersion").isNotNull())
+    found = yaml_docs.manifest_resources(df)
+    assert sorted(r["path"] for r in found.collect()) == sorted(r["path"] for r in want.collect())
